@@ -33,15 +33,23 @@ def page_index(pages: DataFrame) -> DataFrame:
     )
 
 
-def look_up(wanted: DataFrame, index: DataFrame, url: str, norm_url: str) -> DataFrame:
-    """Adds ``page``: the stored page of that exact URL, else of that identity.
+def lookup_tables(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored page per exact URL and per page identity.
 
-    Several stored pages may share a key; the lowest page_id stands for them. Both
-    sides are aggregated first, so a key shared by many pages is combined map-side.
+    Several stored pages may share a key; the lowest page_id stands for them. The
+    minimum is combined map-side, so a key that many pages share does no harm.
     """
     page = F.struct("page_id", "url", "status")
     exact = index.groupBy(F.col("url").alias("_url")).agg(F.min(page).alias("_exact"))
     similar = index.groupBy(F.col("norm_url").alias("_norm")).agg(F.min(page).alias("_similar"))
+    return exact, similar
+
+
+def look_up(
+    wanted: DataFrame, tables: tuple[DataFrame, DataFrame], url: str, norm_url: str
+) -> DataFrame:
+    """Adds ``page``: the stored page of that exact URL, else of that identity."""
+    exact, similar = tables
     return (
         wanted.join(exact, F.col(url) == F.col("_url"), "left")
         .join(similar, F.col(norm_url) == F.col("_norm"), "left")
@@ -100,14 +108,15 @@ def deep_crawl(
     # column alone, before any html is parsed.
     hosts = seeds.select(urls.netloc(F.col("url")).alias("host")).distinct()
     on_hosts = pages.withColumn("host", urls.netloc(F.col("url"))).join(hosts, "host", "left_semi")
-    index = cut_lineage(page_index(on_hosts))
+    exact, similar = lookup_tables(page_index(on_hosts))
+    tables = (cut_lineage(exact), cut_lineage(similar))
     links = cut_lineage(
         extract_links(on_hosts, url_pattern=url_pattern).drop("href")
     )
 
     start = seeds.select("seed_id", "url", urls.normalise(F.col("url")).alias("norm_url"))
     frontier = cut_lineage(
-        look_up(start.withColumnRenamed("url", "seed_url"), index, "seed_url", "norm_url")
+        look_up(start.withColumnRenamed("url", "seed_url"), tables, "seed_url", "norm_url")
         .filter(F.col("page").isNotNull())
         .select(
             "seed_id",
@@ -134,7 +143,7 @@ def deep_crawl(
             .select("seed_id", "norm_url", "first.*")
         )
         # Failed look-ups stay in: their URL counts as visited.
-        tried = cut_lineage(look_up(discovered, index, "abs_url", "norm_url"))
+        tried = cut_lineage(look_up(discovered, tables, "abs_url", "norm_url"))
         visited = visited.unionByName(tried.select("seed_id", "norm_url"))
         found = tried.filter(F.col("page.status") < FIRST_ERROR_STATUS)
         frontier = cut_lineage(
