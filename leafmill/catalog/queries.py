@@ -560,7 +560,7 @@ def ordered_references(spark, sf):
 def prefix_truncation(spark, sf):
     docs = inputs.documents(spark, sf)
     long_url = F.concat(
-        F.lit("https://d.example/"), F.regexp_replace(F.left("text", F.lit(400)), "[ \n#?]", "/")
+        F.lit("https://d.example/"), F.regexp_replace("text", "[ \n#?]", "/")
     )
     return docs.select(
         "doc_id",
