@@ -60,6 +60,25 @@ SITE_PAGES = """site_pages AS (
   FROM pages)"""
 
 
+def mirrored_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site with dates; odd pages show nothing but a line many pages share."""
+    i = F.col("page_id")
+    day = F.lpad((i % 28 + 1).cast("string"), 2, "0")
+    original = pages(spark, sf_dir).select("page_id", F.col("url").alias("_url"), F.col("html").alias("_html"))
+    zone = F.regexp_extract("_url", r"example\.(com|net|org)", 1)
+    links = F.substr("html", F.lit(1), F.length("html") - F.length("_html"))
+    body = F.when(i % 2 == 0, F.col("_html")).otherwise(_text("<p>Moved to ", zone, ".</p>"))
+    return site_pages(spark, sf_dir).join(original, "page_id").select(
+        "page_id",
+        "url",
+        F.concat(
+            F.when(i % 5 != 0, _text('<meta name="date" content="2024-01-', day, '">')).otherwise(""),
+            F.lit("<nav>"), links, F.lit("</nav>"), body,
+        ).alias("html"),
+        "status",
+    )
+
+
 def seeds(site: DataFrame) -> DataFrame:
     """The home page of every host."""
     return site.filter(F.col("url").endswith("/p/0")).select(

@@ -662,7 +662,17 @@ SELECT * EXCLUDE (domains), array_to_string(domains, ' ') AS top_external_domain
     q["JOB7"] = _with(*_SITE_EDGES, _walk(4), select="""
 SELECT seed_id, crawl_rank, level::BIGINT AS level, parent_url, url, norm_url, page_id
 FROM crawl WHERE crawl_rank <= 20""")
-    # Site pages that share their original text do not exist: nothing is a duplicate.
+    q["JOB8"] = _with(*_SITE_EDGES, _walk(5), r"""mirror AS (
+  SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id::VARCHAR
+      ELSE regexp_extract(url, 'example\.(com|net|org)', 1) END AS content,
+    CASE WHEN page_id % 5 <> 0 THEN '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') END
+      AS published_date FROM pages)""", """kept AS (
+  SELECT *, row_number() OVER (PARTITION BY seed_id, content ORDER BY crawl_rank) AS copy
+  FROM crawl JOIN mirror USING (page_id) WHERE crawl_rank <= 40)""", select="""
+SELECT seed_id, crawl_rank, page_id, url, published_date FROM (
+  SELECT *, row_number() OVER (PARTITION BY seed_id
+    ORDER BY published_date DESC NULLS LAST, url DESC) AS r FROM kept WHERE copy = 1)
+WHERE r <= 15""")
     q["JOB9"] = _with(_markdown("pages"), _MAIN, select="SELECT page_id, markdown, '' AS \"references\", markdown AS output FROM ("
         + main.format(source="pages", cols="", where="") + ")")
     q["JOB10"] = _with(MD_DOCS, IMAGE_ASSETS, usable, select=r"""
@@ -678,4 +688,17 @@ WHERE regexp_extract(url, '/(\d+)\.jpg$', 1)::BIGINT % 2 <> 0
 UNION ALL
 SELECT url, left(md5(url), 12) || '.jpg', 7, FALSE FROM image_assets
 WHERE regexp_extract(url, '/(\d+)\.jpg$', 1)::BIGINT % 2 = 0 AND url IN (SELECT url FROM img)""")
+    plain = "meta_pages AS (SELECT page_id, url, html FROM pages)"
+    q["JOB12"] = _with(
+        plain, _markdown("meta_pages"), _MAIN, _TEXT, _META_TAGS, _DATES, _anchors("meta_pages"),
+        _domains("meta_pages", 10), _RECORD,
+        "doc AS (" + main.format(source="meta_pages", cols="p.url, ", where="") + ")",
+        f"named AS (SELECT page_id, url, {_unique_slug('url')} AS slug FROM pages)",
+        select=f"""
+SELECT slug, 'article.md' AS artifact, {_CLEAN} AS text, NULL AS bytes_hex
+FROM doc JOIN named USING (page_id)
+UNION ALL SELECT slug, 'metadata.json', json, NULL
+FROM (SELECT page_id, {_json()} AS json FROM rec) JOIN named USING (page_id)
+UNION ALL SELECT slug, 'screenshot.png', NULL, hex(encode(url)) FROM named WHERE page_id % 2 = 0""",
+    )
     return q

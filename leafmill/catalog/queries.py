@@ -776,7 +776,7 @@ def deep_crawl(spark, sf):
 
 @query("JOB8")
 def crawl_pipeline(spark, sf):
-    site = inputs.site_pages(spark, sf)
+    site = inputs.mirrored_site(spark, sf)
     options = Options(
         depth=5, max_pages=40, raw=True, dedupe=True, sort_by_date=True, limit=15
     )
