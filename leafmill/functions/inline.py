@@ -82,18 +82,28 @@ def _flow_text(piece: Column, in_code: Column, escape: bool) -> Column:
 
 
 def marked_text(body: Column, escape: bool = True) -> Column:
-    """Inline HTML as text with marks. ``*`` and ``_`` of the text are escaped."""
+    """Inline HTML as text with marks. ``*`` and ``_`` of the text are escaped.
+
+    ``body`` is used several times: give a column, not an expression.
+    """
     in_code = rf"^<(?i:{'|'.join(_PAIRS[-1][0])})[\s/>]"
 
     def piece(tag: Column, text: Column) -> Column:
         flow = _flow_text(text, tag.rlike(in_code), escape)
         return F.concat(_mark(tag), F.when(text == "", "").otherwise(flow))
 
-    # Every text node is paired with the tag before it; the first has none.
-    tags = F.regexp_extract_all(body, F.lit(markup.MARKUP), F.lit(0))
-    before = F.concat(F.array(F.lit("")), F.transform(tags, markup.decode_tag))
-    texts = F.transform(F.split(body, markup.MARKUP, -1), decode_entities)
-    return strip(F.array_join(F.zip_with(before, texts, piece), ""))
+    def mixed(t: Column) -> Column:
+        # Every text node is paired with the tag before it; the first has none.
+        tags = F.regexp_extract_all(t, F.lit(markup.MARKUP), F.lit(0))
+        before = F.concat(F.array(F.lit("")), F.transform(tags, markup.decode_tag))
+        texts = F.transform(F.split(t, markup.MARKUP, -1), decode_entities)
+        return F.array_join(F.zip_with(before, texts, piece), "")
+
+    # Most blocks hold nothing, or text without any tag.
+    plain = _flow_text(decode_entities(body), F.lit(False), escape)
+    return F.when(body == "", "").otherwise(
+        strip(F.when(F.contains(body, F.lit("<")), mixed(body)).otherwise(plain))
+    )
 
 
 def preformatted_text(body: Column) -> Column:

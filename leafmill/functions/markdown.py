@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import LINE_SPACE, SPACE, interleave, strip
+from leafmill.functions.text import LINE_SPACE, SPACE, interleave, let, strip
 
 # --- fixed values -----------------------------------------------------------
 EMPTY_IMAGE = rf"!\[\]\([^)]+\)[{SPACE}]*"
@@ -15,6 +15,7 @@ BLANK_RUN = r"\n{4,}"
 REPEATED_CITATION = (
     rf"([\p{{L}}\p{{N}}_][^\[\]]{{0,60}}?)[{SPACE}]*\[(\p{{Nd}}+)\][{SPACE}]*\1"
 )
+REPEATED_TEXT = 61
 # ----------------------------------------------------------------------------
 
 # Whitespace inside one line, and its complement.
@@ -32,16 +33,33 @@ ORPHAN_HEADING = (
 
 def fix_heading_linebreaks(markdown: Column) -> Column:
     """Pull the words of a heading back onto its marker line."""
-    joined = lambda m: strip(F.regexp_replace(m, rf"{_GAP}*\n{_GAP}*", " "))
-    return F.when(
-        markdown.rlike(rf"(?dm){_ORPHAN}"),
-        interleave(markdown, ORPHAN_HEADING, joined),
-    ).otherwise(markdown)
+
+    def joined(m: Column) -> Column:
+        return strip(F.regexp_replace(m, rf"{_GAP}*\n{_GAP}*", " "))
+
+    return let(
+        markdown,
+        lambda t: F.when(
+            t.rlike(rf"(?dm){_ORPHAN}"), interleave(t, ORPHAN_HEADING, joined)
+        ).otherwise(t),
+    )
+
+
+# What the repeated text needs ahead of it: a citation mark right behind at most 61
+# characters. Trying every length at every word character costs a hundred times more.
+_CITATION_AHEAD = rf"(?=[^\[\]]{{1,{REPEATED_TEXT}}}+[{SPACE}]*+\[\p{{Nd}})"
+_CITATION_BEFORE_WORD = rf"\[\p{{Nd}}++\][{SPACE}]*+[\p{{L}}\p{{N}}_]"
 
 
 def fix_citation_duplication(markdown: Column) -> Column:
     """``text[3]text`` -> ``text[3]``."""
-    return F.regexp_replace(markdown, REPEATED_CITATION, "$1[$2]")
+    pattern = _CITATION_AHEAD + REPEATED_CITATION
+    return let(
+        markdown,
+        lambda t: F.when(
+            t.rlike(_CITATION_BEFORE_WORD), F.regexp_replace(t, pattern, "$1[$2]")
+        ).otherwise(t),
+    )
 
 
 def strip_empty_image_links(markdown: Column) -> Column:

@@ -36,6 +36,7 @@ CELLS = ("td", "th")
 
 _NAMES = "|".join((*CONTAINERS, *LEAVES))
 _STARTS_BLOCK = rf"</?(?i:{_NAMES})(?=[\s/>])"
+_ONE_TAG = rf"</?[A-Za-z](?:{ATTRS}>|[^>]*+(?:>|\z))"
 _BLOCK_TAG = rf"{_STARTS_BLOCK}(?:{ATTRS}>|[^>]*+(?:>|\z))"
 _INLINE = rf"[^<]++|{SKIPPED}|(?!{_STARTS_BLOCK})(?:{ANY_TAG}|{DECLARATION}|<)"
 BLOCK = rf"{_BLOCK_TAG}(?:{_INLINE})*+|(?:{_INLINE})++"
@@ -61,18 +62,28 @@ def split_blocks(
         ).alias("pos", "block"),
     )
     block = F.coalesce(F.col("block"), F.lit(""))
-    tag = F.lower(F.regexp_extract(block, rf"^</?((?i:{_NAMES}))(?=[\s/>])", 1))
-    cut = rows.select(
+    named = rows.select(
         key,
         F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("url")).alias("url"),
         F.coalesce(F.col("pos"), F.lit(0)).alias("pos"),
-        tag.alias("tag"),
-        F.regexp_extract(block, rf"^{_BLOCK_TAG}", 0).alias("block_tag"),
+        markup.tag_name(block).alias("_name"),
         block.alias("block"),
     )
-    body = F.when(F.col("tag") == "", F.col("block")).otherwise(
-        F.substr(F.col("block"), F.length("block_tag") + 1)
-    )
+    is_block = F.col("_name").isin(*CONTAINERS, *LEAVES)
+    cut = named.select(
+        key,
+        "url",
+        "pos",
+        F.when(is_block, F.col("_name")).otherwise("").alias("tag"),
+        F.when(is_block, F.regexp_extract("block", rf"^{_ONE_TAG}", 0)).otherwise("").alias(
+            "block_tag"
+        ),
+        "block",
+    ).select(
+        key, "url", "pos", "tag", "block_tag",
+        F.substr("block", F.length("block_tag") + 1).alias("body"),
+    )
+    body = F.col("body")
     is_close = F.col("block_tag").startswith("</")
     text = (
         F.when(F.col("tag") == "title", "")
