@@ -21,15 +21,17 @@ _PART = re.compile(
     r"|\[(?P<attr>[\w-]+)(?:=(?P<value>\"[^\"]*\"|'[^']*'|[^\]\"']+))?\]"
     r"|(?P<tag>[A-Za-z][\w-]*|\*)"
 )
+_QUOTED = r"\"[^\"]*\"|'[^']*'"
 _PAGE_END = 2**31 - 1
 
 
 def parse_selector(selector: str) -> list[list[list[dict[str, str]]]]:
     """Alternatives -> descendant steps -> simple conditions."""
     alternatives = []
-    for alternative in selector.split(","):
+    # Commas and blanks inside quotes do not separate.
+    for alternative in re.findall(rf"(?:{_QUOTED}|[^,])+", selector) or [""]:
         steps = []
-        for step in alternative.split():
+        for step in re.findall(rf"(?:{_QUOTED}|\S)+", alternative):
             parts, at = [], 0
             while at < len(step):
                 found = _PART.match(step, at)
