@@ -34,7 +34,7 @@ def test_blocks_and_inline(spark):
     cases = {
         "<h1>One</h1><h2>Two <b>b</b></h2><h6>Six</h6>": "# One\n\n## Two **b**\n\n###### Six",
         "<p>a  \n b</p><p>c<br>d</p>": "a\nb\n\nc\nd",
-        "<p>x <strong> y </strong>z <em>e</em> <code>c_d</code> e_f</p>":
+        "<p>x<strong> y </strong>z <em>e</em> <code>c_d</code> e_f</p>":
             "x **y** z *e* `c_d` e\\_f",
         '<p><a href="/u">t</a> <a href="/u" title="T">t</a> <a href="">n</a> <a>m</a></p>':
             '[t](/u) [t](/u "T") n m',
