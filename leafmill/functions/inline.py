@@ -70,15 +70,28 @@ def _mark(tag: Column) -> Column:
 
 
 def _flow_text(piece: Column, in_code: Column, escape: bool) -> Column:
-    """Text node as flowing text: blank runs to one space, line breaks to one newline."""
-    flat = F.regexp_replace(F.translate(piece, "\r\t\f", "\n  "), " {2,}", " ")
-    flat = F.regexp_replace(flat, r" ?(?:\n ?)++", "\n")
-    if not escape:
-        return flat
-    return let(
-        flat,
-        lambda t: F.when(in_code, t).otherwise(F.regexp_replace(t, "([*_])", r"\\$1")),
-    )
+    """Text node as flowing text: blank runs to one space, line breaks to one newline.
+
+    Byte searches come first: most texts need neither of the two passes.
+    """
+
+    def holds(t: Column, *needles: str) -> Column:
+        found = F.contains(t, F.lit(needles[0]))
+        for needle in needles[1:]:
+            found = found | F.contains(t, F.lit(needle))
+        return found
+
+    def flat(t: Column) -> Column:
+        spaced = F.regexp_replace(F.translate(t, "\r\t\f", "\n  "), " {2,}", " ")
+        broken = F.regexp_replace(spaced, r" ?(?:\n ?)++", "\n")
+        return F.when(holds(t, "  ", "\n", "\t", "\r", "\f"), broken).otherwise(t)
+
+    def escaped(t: Column) -> Column:
+        return F.when(
+            holds(t, "*", "_") & ~in_code, F.regexp_replace(t, "([*_])", r"\\$1")
+        ).otherwise(t)
+
+    return let(let(piece, flat), escaped) if escape else let(piece, flat)
 
 
 def marked_text(body: Column, escape: bool = True) -> Column:

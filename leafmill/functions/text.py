@@ -30,9 +30,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_SPACE_CHARS = [chr(n) for n in range(0x3001) if chr(n).isspace()]
+
+
 def strip(c: Column) -> Column:
     """Drop Unicode whitespace at both ends."""
-    return F.regexp_replace(c, rf"^[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z", "")
+
+    def trimmed(t: Column) -> Column:
+        # Most texts need nothing: look at two characters before running the pattern.
+        loose = F.left(t, F.lit(1)).isin(_SPACE_CHARS) | F.right(t, F.lit(1)).isin(_SPACE_CHARS)
+        bare = F.regexp_replace(t, rf"^[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z", "")
+        return F.when(loose, bare).otherwise(t)
+
+    return let(c, trimmed)
 
 
 def is_blank(c: Column) -> Column:
