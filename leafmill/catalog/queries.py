@@ -108,7 +108,8 @@ def status_filter(spark, sf):
 
 def _cited_docs(spark, sf):
     docs = inputs.md_docs(spark, sf)
-    return sinks.with_unique_slug(plans.cited(docs, refs=True))
+    slugs = sinks.with_unique_slug(docs.select("doc_id", "url")).select("doc_id", "slug")
+    return plans.cited(docs, refs=True).join(slugs, "doc_id")
 
 
 @query("SNK1")
@@ -134,8 +135,8 @@ def concatenated_output(spark, sf):
 
 @query("SNK4")
 def metadata_json_sink(spark, sf):
-    records = plans.metadata_job(inputs.meta_pages(spark, sf))
-    return sinks.metadata_files(sinks.with_unique_slug(records))
+    pages = inputs.meta_pages(spark, sf)
+    return sinks.metadata_files(plans.with_slug(plans.metadata_job(pages), pages))
 
 
 def _archive(spark, sf):

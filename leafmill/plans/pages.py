@@ -9,7 +9,7 @@ from leafmill.functions.citations import add_citations, with_references
 from leafmill.functions.markdown import clean_markdown, strip_images
 from leafmill.operators.convert import to_markdown
 from leafmill.operators.crawl import deep_crawl
-from leafmill.operators.dedupe import dedupe_by_content
+from leafmill.operators.dedupe import fingerprint, keep_first
 from leafmill.operators.media import embed_images
 from leafmill.operators.metadata import extract_metadata, metadata_json, with_publication_date
 from leafmill.operators.ordering import date_order, limit_per_group
@@ -57,6 +57,15 @@ def markdown_job(
     return docs.withColumn("output", with_references(F.col("markdown"), F.col("references")))
 
 
+def with_slug(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds each page's unique ``slug``, worked out from the url column alone.
+
+    Counting clashes on ``docs`` itself would compute the documents twice.
+    """
+    slugs = with_unique_slug(pages.select("page_id", "url")).select("page_id", "slug")
+    return docs.join(slugs, "page_id")
+
+
 def metadata_job(pages: DataFrame) -> DataFrame:
     """Metadata record of each page plus its ``json`` text; no shuffle."""
     records = extract_metadata(pages)
@@ -70,7 +79,7 @@ def archive_job(pages: DataFrame, options: Options) -> DataFrame:
     # Both inputs of each join are keyed on page_id, which the conversion already
     # shuffled on.
     joined = (
-        with_unique_slug(docs)
+        with_slug(docs, full)
         .join(metadata_job(full).select("page_id", "json"), "page_id")
         .join(full.select("page_id", "screenshot", "pdf"), "page_id")
     )
@@ -80,12 +89,12 @@ def archive_job(pages: DataFrame, options: Options) -> DataFrame:
 def run_mode(pages: DataFrame, options: Options, assets: DataFrame | None = None) -> DataFrame:
     """The job for ``options.mode`` over a page table."""
     if options.mode == "markdown":
-        return with_unique_slug(markdown_job(pages, options, assets))
+        return with_slug(markdown_job(pages, options, assets), pages)
     if options.mode == "metadata":
-        return with_unique_slug(metadata_job(pages))
+        return with_slug(metadata_job(pages), pages)
     if options.mode == "archive":
         return archive_job(pages, options)
-    full = with_unique_slug(complete(pages).select("page_id", "url", options.mode))
+    full = with_slug(complete(pages).select("page_id", options.mode), pages)
     return payload_files(full, options.mode, ".png" if options.mode == "screenshot" else ".pdf")
 
 
@@ -109,12 +118,13 @@ def crawl_job(
     reached = pages.join(visits.select("page_id").distinct(), "page_id", "left_semi")
     if options.dedupe:
         # The fingerprint looks at the converted page, not at the selector or repairs.
+        # Only the fingerprint meets the visits: a page that many seeds reach is
+        # converted once and its text is not copied per seed.
         docs = to_markdown(reached, strip_boilerplate=not options.raw)
-        visits = dedupe_by_content(
-            visits.join(docs.select("page_id", "markdown"), "page_id"),
-            ["crawl_rank"],
-            within=["seed_id"],
-        ).drop("markdown")
+        prints = docs.select("page_id", fingerprint(F.col("markdown")).alias("fingerprint"))
+        visits = keep_first(
+            visits.join(prints, "page_id"), ["seed_id", "fingerprint"], ["crawl_rank"]
+        ).drop("fingerprint")
     dated = visits.join(with_publication_date(reached).drop("url"), "page_id")
     order = (
         date_order(descending=True, undated=options.undated)
