@@ -62,6 +62,16 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder that the caller's lazy result goes on reading.
+
+    Unlike a checkpoint it has a size that the planner knows.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder that this library has written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

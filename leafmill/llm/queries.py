@@ -2,27 +2,139 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import neardup
+from leafmill.llm import decontam, mixing, neardup, sharding
+from leafmill.llm.common import shared_folder
+
+OLD_SHARDS, SHARDS = 32, 40
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def old_shard() -> Column:
+    """The layout before resharding: 32 shards by a hash of the id."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)).cast("int")
+
+
+def op2_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.reshard(docs, old_shard(), OLD_SHARDS, SHARDS, path)
+    return sharding.read_shards(docs, path).select(
+        "doc_id",
+        sharding.row_size(F.col("text")).alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+# Shares of the mix. A source's domain is the number in its name modulo 4.
+DOMAIN_WEIGHTS = {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}
+LANG_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 1}
+SOURCE_WEIGHTS = {"src0": 2}
+MIX_WEIGHTS = {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS, "source": SOURCE_WEIGHTS}
+
+
+def mix_levels() -> dict[str, Column]:
+    number = F.expr("try_cast(regexp_extract(source, '[0-9]+', 0) as bigint)")
+    domain = F.concat(F.lit("domain"), (F.coalesce(number, F.lit(0)) % 4).cast("string"))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op5_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix(
+        docs, mix_levels(), MIX_WEIGHTS, budget_share=0.9, max_epochs=2, seed=17
+    ).select(
+        "doc_id", "domain", "lang", "source", "epoch", "leaf_budget", "n_tokens", "taken_tokens"
+    )
+
+
+def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_min_cost_resharding": op2_min_cost_resharding,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op5_hierarchical_mixing": op5_hierarchical_mixing,
+        "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
     }
 
 
+def _level_sql(above: str, name: str, parent: list[str], level: str, weights: dict) -> str:
+    """One level of water-filling, written as plain windows."""
+    below = ", ".join([*parent, level])
+    over = f"partition by {', '.join(parent)}" if parent else ""
+    cases = " ".join(f"when '{k}' then {v}.0" for k, v in weights.items())
+    join = " and ".join(f"l.{c} = p.{c}" for c in parent) or "true"
+    return f"""
+    {name}_w as (
+      select {", ".join(f"l.{c}" for c in [*parent, level])},
+        cast(sum(l.tokens) * 2 as double) as cap,
+        cast(case l.{level} {cases} else 1.0 end as double) as w, any_value(p.b) as b
+      from leaves l join {above} p on {join} group by all),
+    {name}_line as (
+      select *, (b - coalesce(sum(cap) over ({over} order by cap / w, {level}
+          rows between unbounded preceding and 1 preceding), 0.0))
+        / sum(w) over ({over} order by cap / w, {level}
+          rows between current row and unbounded following) as line
+      from {name}_w),
+    {name} as (
+      select {below}, greatest(least(cap, w * max(line) over ({over})), 0.0) as b
+      from {name}_line),"""
+
+
+OP5_SQL = f"""
+with docs as (
+  select doc_id,
+    'domain' || coalesce(try_cast(regexp_extract(source, '[0-9]+') as bigint), 0) % 4 as domain,
+    coalesce(lang, '(none)') as lang, coalesce(source, '(none)') as source,
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as n_tokens
+  from documents),
+leaves as (
+  select domain, lang, source, sum(n_tokens)::bigint as tokens from docs group by all),
+root as (select floor(sum(tokens) * 0.9::double) as b from leaves),
+{_level_sql("root", "domains", [], "domain", DOMAIN_WEIGHTS)}
+{_level_sql("domains", "langs", ["domain"], "lang", LANG_WEIGHTS)}
+{_level_sql("langs", "sources", ["domain", "lang"], "source", SOURCE_WEIGHTS)}
+plan as (
+  select l.*, floor(b)::bigint as leaf_budget,
+    case when tokens = 0 then 0 else floor(b)::bigint // tokens end as full_epochs,
+    case when tokens = 0 then 0 else floor(b)::bigint % tokens end as rest
+  from leaves l join sources using (domain, lang, source)),
+epochs as (
+  select d.*, p.leaf_budget, p.full_epochs, p.rest, e.epoch,
+    md5('17-' || e.epoch || '-' || d.doc_id) as key
+  from docs d join plan p using (domain, lang, source)
+    join (select unnest(range(0, 3)) as epoch) e on e.epoch <= p.full_epochs),
+placed as (
+  select *, coalesce(sum(n_tokens) over (partition by domain, lang, source, epoch
+    order by key rows between unbounded preceding and 1 preceding), 0) as start
+  from epochs)
+select doc_id, domain, lang, source, epoch::bigint as epoch, leaf_budget, n_tokens,
+  (case when epoch < full_epochs then n_tokens else least(n_tokens, rest - start) end)::bigint
+    as taken_tokens
+from placed where epoch < full_epochs or start < rest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_hierarchical_mixing": OP5_SQL}
