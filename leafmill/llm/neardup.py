@@ -10,9 +10,10 @@
 3. Representatives that share a band are candidates. Within a bucket all pairs are never
    listed: a bucket's smallest id is compared with its members, links are contracted to
    components, and only buckets whose members still lie in different components go on.
-   There, a few members outside the bucket's largest component are compared with all
-   members of other components and then leave the bucket. It ends when no bucket spans
-   two components, so every pair of a bucket is either compared or already connected.
+   There, the members outside the bucket's largest component are compared with all members
+   of other components. Both sides are cut into blocks of bounded size, a pair of blocks is
+   one task's work, and only links that join two components leave it. A pair is compared
+   in the first band it shares. So every pair of a bucket is compared or already connected.
 4. A candidate pair is first judged by its odd sketches, with a margin of more than five
    standard errors, and then confirmed on the full sets.
 
@@ -30,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import (
@@ -49,8 +49,8 @@ SKETCH_BITS = 1024
 # A pair goes on to its full sets if the sketches put it above threshold - SKETCH_MARGIN.
 # One standard error is about 0.035 from sampling and 0.015 from the bitmap.
 SKETCH_MARGIN = 0.22
-# Members of a bucket that are compared with the rest of it per round.
-CENTRES = 8
+# Shingles in a block of a bucket that is compared inside one task (8 bytes each).
+BLOCK_SHINGLES = 400_000
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -167,6 +167,55 @@ def sketch_similarity(a: Column, b: Column) -> Column:
     return F.when(free > 0, estimate).otherwise(0.0)
 
 
+def _compared(similarity: tuple[int, int]):
+    """Links between the asking rows of a block and the rows of other components."""
+    need, base = similarity
+    floor = need / base - SKETCH_MARGIN
+    most_ones = SKETCH_BITS * (1 - np.exp((floor - 1) * 4 * BANDS * ROWS / SKETCH_BITS)) / 2
+
+    def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return flat.view(np.uint64).reshape(-1, width)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids = table.column("doc_id").to_numpy()
+        asks = table.column("asks").to_numpy()
+        bands = matrix(table.column("bands"), BANDS)
+        sketch = matrix(table.column("sketch"), SKETCH_BITS // 64)
+        members = table.column("members").combine_chunks()
+        flat = members.flatten().to_numpy()
+        sizes = np.diff(members.offsets.to_numpy()).astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        seen, code = np.unique(flat, return_inverse=True)
+        this = int(np.flatnonzero(bands[0].view(np.int64) == key[0].as_py())[0])
+        _, root = np.unique(table.column("root").to_numpy(), return_inverse=True)
+        marked = np.zeros(len(seen), bool)
+        out: list[tuple[int, int]] = []
+        for i in np.flatnonzero(asks):
+            near = ~asks & (root != root[i])
+            near &= base * np.minimum(sizes, sizes[i]) >= need * np.maximum(sizes, sizes[i])
+            at = np.flatnonzero(near)
+            ones = np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            at = at[ones <= most_ones]
+            at = at[~(bands[at, :this] == bands[i, :this]).any(axis=1)]
+            if not len(at):
+                continue
+            own = code[starts[i] : starts[i] + sizes[i]]
+            marked[own] = True
+            theirs = np.concatenate([code[starts[j] : starts[j] + sizes[j]] for j in at])
+            cuts = np.concatenate([[0], np.cumsum(sizes[at])[:-1]])
+            both = np.add.reduceat(marked[theirs], cuts, dtype=np.int64)
+            marked[own] = False
+            for j in at[base * both >= need * (sizes[at] + sizes[i] - both)]:
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    out.append((int(ids[i]), int(ids[j])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) with the smallest node of each component; alternating star contraction.
 
@@ -287,42 +336,60 @@ def near_duplicates(
 
         stars = buckets.filter("doc_id != low").select(F.col("low").alias("a"), "doc_id").distinct()
         roots = components(confirmed(stars.toDF("a", "b")).union(links))
-        # The smallest id of each bucket has been compared with all of it.
-        open_ = buckets.filter("doc_id != low").select("band", "doc_id")
-        while True:
-            placed = open_.join(roots.toDF("doc_id", "root"), "doc_id", "left").select(
-                "band", "doc_id", F.coalesce("root", "doc_id").alias("root")
-            )
-            sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-            main = (
-                sizes.groupBy("band")
-                .agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
-                .filter("roots > 1")
-                .select("band", F.col("m.root").alias("main"))
-            )
-            placed = checkpointed(placed.join(main, "band"))
-            if placed.isEmpty():
-                break
-            order = W.partitionBy("band").orderBy(F.xxhash64("doc_id", "band"), "doc_id")
-            centres = (
-                placed.filter("root != main")
-                .withColumn("turn", F.row_number().over(order))
-                .filter(F.col("turn") <= CENTRES)
-                .select("band", F.col("doc_id").alias("centre"), F.col("root").alias("own"))
+        # The smallest id of each bucket has been compared with all of it. In buckets that
+        # still span several components, members outside the largest one ask all others.
+        rest = buckets.filter("doc_id != low").select("band", "doc_id")
+        rest = rest.join(roots.toDF("doc_id", "root"), "doc_id", "left").select(
+            "band", "doc_id", F.coalesce("root", "doc_id").alias("root")
+        )
+        inside = rest.groupBy("band", "root").agg(F.count("*").alias("n"))
+        main = (
+            inside.groupBy("band")
+            .agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
+            .filter("roots > 1")
+            .select("band", F.col("m.root").alias("main"))
+        )
+        open_ = (
+            rest.join(main, "band")
+            .join(reps.select("doc_id", "n_shingles", "bands", "sketch"), "doc_id")
+            .withColumn("minor", F.col("root") != F.col("main"))
+        )
+        weight = (
+            open_.groupBy("band")
+            .agg(
+                F.sum("n_shingles").alias("all_size"),
+                F.sum(F.when(F.col("minor"), F.col("n_shingles"))).alias("minor_size"),
             )
-            pairs = (
-                placed.join(centres, "band")
-                .filter("root != own")
-                .select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre"))
-                .toDF("a", "b")
-                .distinct()
+            .select(
+                "band",
+                F.ceil(F.col("minor_size") / BLOCK_SHINGLES).cast("int").alias("minor_blocks"),
+                F.ceil(F.col("all_size") / BLOCK_SHINGLES).cast("int").alias("blocks"),
             )
-            roots = components(confirmed(pairs).union(roots.toDF("a", "b")))
-            open_ = placed.join(
-                centres.select("band", F.col("centre").alias("doc_id")),
-                ["band", "doc_id"],
-                "left_anti",
-            ).select("band", "doc_id")
+        )
+
+        def block(n: str) -> Column:
+            return F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+
+        def every(n: str) -> Column:
+            return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+        row = ["band", "doc_id", "root", "bands", "sketch"]
+        open_ = open_.join(weight, "band")
+        asking = open_.filter("minor").select(
+            *row, F.lit(True).alias("asks"), block("minor_blocks").alias("p"), every("blocks")
+        )
+        asked = open_.select(
+            *row, F.lit(False).alias("asks"), every("minor_blocks"), block("blocks").alias("q")
+        )
+        names = [*row, "asks", "p", "q"]
+        found_links = (
+            asking.toDF(*names)
+            .union(asked.toDF(*names))
+            .join(sets, "doc_id")
+            .groupBy("band", "p", "q")
+            .applyInArrow(_compared(similarity), "a long, b long")
+        )
+        roots = components(found_links.union(roots.toDF("a", "b")))
 
         final = classes.join(roots.toDF("rep", "root"), "rep", "left").select(
             *own, F.coalesce("root", "rep").alias("root")
