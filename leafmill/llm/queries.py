@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontam, mixing, neardup, sharding
+from leafmill.llm import decontam, language, mixing, neardup, sharding
 from leafmill.llm.common import shared_folder
 
 OLD_SHARDS, SHARDS = 32, 40
@@ -18,6 +18,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"), 4, 2)
+    model = language.fit(docs.filter(~out))
+    return language.identify(docs, model).withColumn("held_out", out)
+
+
 def old_shard() -> Column:
     """The layout before resharding: 32 shards by a hash of the id."""
     return F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)).cast("int")
@@ -72,6 +79,7 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_ecoc": op1_language_ecoc,
         "op2_min_cost_resharding": op2_min_cost_resharding,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op5_hierarchical_mixing": op5_hierarchical_mixing,
