@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontam, language, mixing, neardup, sharding
+from leafmill.llm import decontam, language, mixing, neardup, rules, sharding, toxicity
 from leafmill.llm.common import shared_folder
 
 OLD_SHARDS, SHARDS = 32, 40
@@ -49,6 +49,16 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op4_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = rules.statistics(_table(spark, sf_dir, "documents"))
+    verdict = rules.fit(stats, _table(spark, sf_dir, "labels")).column()
+    failed = rules.base_failed()
+    return stats.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & verdict).alias("kept"),
+    )
+
+
 # Shares of the mix. A source's domain is the number in its name modulo 4.
 DOMAIN_WEIGHTS = {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}
 LANG_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 1}
@@ -71,6 +81,15 @@ def op5_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").filter(~out))
+    return toxicity.score(docs, model).select(
+        "doc_id", out.alias("held_out"), "score", "predicted", "weight", "n_words"
+    )
+
+
 def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -82,7 +101,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_ecoc": op1_language_ecoc,
         "op2_min_cost_resharding": op2_min_cost_resharding,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op4_decision_list_quality": op4_decision_list_quality,
         "op5_hierarchical_mixing": op5_hierarchical_mixing,
+        "op6_lexicon_toxicity": op6_lexicon_toxicity,
         "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
     }
 
