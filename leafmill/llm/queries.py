@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontam, language, mixing, neardup, rules, sharding, toxicity
+from leafmill.llm import decontam, language, mixing, neardup, rules, sharding, tokenbin, toxicity, warc
 from leafmill.llm.common import shared_folder
 
 OLD_SHARDS, SHARDS = 32, 40
@@ -90,6 +90,23 @@ def op6_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    manifest = tokenbin.write_ids(_table(spark, sf_dir, "documents"), folder, path, end_id=1)
+    return tokenbin.read_ids(manifest, folder, tokenbin.id_bytes(path))
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, manifest, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -104,6 +121,8 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decision_list_quality": op4_decision_list_quality,
         "op5_hierarchical_mixing": op5_hierarchical_mixing,
         "op6_lexicon_toxicity": op6_lexicon_toxicity,
+        "op7_token_ids": op7_token_ids,
+        "op8_warc_round_trip": op8_warc_round_trip,
         "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
     }
 
