@@ -95,6 +95,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _LOWER_BYTE = _BYTE.copy()
 _LOWER_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
@@ -159,9 +162,15 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def word_hashes(
-    data: np.ndarray, offsets: np.ndarray, lower: bool = True
+    data: np.ndarray,
+    offsets: np.ndarray,
+    lower: bool = True,
+    endings: list[np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word and the number of words of every row."""
+    """Hash of every word and the number of words of every row.
+
+    ``endings`` gets the last two bytes of the words (A-Z lower-cased) as numbers.
+    """
     found: list[np.ndarray] = []
     rows: list[np.ndarray] = []
     for a, b in windows(data, offsets):
@@ -169,6 +178,10 @@ def word_hashes(
         first, last = np.searchsorted(offsets, [a, b])
         starts, ends = spans(part, offsets[first:last] - a)
         found.append(span_hashes(part, starts, ends, lower))
+        if endings is not None:
+            last = _FOLD[part[ends - 1]].astype(np.uint16)
+            before = np.where(ends - starts > 1, _FOLD[part[ends - 2]], 0).astype(np.uint16)
+            endings.append(before << np.uint16(8) | last)
         rows.append(np.searchsorted(offsets, starts + a, side="right") - 1)
     count = np.zeros(len(offsets) - 1, np.int64)
     for r in rows:

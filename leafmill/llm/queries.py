@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontam, language, mixing, neardup, rules, sharding, tokenbin, toxicity, warc
+from leafmill.llm import decontam, hmm, language, mixing, neardup, rules, sharding, tokenbin, toxicity, warc
 from leafmill.llm.common import shared_folder
 
 OLD_SHARDS, SHARDS = 32, 40
@@ -107,6 +107,12 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(
+        _table(spark, sf_dir, "documents"), language.held_out(F.col("doc_id"), 5, 1)
+    )
+
+
 def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -123,6 +129,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_lexicon_toxicity": op6_lexicon_toxicity,
         "op7_token_ids": op7_token_ids,
         "op8_warc_round_trip": op8_warc_round_trip,
+        "op9_hidden_markov_scores": op9_hidden_markov_scores,
         "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
     }
 

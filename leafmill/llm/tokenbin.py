@@ -89,7 +89,7 @@ def _written_parts(folder: str, path: str, width: int, end_id: int, whole: bool)
                 if file is None:
                     part = piece.column("part")[0].as_py()
                     system, place = opened(f"{folder}/{name}.ids")
-                    file = system.open_output_stream(place)
+                    file = system.open_output_stream(place, compression=None)
                 rows = encode(piece.column("text").to_pylist(), path, width, whole)
                 for row in rows:
                     file.write(row)
@@ -100,7 +100,7 @@ def _written_parts(folder: str, path: str, width: int, end_id: int, whole: bool)
             file.close()
             sizes = np.concatenate(counts)
             local = np.concatenate([np.concatenate(ids), sizes]).astype("<i8")
-            with system.open_output_stream(f"{place[:-4]}.len") as out:
+            with system.open_output_stream(f"{place[:-4]}.len", compression=None) as out:
                 out.write(local.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -130,7 +130,7 @@ def _indexed(folder: str):
                 np.cumsum(sizes, out=index[1:, 1])
                 index[1:, 1] += row["base"]
                 system, place = opened(f"{folder}/{row['name']}-{uuid.uuid4().hex}.idx")
-                with system.open_output_stream(place) as out:
+                with system.open_output_stream(place, compression=None) as out:
                     out.write(index.tobytes())
                 row["index"] = place.rsplit("/", 1)[1]
                 yield pa.RecordBatch.from_pylist([row], schema=_MANIFEST)

@@ -131,7 +131,7 @@ def write_archives(
                 for row in batch.slice(at, 64).to_pylist():
                     if out is None:
                         system, place = opened(f"{folder}/{name}")
-                        out = system.open_output_stream(place)
+                        out = system.open_output_stream(place, compression=None)
                     member = record(
                         row["page_id"], row["url"], row["html"].encode(), row["refers_to"], level
                     )
