@@ -255,6 +255,20 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     )
 
 
+def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Rows of ``docs`` whose language is told without ambiguity, all columns unchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                if model is not None:
+                    margins, count = model.margins(part)
+                    score = model.decode(margins)[1]
+                    yield part.filter(pa.array((count > 0) & (score >= AMBIGUOUS)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32(doc_id as text) mod folds = fold; a null id is not held out."""
     rest = F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))

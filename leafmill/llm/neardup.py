@@ -41,6 +41,7 @@ from leafmill.llm.common import (
     slices,
     text_buffer,
     word_hashes,
+    written,
 )
 
 SHINGLE = 5
@@ -409,3 +410,9 @@ def near_duplicates(
                 F.coalesce(F.col("doc_id") == F.col("root"), F.lit(True)).alias("kept"),
             )
         )
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Rows of ``docs`` without those whose component has a smaller id."""
+    gone = near_duplicates(docs, shingle).filter("not kept").select("doc_id").distinct()
+    return docs.join(written(gone, "copies"), "doc_id", "left_anti").select(docs.columns)

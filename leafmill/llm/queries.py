@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,8 +122,28 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     )
 
 
+def _for_workers(
+    query: Callable[[SparkSession, str], DataFrame],
+) -> Callable[[SparkSession, str], DataFrame]:
+    """Python workers on this machine find the package also if only the driver's path has it."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        find_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+def find_package(spark: SparkSession) -> None:
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_language_ecoc": op1_language_ecoc,
         "op2_min_cost_resharding": op2_min_cost_resharding,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
@@ -132,6 +155,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_hidden_markov_scores": op9_hidden_markov_scores,
         "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
     }
+    return {name: _for_workers(query) for name, query in found.items()}
 
 
 def _level_sql(above: str, name: str, parent: list[str], level: str, weights: dict) -> str:
