@@ -7,8 +7,8 @@ keep two of four blocks of three tokens (all other choices are shifts of these),
 twelve aligned tokens with at most two substitutions share at least one seed.
 
 A seed hit fixes a diagonal. Around the hit the tokens of both sides are compared one by
-one, REACH tokens each way, and the run with the best score (+1 a match, -2 a mismatch)
-is the overlap. Overlaps of at least ``min_tokens`` tokens, ``min_share`` of them equal,
+one, REACH tokens each way, and the run with the best score (+1 a match, -2 a mismatch; the longest
+of equally good ones) is the overlap. Overlaps of at least ``min_tokens`` tokens, ``min_share`` of them equal,
 are reported. Runs of hits on one diagonal are judged once per REACH tokens.
 
 Seeds of the items are broadcast only if there are at most BROADCAST_SEEDS of them (about
@@ -79,7 +79,10 @@ def _positions(rows: DataFrame, keys: list[str], masks: tuple[str, ...]) -> Data
 
 
 def _best_run(flags: Column) -> Column:
-    """Start, length and matches of the run with the highest score (+1 a match, -2 else)."""
+    """Start, length and matches of the run with the highest score (+1 a match, -2 else).
+
+    Of equally good runs the longest, then the first.
+    """
     zero = F.lit(0)
     start = F.struct(
         zero.alias("i"), zero.alias("now"), zero.alias("since"), zero.alias("hits"),
@@ -87,11 +90,12 @@ def _best_run(flags: Column) -> Column:
     )
 
     def step(s: Column, flag: Column) -> Column:
-        fresh = s["now"] <= 0
+        fresh = s["now"] < 0
         now = F.when(fresh, 0).otherwise(s["now"]) + F.when(flag, 1).otherwise(-2)
         since = F.when(fresh, s["i"]).otherwise(s["since"])
         hits = F.when(fresh, 0).otherwise(s["hits"]) + flag.cast("int")
-        better = now > s["best"]
+        longer = (now == s["best"]) & (s["i"] - since + 1 > s["length"])
+        better = (now > s["best"]) | longer
         return F.struct(
             (s["i"] + 1).alias("i"), now.alias("now"), since.alias("since"), hits.alias("hits"),
             F.when(better, now).otherwise(s["best"]).alias("best"),

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import WORD, checkpointed
+from leafmill.llm.common import WORD, checkpointed, written
 
 MISSING = "(none)"
 _RANGE_DIGITS = 3  # hex digits of the key that name a range
@@ -121,10 +121,12 @@ def mix(
         budget = float(int(total * (1.0 if budget_share is None else budget_share)))
     plan = leaf_budgets(leaves, names, budget, weights, default_weight, max_epochs)
     empty = F.col("tokens") == 0
-    plan = checkpointed(
+    # written with a known size, so that a short list of leaves is not a reason to move texts
+    plan = written(
         plan.withColumn("full", F.when(empty, 0).otherwise(F.expr("leaf_budget div tokens")))
         .withColumn("rest", F.when(empty, 0).otherwise(F.col("leaf_budget") % F.col("tokens")))
-        .withColumn("full", F.col("full").cast("long"))
+        .withColumn("full", F.col("full").cast("long")),
+        "budgets",
     )
 
     # Where the prefix of the partial epoch ends: first its range, then the key.
@@ -153,7 +155,7 @@ def mix(
             F.max_by(F.col("rest") - F.col("start"), "key").alias("last_tokens"),
         )
     )
-    plan = plan.drop("tokens").join(ends, names, "left")
+    plan = written(plan.drop("tokens").join(ends, names, "left"), "prefixes")
     whole = F.col("epoch") < F.col("full")
     key = order_key(seed, F.col("epoch"), F.col("doc_id"))
     return (
