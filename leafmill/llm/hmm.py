@@ -167,8 +167,8 @@ def _symbols(vocabulary: Vocabulary):
                         part.column("held_out"),
                         part.column("fold"),
                         pa.array(counts + 1),
-                        pa.array(sums["base"]),
-                        pa.array(sums["inside"]),
+                        pa.array(sums["base"].astype(np.float64)),
+                        pa.array(sums["inside"].astype(np.float64)),
                         pa.array(sums["known"].astype(np.int64)),
                         seqs,
                         pa.ListArray.from_arrays(pa.array(cuts), other),

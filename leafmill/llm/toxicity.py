@@ -9,7 +9,7 @@ words, that occur in toxic documents far more often than in clean ones. A term e
 if an excess like its own is to be expected less than ALPHA times among all terms by
 chance (Chernoff bound); its weight is the log odds of its shares of toxic and clean
 documents. Near copies would lend their words false support, so of documents with the
-same minimum word hash one is counted. ``extra`` adds terms with given weights.
+same smallest hash of COPY_WORDS consecutive words one is counted. ``extra`` adds terms with given weights.
 
 An automaton finds all terms at once. Each word counts with its heaviest term; words inside
 an exception phrase count nothing. A logistic curve over log(1 + weight) and, where
@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import mix, slices, span_hashes, spans
+from leafmill.llm.common import slices, word_hashes
+from leafmill.llm.neardup import shingles
 
 TOXIC_ROWS, CLEAN_ROWS = 3_000, 9_000
 STEMS = (4, 5)
+COPY_WORDS = 4
 ALPHA = 0.05
 LEAST_WEIGHT = 2.0
 THRESHOLD = 0.7
@@ -84,16 +86,17 @@ def folded(text: str | None) -> str:
 
 
 def terms_of(text: str | None) -> tuple[set[str], int]:
-    """Words (`` word ``) and stems (`` ste``) of a text, and its smallest word hash."""
-    words = set(folded(text).split())
+    """Words (`` word ``) and stems (`` ste``) of a text, and its smallest shingle hash."""
+    plain = folded(text)
+    words = set(plain.split())
     found = {f" {w} " for w in words}
     for n in STEMS:
         found |= {f" {w[:n]}" for w in words if len(w) > n}
     if not words:
         return found, 0
-    raw = np.frombuffer(" ".join(sorted(words)).encode(), np.uint8)
-    starts, ends = spans(raw, np.zeros(0, np.int64))
-    return found, int(mix(span_hashes(raw, starts, ends)).min().view(np.int64))
+    raw = np.frombuffer(plain.encode(), np.uint8)
+    hashes, _ = word_hashes(raw, np.array([0, len(raw)]))
+    return found, int(shingles(hashes, COPY_WORDS)[0].view(np.int64))
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
