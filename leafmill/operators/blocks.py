@@ -167,12 +167,14 @@ def with_nesting(blocks: DataFrame, key: str = "page_id") -> DataFrame:
     return deep.withColumn("list_no", F.count_if(outermost).over(running))
 
 
-def drop_stripped_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks outside navigation, footer, header and aside.
+def drop_stripped_blocks(blocks: DataFrame, exempt: Column | None = None) -> DataFrame:
+    """Blocks outside navigation, footer, header and aside, and ``exempt`` ones.
 
     The first row of a page always stays, emptied if need be: it stands for the page.
     """
     outside = F.col("strip_depth") == 0
+    if exempt is not None:
+        outside = outside | exempt
     return blocks.filter(outside | (F.col("pos") == 0)).withColumn(
         "text", F.when(outside, F.col("text")).otherwise("")
     )

@@ -102,11 +102,12 @@ def _render(c: Column, prev: Column, nxt: Column) -> Column:
         .otherwise(paragraph_break)
     )
     one_line = F.replace(c["text"], F.lit("\n"), F.lit(" "))
+    cell = F.replace(one_line, F.lit("|"), F.lit("\\|"))
     fenced = F.concat(F.lit("```\n"), c["text"], F.lit("\n```"))
     prefix = F.concat(quote, indent)
     row = F.concat(
         F.when(same_row, "").otherwise(F.concat(quote, F.lit("| "))),
-        one_line,
+        cell,
         F.when(row_ends, " |").otherwise(""),
         F.when(
             row_ends & (c["row"] <= 1),
@@ -177,9 +178,11 @@ def to_markdown(
 ) -> DataFrame:
     """(key, url, markdown) of each page.
 
-    A selector that matches takes the place of main-content extraction; pages it
-    does not match fall back to it (or to the whole page when that is off). Blank
-    html gives ''. Subtrees of navigation, footer, header and aside never appear.
+    A selector that matches takes the place of main-content extraction, and stripping
+    then looks inside the match only; pages it does not match fall back to it (or to
+    the whole page when that is off). Blank html gives ''. Subtrees of navigation, footer,
+    header and aside never appear. ``key`` must be unique (``sources.pages.repeated_keys``
+    tells): rows that share one are taken for one page.
     """
     flags: dict[str, Column] = {}
     if strip_boilerplate:
@@ -187,7 +190,14 @@ def to_markdown(
     if selector is not None:
         flags.update(selector_flags(selector))
     split = b.split_blocks(pages, key, escape, flags)
-    nested = b.drop_stripped_blocks(b.with_nesting(split, key))
+    nested = b.with_nesting(split, key)
+    if selector is None:
+        nested = b.drop_stripped_blocks(nested)
+    else:
+        # The selection is made on all blocks; then pages with a match keep them, the
+        # others lose what is stripped, as if there were no selector.
+        marked = mark_selected(b.with_levels(nested, key), selector, key)
+        nested = b.drop_stripped_blocks(marked, F.col("matched")).drop("level", "end", "bullet")
     if strip_boilerplate:
         nested = mark_main_content(
             b.with_levels(with_text_sums(nested, key), key, at_end=TEXT_SUMS),
@@ -197,7 +207,8 @@ def to_markdown(
     else:
         nested = b.with_levels(nested, key).withColumn("kept", F.lit(True))
     if selector is not None:
-        nested = mark_selected(nested, selector, key)
+        kept = F.when(F.col("matched"), F.col("chosen")).otherwise(F.col("kept"))
+        nested = nested.withColumn("kept", kept)
     kept = nested.filter(F.col("kept") | (F.col("pos") == 0)).withColumn(
         "text", F.when(F.col("kept"), F.col("text")).otherwise("")
     )

@@ -1,8 +1,11 @@
 """CSS selectors over block rows.
 
-Supported: element names, ``.class``, ``#id``, ``[attr]``, ``[attr=value]``, their
-combinations, the descendant combinator and comma lists, for block-level elements.
-A selected container stands for everything inside it, any other block for its text.
+Supported: element names, ``.class``, ``#id``, ``[attr]`` with ``=``, ``^=``, ``$=``, ``*=`` and
+``~=``, ``:not(...)`` of one such condition, their combinations, the descendant combinator and
+comma lists, for block-level elements. A selected container stands for everything inside
+it, any other block for its text. Navigation, footer, header and aside are left out if they
+are selected themselves or lie inside the selected element; what lies around it does
+not matter. Text that several matches hold is given once.
 """
 
 from __future__ import annotations
@@ -15,10 +18,12 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import markup
 from leafmill.operators.blocks import CONTAINERS, LEAVES
+from leafmill.operators.tokens import STRIPPED_TAGS
 
 _PART = re.compile(
     r"\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)"
-    r"|\[(?P<attr>[\w-]+)(?:=(?P<value>\"[^\"]*\"|'[^']*'|[^\]\"']+))?\]"
+    r"|\[(?P<attr>[\w-]+)(?:(?P<op>[\^$*~]?=)(?P<value>\"[^\"]*\"|'[^']*'|[^\]\"']+))?\]"
+    r"|:not\((?P<inner>[^()]+)\)"
     r"|(?P<tag>[A-Za-z][\w-]*|\*)"
 )
 _QUOTED = r"\"[^\"]*\"|'[^']*'"
@@ -39,6 +44,9 @@ def parse_selector(selector: str) -> list[list[list[dict[str, str]]]]:
                     raise ValueError(f"unsupported selector: {selector!r}")
                 parts.append({k: v for k, v in found.groupdict().items() if v is not None})
                 at = found.end()
+            for part in parts:
+                if "inner" in part and not _single(part["inner"]):
+                    raise ValueError(f"unsupported selector: {selector!r}")
             tag = parts[0].get("tag", "*").lower()
             if tag not in ("*", *CONTAINERS, *LEAVES):
                 raise ValueError(f"not a block-level element: {tag!r}")
@@ -49,8 +57,18 @@ def parse_selector(selector: str) -> list[list[list[dict[str, str]]]]:
     return alternatives
 
 
+def _single(text: str) -> dict[str, str] | None:
+    """The one simple condition that ``text`` is, if it is one."""
+    found = _PART.fullmatch(text.strip())
+    if not found or found["inner"]:
+        return None
+    return {k: v for k, v in found.groupdict().items() if v is not None}
+
+
 def _condition(part: dict[str, str]) -> Column:
     block_tag = F.col("block_tag")
+    if "inner" in part:
+        return ~F.coalesce(_condition(_single(part["inner"])), F.lit(False))
     if "tag" in part:
         return F.lit(True) if part["tag"] == "*" else F.col("tag") == part["tag"].lower()
     if "cls" in part:
@@ -60,9 +78,15 @@ def _condition(part: dict[str, str]) -> Column:
     if "id" in part:
         return markup.attribute(block_tag, "id") == part["id"]
     value = markup.attribute(block_tag, re.escape(part["attr"]))
-    if "value" in part:
-        return value == part["value"].strip("\"'")
-    return value.isNotNull()
+    if "value" not in part:
+        return value.isNotNull()
+    wanted = part["value"].strip("\"'")
+    if part["op"] == "=":
+        return value == wanted
+    if part["op"] == "~=":
+        return F.array_contains(F.split(value, r"\s+"), wanted) & F.lit(bool(wanted))
+    found = {"^=": value.startswith, "$=": value.endswith, "*=": value.contains}[part["op"]]
+    return found(wanted) & F.lit(bool(wanted))
 
 
 def selector_flags(selector: str) -> dict[str, Column]:
@@ -79,10 +103,12 @@ def selector_flags(selector: str) -> dict[str, Column]:
 
 
 def mark_selected(blocks: DataFrame, selector: str, key: str = "page_id") -> DataFrame:
-    """Replaces ``kept`` on pages where the selector matches.
+    """Adds ``chosen`` (text of a match) and ``matched`` (the page has a match).
 
     An element's reach is its end position; the running maximum of the reaches of the
-    matches so far tells whether a block lies inside one of them.
+    matches so far tells whether a block lies inside one of them. The last step's
+    maximum runs within the innermost stripped element that is open (``_shell``): a match
+    outside it would hold the block only through that element, which it leaves out.
     """
     order = W.partitionBy(key).orderBy("pos")
     upto = order.rowsBetween(W.unboundedPreceding, 0)
@@ -91,19 +117,30 @@ def mark_selected(blocks: DataFrame, selector: str, key: str = "page_id") -> Dat
         F.col("tag").isin(*CONTAINERS), F.coalesce("end.pos", F.lit(_PAGE_END))
     ).otherwise(F.col("pos") + 1)
 
-    out, chosen = blocks, F.lit(False)
+    same_depth = W.partitionBy(key, "strip_depth").orderBy("pos")
+    opener = F.when(F.col("tag").isin(*STRIPPED_TAGS) & ~F.col("is_close"), F.col("pos"))
+    shell = F.last(opener, ignorenulls=True).over(
+        same_depth.rowsBetween(W.unboundedPreceding, 0)
+    )
+    out = blocks.withColumn("_shell", F.when(F.col("strip_depth") > 0, shell).otherwise(-1))
+    in_shell = (
+        W.partitionBy(key, "_shell").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    )
+
+    chosen, matched = F.lit(False), F.lit(False)
     for a, steps in enumerate(parse_selector(selector)):
         inside = F.lit(True)
         for s in range(len(steps)):
             hit = F.when(inside & F.col(f"match_{a}_{s}"), reach)
             out = out.withColumn(f"_hit_{a}_{s}", hit)
-            frame = upto if s == len(steps) - 1 else before
-            out = out.withColumn(f"_to_{a}_{s}", F.max(f"_hit_{a}_{s}").over(frame))
-            inside = F.coalesce(F.col(f"_to_{a}_{s}") > F.col("pos"), F.lit(False))
-        chosen = chosen | inside
-    out = out.withColumn("_chosen", chosen)
-    matched = F.bool_or("_chosen").over(W.partitionBy(key))
-    helpers = [c for c in out.columns if c.startswith("_")]
-    return out.withColumn(
-        "kept", F.when(matched, F.col("_chosen")).otherwise(F.col("kept"))
-    ).drop(*helpers)
+            if s < len(steps) - 1:
+                out = out.withColumn(f"_to_{a}_{s}", F.max(f"_hit_{a}_{s}").over(before))
+                inside = F.coalesce(F.col(f"_to_{a}_{s}") > F.col("pos"), F.lit(False))
+        # a stripped element that is a match holds nothing
+        last = F.when(opener.isNull(), F.col(f"_hit_{a}_{len(steps) - 1}"))
+        out = out.withColumn(f"_to_{a}", F.max(last).over(in_shell))
+        chosen = chosen | F.coalesce(F.col(f"_to_{a}") > F.col("pos"), F.lit(False))
+        matched = matched | F.col(f"_hit_{a}_{len(steps) - 1}").isNotNull()
+    out = out.withColumn("chosen", chosen & opener.isNull()).withColumn("_matched", matched)
+    out = out.withColumn("matched", F.bool_or("_matched").over(W.partitionBy(key)))
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
