@@ -12,10 +12,6 @@ LINK = r"(?<!!)\[([^\]]*)\]\(([^)]+)\)"
 REFERENCES_TITLE = "## References"
 # ----------------------------------------------------------------------------
 
-# Up to this many distinct URLs a linear look-up is the fastest; above it the
-# number is found by binary search, so a page of 100,000 links stays n log n.
-_LINEAR_LOOKUP = 64
-
 
 def link_urls(markdown: Column) -> Column:
     """URLs of all links in document order, in-page anchors left out."""
@@ -62,19 +58,17 @@ def _cite(markdown: Column, number_of) -> Column:
 
 
 def cite(markdown: Column, urls: Column) -> Column:
-    """Text with every link replaced by its citation number in ``urls``."""
-    linear = _cite(markdown, lambda u: F.array_position(urls, u))
+    """Text with every link replaced by its citation number in ``urls``.
+
+    The numbers are sorted by URL once and found by halving, n log n for every page.
+    """
     ordered = F.array_sort(
         F.transform(urls, lambda u, i: F.struct(u.alias("url"), (i + 1).alias("n")))
     )
     searched = let(
         ordered, lambda o: _cite(markdown, lambda u: _binary_search(o, u))
     )
-    return (
-        F.when(F.size(urls) == 0, markdown)
-        .when(F.size(urls) <= _LINEAR_LOOKUP, linear)
-        .otherwise(searched)
-    )
+    return F.when(F.size(urls) == 0, markdown).otherwise(searched)
 
 
 def references(urls: Column) -> Column:

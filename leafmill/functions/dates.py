@@ -31,12 +31,16 @@ _OFFSET = r"(?:Z|[+-][0-9]{2}(?::?[0-9]{2}(?::?[0-9]{2}(?:\.[0-9]+)?)?)?)?"
 _TIME = (
     r"(?:[01][0-9]|2[0-3])(?::?[0-5][0-9](?::?[0-5][0-9](?:[.,][0-9]+)?)?)?"
 )
-_ISO_TIMESTAMP = rf"^{_ISO}T{_TIME}{_OFFSET}$"
+_ISO_TIMESTAMP = rf"^{_ISO}T{_TIME}{_OFFSET}\z"
 
 
 def _valid(iso: Column) -> Column:
-    """Zero-padded ISO text of a ``y-m-d`` text, null when no such day exists."""
-    return F.try_to_date(F.nullif(iso, F.lit(""))).cast("string")
+    """Zero-padded ISO text of a ``y-m-d`` text, null when no such day exists.
+
+    Years start at 1.
+    """
+    day = F.try_to_date(F.nullif(iso, F.lit(""))).cast("string")
+    return F.when(~day.startswith("0000-"), day)
 
 
 def _from_parts(text: Column, pattern: str, year: int, month: int, day: int) -> Column:

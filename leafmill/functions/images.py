@@ -21,11 +21,13 @@ def image_urls(markdown: Column) -> Column:
     )
 
 
-def is_usable_image(content_type: Column, payload: Column) -> Column:
+def is_usable_image(
+    content_type: Column, payload: Column, max_bytes: int = MAX_IMAGE_BYTES
+) -> Column:
     kind = F.coalesce(content_type, F.lit(""))
     return (
         kind.startswith(IMAGE_CONTENT_TYPES[0]) | kind.startswith(IMAGE_CONTENT_TYPES[1])
-    ) & (F.octet_length(payload) <= MAX_IMAGE_BYTES)
+    ) & (F.octet_length(payload) <= max_bytes)
 
 
 def image_file_key(url: Column) -> Column:

@@ -58,7 +58,7 @@ def look_up(
     )
 
 
-def rank_level(found: DataFrame, frontier: DataFrame, max_pages: int) -> DataFrame:
+def rank_level(found: DataFrame, frontier: DataFrame, max_pages: int | None) -> DataFrame:
     """Crawl rank by (parent's rank, link position), continuing after the frontier.
 
     Rows are numbered inside blocks of parents and shifted by the running size of the
@@ -75,20 +75,31 @@ def rank_level(found: DataFrame, frontier: DataFrame, max_pages: int) -> DataFra
         .withColumn(
             "_offset", F.col("_reached") + F.coalesce(F.sum("_size").over(earlier), F.lit(0))
         )
-        .filter(F.col("_offset") < max_pages)
+        .filter(F.lit(True) if max_pages is None else F.col("_offset") < max_pages)
         .select("seed_id", "_block", "_offset")
     )
     within = W.partitionBy("seed_id", "_block").orderBy("parent_rank", "pos")
     ranked = blocks.join(offsets, ["seed_id", "_block"]).withColumn(
         "crawl_rank", F.col("_offset") + F.row_number().over(within)
     )
-    return ranked.filter(F.col("crawl_rank") <= max_pages).drop("_block", "_offset")
+    if max_pages is not None:
+        ranked = ranked.filter(F.col("crawl_rank") <= max_pages)
+    return ranked.drop("_block", "_offset")
+
+
+def missing_seeds(pages: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Seeds (seed_id, url) of which no page is stored; a crawl cannot start there."""
+    wanted = seeds.select(
+        "seed_id", F.col("url").alias("seed_url"), urls.normalise(F.col("url")).alias("norm_url")
+    )
+    found = look_up(wanted, lookup_tables(page_index(pages)), "seed_url", "norm_url")
+    return found.filter(F.col("page").isNull()).select("seed_id", F.col("seed_url").alias("url"))
 
 
 def deep_crawl(
     pages: DataFrame,
     seeds: DataFrame,
-    max_pages: int = DEFAULT_MAX_PAGES,
+    max_pages: int | None = DEFAULT_MAX_PAGES,
     depth: int = DEFAULT_DEPTH,
     url_pattern: str | None = None,
 ) -> DataFrame:
@@ -97,21 +108,25 @@ def deep_crawl(
     ``pages``: page_id, url, html and optionally status. ``seeds``: seed_id, url. A
     crawl stays on its seed's host. The seed is kept whatever its status; a URL that
     is not stored or answered with an error stays visited and is not entered. The
-    pattern filters discovered URLs, never the seed.
+    pattern filters discovered URLs, never the seed. ``max_pages=None`` sets no limit.
+    Seeds without a stored page give no row; ``missing_seeds`` lists them.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
-    if max_pages < 1:
+    if max_pages is not None and max_pages < 1:
         raise ValueError("max_pages must be at least 1")
 
-    # Only the seeds' hosts can be reached: everything else is dropped by the url
-    # column alone, before any html is parsed.
+    # Links are taken from the pages in the scan, where the html ends; only narrow rows
+    # meet the seeds' hosts, and the edges are exchanged once, by the page they start from.
     hosts = seeds.select(urls.netloc(F.col("url")).alias("host")).distinct()
-    on_hosts = pages.withColumn("host", urls.netloc(F.col("url"))).join(hosts, "host", "left_semi")
-    exact, similar = lookup_tables(page_index(on_hosts))
+    index = page_index(pages).withColumn("host", urls.netloc(F.col("url")))
+    exact, similar = lookup_tables(index.join(hosts, "host", "left_semi"))
     tables = (cut_lineage(exact), cut_lineage(similar))
+    edges = extract_links(pages, url_pattern=url_pattern).select(
+        "page_id", "pos", "abs_url", "norm_url", urls.netloc(F.col("abs_url")).alias("host")
+    )
     links = cut_lineage(
-        extract_links(on_hosts, url_pattern=url_pattern).drop("href")
+        edges.join(hosts, "host", "left_semi").drop("host").repartition("page_id")
     )
 
     start = seeds.select("seed_id", "url", urls.normalise(F.col("url")).alias("norm_url"))

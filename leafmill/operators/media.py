@@ -14,9 +14,23 @@ def image_refs(docs: DataFrame, key: str = "page_id") -> DataFrame:
     return docs.select(key, F.posexplode(distinct).alias("pos", "url"))
 
 
-def usable_assets(assets: DataFrame) -> DataFrame:
-    """Payloads that are images and within the size limit; the rest is skipped."""
-    return assets.filter(images.is_usable_image(F.col("content_type"), F.col("bytes")))
+# References to one URL that share a copy of its payload in the join.
+REFS_PER_SALT = 1000
+
+
+def usable_assets(assets: DataFrame, max_bytes: int = images.MAX_IMAGE_BYTES) -> DataFrame:
+    """Payloads that are images and within the size limit."""
+    return assets.filter(images.is_usable_image(F.col("content_type"), F.col("bytes"), max_bytes))
+
+
+def rejected_assets(assets: DataFrame, max_bytes: int = images.MAX_IMAGE_BYTES) -> DataFrame:
+    """(url, content_type, size, reason) of the payloads ``usable_assets`` leaves out."""
+    usable = images.is_usable_image(F.col("content_type"), F.col("bytes"), max_bytes)
+    size = F.octet_length("bytes")
+    reason = F.when(F.col("bytes").isNull(), "empty").when(size > max_bytes, "size")
+    return assets.filter(~F.coalesce(usable, F.lit(False))).select(
+        "url", "content_type", size.alias("size"), reason.otherwise("type").alias("reason")
+    )
 
 
 def embed_images(
@@ -24,18 +38,26 @@ def embed_images(
 ) -> DataFrame:
     """Image URLs replaced by data URIs in ``columns``; unknown images stay links.
 
-    A URL that many pages share makes a skewed join on url; adaptive execution splits
-    it, as the regrouping by page shuffles afterwards anyway.
+    Payloads are encoded once. References to a URL are counted, and a URL that many
+    pages share is spread over as many salts as it has thousands of references, on both
+    sides of the join.
     """
+    refs = image_refs(docs, key)
+    salts = refs.groupBy("url").agg(
+        F.ceil(F.count("*") / REFS_PER_SALT).cast("int").alias("_salts")
+    )
+    encoded = usable_assets(assets).select(
+        "url", images.data_uri(F.col("content_type"), F.col("bytes")).alias("data_uri")
+    )
+    copies = encoded.join(salts, "url").select(
+        "url", "data_uri", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")
+    )
+    salted = refs.join(salts, "url").withColumn(
+        "_salt", F.pmod(F.xxhash64(key), F.col("_salts")).cast("int")
+    )
     entries = (
-        image_refs(docs, key)
-        .join(usable_assets(assets), "url")
-        .select(
-            key,
-            F.struct(
-                "pos", "url", images.data_uri(F.col("content_type"), F.col("bytes")).alias("data_uri")
-            ).alias("entry"),
-        )
+        salted.join(copies, ["url", "_salt"])
+        .select(key, F.struct("pos", "url", "data_uri").alias("entry"))
         .groupBy(key)
         .agg(F.array_sort(F.collect_list("entry")).alias("_entries"))
     )

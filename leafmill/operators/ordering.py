@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from leafmill.session import cut_lineage
 
-# Spark trims a per-group top-k before the shuffle only up to this k
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-_MAP_SIDE_TOP_K = 1000
-
 
 def date_order(descending: bool = True, undated: str = "last") -> list[Column]:
     """Sort keys: date, then URL in the same direction.
@@ -35,9 +31,14 @@ def sort_by_date(results: DataFrame, descending: bool = True, undated: str = "la
     return results.orderBy(*date_order(descending, undated))
 
 
-def limit_results(results: DataFrame, limit: int | None) -> DataFrame:
-    """First ``limit`` rows of a sorted result; 0 or None keeps all."""
-    return results.limit(limit) if limit else results
+def limit_results(
+    results: DataFrame, order: Sequence[Column], limit: int | None
+) -> DataFrame:
+    """First ``limit`` rows in ``order``; 0 or None keeps all.
+
+    Rows are numbered by range, so that a large limit does not end in one task.
+    """
+    return limit_per_group(results.withColumn("_all", F.lit(0)), ["_all"], order, limit).drop("_all")
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
@@ -72,9 +73,4 @@ def limit_per_group(
     """First ``limit`` rows of each key; 0 or None keeps all."""
     if not limit:
         return df
-    if limit <= _MAP_SIDE_TOP_K:
-        n = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-        ranked = df.withColumn("_n", n)
-    else:
-        ranked = numbered(df, keys, order, "_n")
-    return ranked.filter(F.col("_n") <= limit).drop("_n")
+    return numbered(df, keys, order, "_n").filter(F.col("_n") <= limit).drop("_n")

@@ -19,7 +19,7 @@ class Options:
     embed_images: bool = False
     download_images: bool = False
     depth: int = DEFAULT_DEPTH
-    max_pages: int = DEFAULT_MAX_PAGES
+    max_pages: int | None = DEFAULT_MAX_PAGES
     url_pattern: str | None = None
     dedupe: bool = False
     sort_by_date: bool = False
@@ -31,7 +31,7 @@ class Options:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
         if not 1 <= self.depth <= MAX_DEPTH:
             raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
-        if self.max_pages < 1:
+        if self.max_pages is not None and self.max_pages < 1:
             raise ValueError("max_pages must be at least 1")
         if self.limit is not None and self.limit < 0:
             raise ValueError("limit must not be negative")

@@ -145,6 +145,20 @@ def crawl_and_run(
     return run_mode(pages.join(kept, "page_id", "left_semi"), options, assets)
 
 
+def totals(docs: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Pages, characters, images and image bytes of a run: one sum over narrow rows."""
+    none = F.lit(0).cast("bigint")
+    rows = docs.select(
+        F.lit(1).alias("pages"), F.length("markdown").cast("bigint").alias("characters"),
+        none.alias("images"), none.alias("bytes"),
+    ).unionAll(
+        manifest.select(F.lit(0), none, F.lit(1).cast("bigint"), F.col("size").cast("bigint"))
+    )
+    return rows.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in rows.columns]
+    )
+
+
 def run_totals(docs: DataFrame) -> DataFrame:
     """Pages processed and characters of output."""
     return docs.agg(

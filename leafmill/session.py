@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings for a cluster session; pass them to the builder or to spark-submit.
@@ -18,15 +16,13 @@ RECOMMENDED = {
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one up only in local mode."""
+    """Use the shared folder that spark.checkpoint.dir names."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="leafmill-checkpoint-")
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(folder)
 
 

@@ -11,9 +11,12 @@ from leafmill.functions import urls
 ARTIFACTS = ("article.md", "references.md", "screenshot.png", "article.pdf", "metadata.json")
 # ------------------------------------------------------------------------------
 
+# Folders of a written table, whatever the number of pages and hosts.
+BUCKETS = 256
+
 
 def with_unique_slug(pages: DataFrame) -> DataFrame:
-    """Adds ``slug``; pages that would share one get a suffix from their URL.
+    """Adds ``slug``; pages that would share one get the md5 of their URL as suffix.
 
     Slugs drop the query and are cut, so clashes are real. They are counted with a
     map-side combine and only the clashing slugs are joined back.
@@ -25,7 +28,7 @@ def with_unique_slug(pages: DataFrame) -> DataFrame:
         .filter(F.col("_n") > 1)
         .select("slug", F.lit(True).alias("_clash"))
     )
-    suffix = F.substring(F.md5(F.col("url")), 1, 8)
+    suffix = F.md5(F.col("url"))
     return (
         named.join(clashes, "slug", "left")
         .withColumn(
@@ -47,8 +50,12 @@ def write_table(df: DataFrame, path: str, *partition_by: str, mode: str = "overw
 
 
 def write_markdown(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Markdown table (slug, url, markdown) in folders per host."""
-    write_table(docs.withColumn("netloc", urls.netloc(F.col("url"))), path, "netloc", mode=mode)
+    """Markdown table (slug, url, markdown, netloc) in a fixed number of host buckets.
+
+    Rows of a file are sorted by host, so a reader that wants one host skips the rest.
+    """
+    hosts = docs.withColumn("netloc", urls.netloc(F.col("url")))
+    _write_buckets(hosts, path, "netloc", mode)
 
 
 def markdown_files(docs: DataFrame) -> DataFrame:
@@ -71,10 +78,14 @@ def metadata_files(records: DataFrame) -> DataFrame:
 
 
 def write_text_files(files: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder per name holding the text, for file-based consumers."""
-    files.select("name", F.col("content").alias("value")).write.mode(mode).partitionBy(
-        "name"
-    ).option("lineSep", "\n").text(path)
+    """Table (name, content) in a fixed number of buckets, sorted by name in each file."""
+    _write_buckets(files.select("name", "content"), path, "name", mode)
+
+
+def _write_buckets(df: DataFrame, path: str, key: str, mode: str) -> None:
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    placed = df.withColumn("bucket", bucket).hint("rebalance", "bucket")
+    placed.sortWithinPartitions("bucket", key).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def archive_artifacts(pages: DataFrame) -> DataFrame:

@@ -9,6 +9,23 @@ from pyspark.sql import types as T
 # --- fixed values -----------------------------------------------------------
 MAX_PAGE_BYTES = 50 * 1024 * 1024
 DEFAULT_STATUS = 200
+CHARSETS = {
+    "utf-8": ("utf8",),
+    "iso-8859-1": ("iso88591", "latin1", "l1", "cp819", "isoir100"),
+    "windows-1252": ("windows1252", "cp1252", "win1252", "xcp1252"),
+    "us-ascii": ("usascii", "ascii", "iso646us", "ansix341968"),
+    "utf-16": ("utf16",),
+    "utf-16le": ("utf16le",),
+    "utf-16be": ("utf16be",),
+}
+# What the bytes 0x80 to 0x9F mean in windows-1252; five of them are not assigned.
+WINDOWS_1252 = {
+    "\x80": "€", "\x82": "‚", "\x83": "ƒ", "\x84": "„", "\x85": "…", "\x86": "†",
+    "\x87": "‡", "\x88": "ˆ", "\x89": "‰", "\x8a": "Š", "\x8b": "‹", "\x8c": "Œ",
+    "\x8e": "Ž", "\x91": "‘", "\x92": "’", "\x93": "“", "\x94": "”", "\x95": "•",
+    "\x96": "–", "\x97": "—", "\x98": "˜", "\x99": "™", "\x9a": "š", "\x9b": "›",
+    "\x9c": "œ", "\x9e": "ž", "\x9f": "Ÿ",
+}
 # ----------------------------------------------------------------------------
 
 PAGE_SCHEMA = T.StructType(
@@ -24,14 +41,27 @@ PAGE_SCHEMA = T.StructType(
 )
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_pages(
+    spark: SparkSession, path: str, partitions: int | None = None, row_key: bool = False
+) -> DataFrame:
     """The page table with whichever of the standard columns are stored.
 
     A full record can be had with :func:`complete`; not adding the columns here keeps
-    the scan down to what a job asks for.
+    the scan down to what a job asks for. ``page_id`` must be unique for the jobs that
+    put a page's parts together (see :func:`repeated_keys`); ``row_key`` adds a column of
+    that name, made of file and row number, to use as ``key`` where it is not.
+    ``partitions`` hashes the rows over so many partitions, for files of a single split.
     """
     stored = spark.read.parquet(path)
-    return spread(stored.select(*[f.name for f in PAGE_SCHEMA if f.name in stored.columns]))
+    names = [f.name for f in PAGE_SCHEMA if f.name in stored.columns]
+    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    pages = stored.select(*names, *([place.alias("row_key")] if row_key else []))
+    return pages.repartition(partitions, "page_id") if partitions else pages
+
+
+def repeated_keys(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, rows) of keys that several rows share; empty for a sound table."""
+    return pages.groupBy(key).agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
 def complete(pages: DataFrame) -> DataFrame:
@@ -47,43 +77,82 @@ def complete(pages: DataFrame) -> DataFrame:
     )
 
 
-def spread(df: DataFrame, key: str = "page_id") -> DataFrame:
-    """Hash a table of few input splits over all cores; a large table is left alone.
+def charset_name(charset: Column) -> Column:
+    """Canonical name of a declared charset; null if its bytes cannot be decoded here."""
+    plain = F.regexp_replace(F.lower(F.coalesce(charset, F.lit("utf-8"))), "[^a-z0-9]", "")
+    out = F.when(plain == "", "utf-8")
+    for name, aliases in CHARSETS.items():
+        out = out.when(plain.isin(*aliases), name)
+    return out
+
+
+def _utf16(body: Column) -> Column:
+    """UTF-16 text by its byte order mark, big-endian without one."""
+    head = F.substring(F.hex(body), 1, 4)
+    little = head == "FFFE"
+    rest = F.when(
+        little | (head == "FEFF"), F.substring(body, 3, 2**31 - 1)
+    ).otherwise(body)
+    return F.when(little, _utf16_units(rest, "UTF-16LE")).otherwise(
+        _utf16_units(rest, "UTF-16BE")
+    )
+
 
-    A small file is one split and would be parsed by one core. Hashing on the page key
-    also spares the windows over pages their own shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+def _utf16_units(body: Column, name: str) -> Column:
+    """Decoded text; null where surrogates or the last unit are incomplete."""
+    unit, lead, trail = (
+        ("(?!D[89A-F])[0-9A-F]{4}", "D[89AB][0-9A-F]{2}", "D[C-F][0-9A-F]{2}")
+        if name == "UTF-16BE"
+        else ("[0-9A-F]{2}(?!D[89A-F])[0-9A-F]{2}", "[0-9A-F]{2}D[89AB]", "[0-9A-F]{2}D[C-F]")
+    )
+    sound = F.hex(body).rlike(rf"\A(?:{unit}|{lead}{trail})*+\z")
+    return F.when(sound, F.decode(body, name))
 
 
 def decode_body(body: Column, charset: Column) -> Column:
-    """Bytes to text: declared charset where Spark knows it, else UTF-8 with repair."""
-    utf8 = F.make_valid_utf8(body.cast("string"))
-    kind = F.lower(F.coalesce(charset, F.lit("utf-8")))
-    out = F.when(kind.isin("iso-8859-1", "latin-1", "latin1"), F.decode(body, "ISO-8859-1"))
-    return out.otherwise(utf8)
+    """Bytes to text by the declared charset; null where that is unknown or broken.
 
+    UTF-8 (also where nothing is declared) and ASCII are repaired with U+FFFD.
+    """
+    kind = charset_name(charset)
+    latin = F.decode(body, "ISO-8859-1")
+    return (
+        F.when(kind == "utf-8", F.make_valid_utf8(body.cast("string")))
+        .when(kind == "iso-8859-1", latin)
+        .when(kind == "windows-1252", F.translate(latin, "".join(WINDOWS_1252), "".join(WINDOWS_1252.values())))
+        .when(kind == "us-ascii", F.regexp_replace(latin, "[^\\x00-\\x7F]", "\ufffd"))
+        .when(kind == "utf-16", _utf16(body))
+        .when(kind == "utf-16le", _utf16_units(body, "UTF-16LE"))
+        .when(kind == "utf-16be", _utf16_units(body, "UTF-16BE"))
+    )
 
-def is_oversized(body: Column) -> Column:
-    return F.octet_length(body) > MAX_PAGE_BYTES
 
+def is_oversized(body: Column, max_bytes: int = MAX_PAGE_BYTES) -> Column:
+    return F.octet_length(body) > max_bytes
 
-def decode_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages with an ``html`` column, and the oversized bodies set aside.
 
-    ``payloads``: any columns plus body BINARY and charset STRING (may be null).
+def decode_payloads(
+    payloads: DataFrame, max_bytes: int = MAX_PAGE_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """Pages with an ``html`` column, and the bodies set aside with ``size`` and ``reason``.
+
+    ``payloads``: any columns plus body BINARY and charset STRING (may be null). Reasons:
+    ``size`` (over ``max_bytes``), ``charset`` (unknown), ``bytes`` (not of their charset).
     """
-    oversized = is_oversized(F.col("body"))
-    pages = (
-        payloads.filter(~F.coalesce(oversized, F.lit(False)))
-        .withColumn("html", decode_body(F.col("body"), F.col("charset")))
-        .drop("body", "charset")
+    body, charset = F.col("body"), F.col("charset")
+    oversized = F.coalesce(is_oversized(body, max_bytes), F.lit(False))
+    marked = payloads.withColumn("html", F.when(~oversized, decode_body(body, charset)))
+    reason = (
+        F.when(oversized, "size")
+        .when(charset_name(charset).isNull(), "charset")
+        .when(body.isNotNull() & F.col("html").isNull(), "bytes")
+    )
+    marked = marked.withColumn("reason", reason)
+    pages = marked.filter(F.col("reason").isNull()).drop("body", "charset", "reason")
+    rejected = marked.filter(F.col("reason").isNotNull()).withColumn(
+        "size", F.octet_length("body")
     )
-    rejected = payloads.filter(oversized).withColumn("size", F.octet_length("body")).drop("body")
-    return pages, rejected
+    return pages, rejected.drop("body", "html")
 
 
 def successful(pages: DataFrame, exempt: Column | None = None) -> DataFrame:
@@ -111,15 +180,15 @@ def route_sources(sources: DataFrame, known_files: DataFrame) -> DataFrame:
 
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
-    """Local HTML files as pages, keyed by their path; decoded as UTF-8 with repair."""
+    """HTML files as (path, url, html), UTF-8 with repair; their key is ``path``."""
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{html,htm}")
+        .option("pathGlobFilter", "*.{[hH][tT][mM],[hH][tT][mM][lL],[xX][hH][tT][mM][lL]}")
         .option("recursiveFileLookup", "true")
         .load(path)
     )
     return files.select(
-        F.xxhash64("path").alias("page_id"),
+        "path",
         F.col("path").alias("url"),
         decode_body(F.col("content"), F.lit("utf-8")).alias("html"),
     )
