@@ -9,15 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.sources.pages import read_pages, spread
+from leafmill.sources.pages import read_pages
+
+
+# A session may ask for so many partitions, for tables that are one split; off by default.
+PARTITIONS = "spark.leafmill.readPartitions"
+
+
+def _partitions(spark: SparkSession) -> int | None:
+    asked = spark.conf.get(PARTITIONS, None)
+    return int(asked) if asked else None
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_pages(spark, f"{sf_dir}/pages.parquet")
+    return read_pages(spark, f"{sf_dir}/pages.parquet", _partitions(spark))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    docs, asked = spark.read.parquet(f"{sf_dir}/documents.parquet"), _partitions(spark)
+    return docs.repartition(asked, "doc_id") if asked else docs
 
 
 def _text(*parts: str | Column) -> Column:

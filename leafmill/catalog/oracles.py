@@ -52,7 +52,7 @@ def _slug(url: str) -> str:
 def _unique_slug(url: str) -> str:
     return (
         f"{_slug(url)} || CASE WHEN count(*) OVER (PARTITION BY {_slug(url)}) > 1 "
-        f"THEN '_' || left(md5({url}), 8) ELSE '' END"
+        f"THEN '_' || md5({url}) ELSE '' END"
     )
 
 
@@ -429,8 +429,15 @@ SELECT page_id, source, CASE WHEN page_id % 8 = 0 OR page_id = 2 THEN 'file'
 FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'page-' || page_id || '.html'
     WHEN 1 THEN 'ftp://' || {_netloc('url')} ELSE url END AS source FROM pages)"""
     q["SRC4"] = """
-SELECT page_id, CASE page_id % 4 WHEN 0 THEN html || chr(65533) WHEN 1 THEN 'café'
-  ELSE html || 'A' END AS html FROM pages"""
+SELECT page_id, CASE WHEN reason IS NULL THEN CASE page_id % 7
+    WHEN 0 THEN html || chr(65533) WHEN 2 THEN html || '€“”'
+    WHEN 4 THEN regexp_replace(html, '[^\x00-\x7F]', repeat(chr(65533), 2), 'g')
+    ELSE html END END AS html, reason
+FROM (SELECT *, CASE WHEN CASE page_id % 7 WHEN 0 THEN octet_length(encode(html)) + 1
+      WHEN 1 THEN length(html) WHEN 2 THEN length(html) + 3 WHEN 3 THEN 2 * length(html) + 2
+      WHEN 5 THEN 2 * length(html) + 1 ELSE octet_length(encode(html)) END > 30000 THEN 'size'
+    WHEN page_id % 7 = 5 THEN 'bytes' WHEN page_id % 7 = 6 THEN 'charset' END AS reason
+  FROM pages)"""
     q["SRC5"] = _with(SITE_PAGES, select="""
 SELECT page_id, url, (CASE WHEN url LIKE '%/p/0' THEN 500 ELSE status END)::BIGINT AS status
 FROM site_pages WHERE status < 400 OR url LIKE '%/p/0'""")
@@ -458,7 +465,8 @@ SELECT {_unique_slug('url')} || '_meta.json' AS name, {_json()} AS content FROM
     q["SNK5"] = _with(*_DOC_CITATIONS, slugged, artefacts, select="""
 SELECT slug, artifact, ord::BIGINT AS ord, text, hex(encode(payload)) AS bytes_hex FROM art""")
     q["SNK6"] = """
-SELECT 'doc_' || doc_id || '.pdf' AS name, text AS content FROM documents WHERE doc_id % 3 <> 0"""
+SELECT 'doc_' || doc_id || '.pdf' AS name, text AS content FROM documents
+UNION ALL SELECT 'doc_' || doc_id || '.png', text FROM documents WHERE doc_id % 3 = 0"""
     q["SNK7"] = """
 SELECT mode, rows::BIGINT AS rows FROM (
   SELECT 'markdown' AS mode, count(*) AS rows FROM pages

@@ -81,16 +81,32 @@ def source_routing(spark, sf):
 
 @query("SRC4")
 def payload_decoding(spark, sf):
+    """Whole pages in seven charsets, one of them unknown, some broken, some too long."""
     i = F.col("page_id")
-    broken = F.concat(F.encode("html", "UTF-8"), F.when(i % 4 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("41"))))
-    latin = F.encode(F.concat(F.lit("caf"), F.lit("é")), "ISO-8859-1")
-    body = F.when(i % 4 == 1, latin).otherwise(broken)
-    charset = F.when(i % 4 == 1, "ISO-8859-1").when(i % 4 == 2, "utf-8")
+    utf8 = F.encode("html", "UTF-8")
+    # the pages' letters are all in ISO-8859-1
+    latin = F.encode("html", "ISO-8859-1")
+    cases = [
+        (None, F.concat(utf8, F.unhex(F.lit("FF")))),
+        ("latin1", latin),
+        ("Windows-1252", F.concat(latin, F.unhex(F.lit("809394")))),
+        ("UTF-16", F.encode("html", "UTF-16")),
+        ("us_ascii", utf8),
+        ("utf-16le", F.concat(F.encode("html", "UTF-16LE"), F.unhex(F.lit("00")))),
+        ("x-unknown", utf8),
+    ]
+    body, charset = F.lit(None).cast("binary"), F.lit(None).cast("string")
+    for n, (name, payload) in enumerate(cases):
+        body = F.when(i % 7 == n, payload).otherwise(body)
+        charset = F.when(i % 7 == n, F.lit(name)).otherwise(charset)
     payloads = inputs.pages(spark, sf).select(
         "page_id", body.alias("body"), charset.alias("charset")
     )
-    good, _ = sources.decode_payloads(payloads)
-    return good.select("page_id", "html")
+    good, bad = sources.decode_payloads(payloads, max_bytes=30_000)
+    none = F.lit(None).cast("string")
+    return good.select("page_id", "html", none.alias("reason")).unionAll(
+        bad.select("page_id", none, "reason")
+    )
 
 
 @query("SRC5")
@@ -165,11 +181,13 @@ def pdf_passthrough(spark, sf):
     i = F.col("doc_id")
     pages = docs.select(
         F.concat(F.lit("doc_"), i).alias("slug"),
-        F.when(i % 3 != 0, F.encode("text", "UTF-8")).alias("pdf"),
+        F.encode("text", "UTF-8").alias("pdf"),
+        F.when(i % 3 == 0, F.encode("text", "UTF-8")).alias("screenshot"),
     )
-    return sinks.payload_files(pages, "pdf", ".pdf").select(
-        "name", F.decode("bytes", "UTF-8").alias("content")
+    files = sinks.payload_files(pages, "pdf", ".pdf").unionAll(
+        sinks.payload_files(pages, "screenshot", ".png")
     )
+    return files.select("name", F.decode("bytes", "UTF-8").alias("content"))
 
 
 @query("SNK7")
@@ -330,8 +348,8 @@ def link_numbers(spark, sf):
 def element_containment(spark, sf):
     """Blocks inside an article, by interval containment."""
     split = b.split_blocks(inputs.pages(spark, sf), flags=selector_flags("article"))
-    nested = b.with_levels(b.with_nesting(split)).withColumn("kept", F.lit(False))
-    inside = mark_selected(nested, "article").filter("kept")
+    nested = b.with_levels(b.with_nesting(split))
+    inside = mark_selected(nested, "article").filter("chosen")
     return inside.groupBy("page_id").agg(
         F.count_if((F.col("tag") == "p") & ~F.col("is_close")).alias("paragraphs")
     )
@@ -449,13 +467,8 @@ def ordered_assembly(spark, sf):
 @query("AGG12")
 def totals(spark, sf):
     docs = inputs.md_docs(spark, sf)
-    run = plans.run_totals(docs)
-    media_totals = media.image_totals(
-        media.image_manifest(docs, inputs.image_assets(spark, sf), key="doc_id")
-    )
-    # Two one-row results side by side, keyed to avoid a cartesian product.
-    one = F.lit(1).alias("_one")
-    return run.select("*", one).join(media_totals.select("*", one), "_one").drop("_one")
+    manifest = media.image_manifest(docs, inputs.image_assets(spark, sf), key="doc_id")
+    return plans.totals(docs, manifest)
 
 
 @query("AGG13")
@@ -506,7 +519,7 @@ def _crawl(spark, sf, **options):
 
 @query("WIN5")
 def crawl_ranks(spark, sf):
-    return _crawl(spark, sf, depth=10, max_pages=1_000_000).select(
+    return _crawl(spark, sf, depth=10, max_pages=None).select(
         "seed_id", "crawl_rank", "level", "url"
     )
 
@@ -531,10 +544,8 @@ def date_sorted(spark, sf):
 @query("SRT2")
 def limited(spark, sf):
     rows = _dated(spark, sf)
-    newest = ordering.limit_results(ordering.sort_by_date(rows), 25)
-    oldest = ordering.limit_results(
-        ordering.sort_by_date(rows, descending=False, undated="first"), 25
-    )
+    newest = ordering.limit_results(rows, ordering.date_order(), 25)
+    oldest = ordering.limit_results(rows, ordering.date_order(False, "first"), 25)
     return newest.select(F.lit("newest").alias("kind"), "page_id", "published_date").unionByName(
         oldest.select(F.lit("oldest").alias("kind"), "page_id", "published_date")
     )
@@ -575,7 +586,7 @@ def prefix_truncation(spark, sf):
 
 @query("SET1")
 def union_of_levels(spark, sf):
-    return _crawl(spark, sf, depth=3, max_pages=1_000_000).groupBy("seed_id", "level").agg(
+    return _crawl(spark, sf, depth=3, max_pages=None).groupBy("seed_id", "level").agg(
         F.count("*").alias("pages")
     )
 
@@ -583,7 +594,7 @@ def union_of_levels(spark, sf):
 @query("SET2")
 def discovered_except_crawled(spark, sf):
     site, edges = _edges(spark, sf)
-    one_level = crawl.deep_crawl(site, inputs.seeds(site), depth=1, max_pages=1_000_000)
+    one_level = crawl.deep_crawl(site, inputs.seeds(site), depth=1, max_pages=None)
     return edges.select("norm_url").distinct().join(
         one_level.select("norm_url"), "norm_url", "left_anti"
     )

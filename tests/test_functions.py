@@ -158,25 +158,25 @@ def test_markdown_date_looks_at_the_start_only(apply):
         None, "2024-01-01"]
 
 
+def test_years_start_at_one_and_values_end_where_they_end(apply):
+    assert apply(dates.date_in_text, ["0000-01-01", "0001-01-01"]) == [None, "0001-01-01"]
+    values = ["2024-01-02T03:04", "2024-01-02T03:04\n", "0000-01-01T00:00"]
+    assert apply(dates.meta_date, values) == ["2024-01-02", None, None]
+
+
 # --- markdown repairs -----------------------------------------------------------
 
 
 def heading_model(md):
-    """Line-by-line model of the heading repair."""
-    out, lines, i = [], md.split("\n"), 0
-    while i < len(lines):
-        if re.fullmatch(r"#{1,6}\s*", lines[i]):
-            words, j = [], i + 1
-            while j < len(lines) and re.match(r"\s*(?![#*\-\[|>]|```)\S", lines[j]) and len(lines[j].split()) < 4:
-                words.append(lines[j].strip())
-                j += 1
-            if words:
-                out.append(lines[i].strip() + " " + " ".join(words))
-                i = j
-                continue
-        out.append(lines[i])
-        i += 1
-    return "\n".join(out)
+    """Lines become letters (bare heading, short words, other); runs of H S+ are joined."""
+    lines = md.split("\n")
+    short = r"\s*(?![#*\-\[|>]|```)\S+(?:\s+\S+){0,2}\s*"
+    kinds = "".join(
+        "H" if re.fullmatch(r"#{1,6}\s*", x) else "S" if re.fullmatch(short, x) else "O"
+        for x in lines
+    )
+    runs = [lines[r.start() : r.end()] for r in re.finditer("HS+|.", kinds)]
+    return "\n".join(x[0] if len(x) == 1 else " ".join(y.strip() for y in x) for x in runs)
 
 
 def test_heading_repair_equals_the_model(apply):

@@ -1,8 +1,9 @@
 """Jobs over small page tables, against literal expectations and brute-force models."""
 
+import heapq
 import json
 import random
-from collections import Counter, deque
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,35 @@ def test_page_without_paragraphs_is_kept_whole(spark):
     assert convert(spark, "<div>a</div><div>b</div>") == ["a\n\nb"]
 
 
+def test_selectors_choose_before_stripping(spark):
+    page = (
+        "<nav><p>Menu</p></nav><article><header><h2>Title</h2><p class=by>By Ann</p></header>"
+        "<p>Text body one.</p><footer><p>Foot</p></footer></article><aside><p>Side</p></aside>"
+    )
+    want = {
+        "article header h2": "## Title", ".by": "By Ann", "aside p": "Side", "nav": "",
+        "article": "Text body one.", "article, .by": "By Ann\n\nText body one.",
+        "header": "", "nav p, footer": "Menu", "p:not(.by)": "Menu\n\nText body one.\n\nFoot\n\nSide",
+        "article header": "",
+    }
+    for selector, text in want.items():
+        got = convert(spark, page, strip_boilerplate=False, selector=selector)
+        assert got == [text], selector
+    assert convert(spark, page, selector=".by") == ["By Ann"]
+    assert convert(spark, page, strip_boilerplate=False, selector="h6") == ["Text body one."]
+
+
+def test_attribute_operators(spark):
+    page = '<p data-x="one two">a</p><p data-x="onetwo">b</p><p id="two-x">c</p><p data-x="">d</p>'
+    want = {
+        "[data-x^=one]": "a\n\nb", "[data-x$='two']": "a\n\nb", '[data-x*="e t"]': "a",
+        "[data-x~=two]": "a", "[data-x]": "a\n\nb\n\nd", "p:not([data-x])": "c",
+        "p:not(#two-x)": "a\n\nb\n\nd", "[data-x~='']": "a\n\nb\n\nc\n\nd",
+    }
+    for selector, text in want.items():
+        assert convert(spark, page, strip_boilerplate=False, selector=selector) == [text], selector
+
+
 def test_selectors(spark):
     page = ('<div class="side x">S</div><article class="post big" id=a data-k="v 1"><h2>T</h2>'
             "<div><p class=q>P</p></div></article><p class=q>Z</p>")
@@ -196,22 +226,25 @@ def test_metadata_json(spark):
 
 
 def crawl_model(pages, seed, depth, max_pages):
-    """Queue-based model: pages maps path -> (status, [link paths])."""
-    results, visited, level = [(seed, 0)], {seed}, [seed]
-    for d in range(1, depth + 1):
-        nxt = deque()
-        for page in level:
-            for link in pages[page][1]:
-                if len(results) >= max_pages:
-                    return results
-                if link in visited:
-                    continue
-                visited.add(link)
-                if link in pages and pages[link][0] < 400:
-                    results.append((link, d))
-                    nxt.append(link)
-        level = nxt
-    return results
+    """Pages by their smallest path of link positions, shorter paths first.
+
+    ``pages`` maps a path to (status, links). The order of a crawl is the order of these
+    keys, so the pages are ranked by shortest path and the ranking is cut.
+    """
+    best = {seed: ()}
+    heap = [(0, (), seed)]
+    while heap:
+        level, way, page = heapq.heappop(heap)
+        if level == depth or best[page] != way:
+            continue
+        for at, link in enumerate(pages[page][1]):
+            key = (level + 1, (*way, at))
+            entered = link in pages and pages[link][0] < 400
+            if entered and (link not in best or key < (len(best[link]), best[link])):
+                best[link] = key[1]
+                heapq.heappush(heap, (*key, link))
+    ranked = sorted(best, key=lambda p: (len(best[p]), best[p]))
+    return [(p, len(best[p])) for p in ranked[:max_pages]]
 
 
 @pytest.mark.parametrize("depth,max_pages", [(3, 7), (4, 1000)])
@@ -283,8 +316,11 @@ def test_date_order(spark):
     assert order(False, "first") == "beadc"
     with pytest.raises(ValueError):
         order(True, "middle")
-    assert ordering.limit_results(df, 2).count() == 2
-    assert ordering.limit_results(df, 0).count() == ordering.limit_results(df, None).count() == 5
+    keys = ordering.date_order()
+    first = ordering.limit_results(df, keys, 2)
+    assert {r.url for r in first.collect()} == {"c", "d"} and first.columns == df.columns
+    assert ordering.limit_results(df, keys, 0).count() == 5
+    assert ordering.limit_results(df, keys, None).count() == 5
 
 
 def test_numbering_without_one_task_per_key(spark, monkeypatch):
@@ -297,7 +333,6 @@ def test_numbering_without_one_task_per_key(spark, monkeypatch):
         for n, (_, i) in enumerate(sorted((v, i) for kk, v, i in rows if kk == k), 1):
             want[k, i] = n
     assert got == want
-    monkeypatch.setattr(ordering, "_MAP_SIDE_TOP_K", 5)
     big = ordering.limit_per_group(df, ["k"], keys, 1500)
     assert big.filter("k = 'hot'").count() == 1500
 
@@ -360,10 +395,12 @@ def test_html_files(spark, tmp_path):
     (tmp_path / "a.html").write_text("<h1>A é</h1>", encoding="utf-8")
     (tmp_path / "sub" / "b.html").write_bytes(b"<p>b \xff</p>")
     (tmp_path / "c.txt").write_text("no")
+    (tmp_path / "d.HTM").write_text("<p>d")
+    (tmp_path / "e.xhtml").write_text("<p>e</p>")
     files = sources.read_html_files(spark, str(tmp_path))
     got = {r.url.rsplit("/", 1)[1]: r.markdown
-           for r in to_markdown(files, strip_boilerplate=False).collect()}
-    assert got == {"a.html": "# A é", "b.html": "b �"}
+           for r in to_markdown(files, strip_boilerplate=False, key="path").collect()}
+    assert got == {"a.html": "# A é", "b.html": "b �", "d.HTM": "d", "e.xhtml": "e"}
 
 
 def test_status_filter(spark):
@@ -377,6 +414,57 @@ def test_unique_slugs(spark):
     df = spark.createDataFrame(rows, "page_id int, url string")
     slugs = [r.slug for r in sinks.with_unique_slug(df).orderBy("page_id").collect()]
     assert len(set(slugs)) == 3 and slugs[2] == "h_b" and slugs[0].startswith("h_a_")
+    assert all(len(s) == len("h_a_") + 32 for s in slugs[:2])
+
+
+def test_repeated_keys_are_found_and_can_be_told_apart(spark, tmp_path):
+    rows = [(1, "https://h/a", "<p>one</p><p>two</p>"), (1, "https://h/b", "<p>uno</p><p>dos</p>"),
+            (2, "https://h/c", "<p>x</p>")]
+    path = str(tmp_path / "pages")
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(path)
+    pages = sources.read_pages(spark, path, row_key=True)
+    assert [tuple(r) for r in sources.repeated_keys(pages).collect()] == [(1, 2)]
+    assert sources.repeated_keys(pages, "row_key").count() == 0
+    got = to_markdown(pages, strip_boilerplate=False, key="row_key").collect()
+    assert sorted(r.markdown for r in got) == ["one\n\ntwo", "uno\n\ndos", "x"]
+
+
+def test_declared_charsets(spark):
+    text = "€ “q” é"
+    cases = [
+        ("windows-1252", text.encode("cp1252"), text), ("CP1252", b"\x80", "€"),
+        ("iso8859-1", b"caf\xe9", "café"), ("ISO-8859-1", b"\x80", "\x80"),
+        ("UTF-16", text.encode("utf-16"), text), ("utf-16", text.encode("utf-16-be"), text),
+        ("utf_16_le", "a😀".encode("utf-16-le"), "a😀"), ("utf-16be", "a😀".encode("utf-16-be"), "a😀"),
+        ("ascii", b"a\xffb", "a\ufffdb"), (None, b"a\xff", "a\ufffd"), ("", b"x", "x"),
+        ("utf-16le", b"\x00\xd8", "bytes"), ("utf-16", b"\xfe\xff\x00", "bytes"),
+        ("klingon", b"x", "charset"), ("utf-8", b"y" * 101, "size"), ("utf-8", None, None),
+    ]
+    df = spark.createDataFrame([(i, c, b) for i, (c, b, _) in enumerate(cases)],
+                               "id int, charset string, body binary")
+    good, bad = sources.decode_payloads(df, max_bytes=100)
+    got = {r.id: r.html for r in good.collect()} | {r.id: r.reason for r in bad.collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
+def test_a_shared_image_is_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(media, "REFS_PER_SALT", 50)
+    docs = spark.range(2000).select(
+        F.col("id").alias("page_id"), F.lit("![a](https://h/a.png)").alias("markdown"))
+    assets = spark.createDataFrame([("https://h/a.png", "image/png", bytearray(b"A")),
+                                    ("https://h/b.png", "text/html", bytearray(b"A")),
+                                    ("https://h/c.png", "image/png", None)],
+                                   "url string, content_type string, bytes binary")
+    out = media.embed_images(docs, assets)
+    assert out.filter("markdown = '![a](data:image/png;base64,QQ==)'").count() == 2000
+    rejected = {r.url[-5]: r.reason for r in media.rejected_assets(assets).collect()}
+    assert rejected == {"b": "type", "c": "empty"}
+
+
+def test_cells_escape_the_column_mark(spark):
+    page = "<table><tr><td>a|b</td><td>c</td></tr></table><p>d|e</p>"
+    got = to_markdown(page_table(spark, [page]), strip_boilerplate=False).first().markdown
+    assert got == "| a\\|b | c |\n| --- | --- |\n\nd|e"
 
 
 def test_written_tables_read_back(spark, tmp_path):
@@ -389,7 +477,8 @@ def test_written_tables_read_back(spark, tmp_path):
     files = {r.name: r.content for r in sinks.markdown_files(docs).collect()}
     assert set(files) == {"h_example_p0.md", "h_example_p0_refs.md", "h_example_p1.md"}
     sinks.write_text_files(sinks.markdown_files(docs), str(tmp_path / "txt"))
-    assert spark.read.text(str(tmp_path / "txt")).count() > 0
+    text = spark.read.parquet(str(tmp_path / "txt"))
+    assert {r.name: r.content for r in text.collect()} == files
 
     archive = plans.run_mode(pages, Options(mode="archive", refs=True, raw=True))
     sinks.write_archive(archive, str(tmp_path / "arc"))
