@@ -14,7 +14,9 @@ hold a random piece made per attempt, and only parts in the manifest count, so a
 ran twice does no harm.
 
 Encoding is remembered per piece between blanks and line feeds, at which the tokenizers of
-this kind always split: pieces are encoded by the library once and looked up after that.
+this kind always split; a full stop or comma that ends a piece behind a Latin letter or digit is
+a piece of its own, as they split there too. Pieces are encoded by the library once and
+looked up after that.
 At most CACHE pieces are kept, then the memory is emptied. ``whole=True`` encodes whole texts
 for tokenizers that don't split there.
 
@@ -25,8 +27,12 @@ no parts. Further columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,15 +44,19 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import slices, written
 from leafmill.llm.files import make_folder, mapped, opened
 
-CACHE = 300_000
+CACHE = 800_000
 PART_BYTES = 128 << 20
 _NO_ID = -(1 << 63)  # stands for a null id in the index
+# Letters that neither compose with what follows nor change their kind in lower case.
+_ENDING = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])([.,])(?=[ \n]|\Z)")
 _tokenizers: dict[str, object] = {}
 _caches: dict[tuple[str, int], dict[str, bytes]] = {}
 
 
 def tokenizer(path: str):
     if path not in _tokenizers:
+        # tasks already fill the cores
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         _tokenizers[path] = Tokenizer.from_file(path)
@@ -68,14 +78,17 @@ def encode(texts: list[str | None], path: str, width: int, whole: bool = False)
     if len(cache) > CACHE:
         cache.clear()
         cache[""] = b""
-    split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    split = [_ENDING.sub(r" \1", t or "").replace("\n", " ").split(" ") for t in texts]
     new = list({w for words in split for w in words} - cache.keys())
     for at in range(0, len(new), 20_000):
         some = new[at : at + 20_000]
         for word, e in zip(
             some, model.encode_batch_fast(some, add_special_tokens=False), strict=True
         ):
-            cache[word] = np.array(e.ids, kind).tobytes()
+            ids = array("H" if width == 2 else "I", e.ids)
+            if sys.byteorder != "little":
+                ids.byteswap()
+            cache[word] = ids.tobytes()
     return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
