@@ -12,8 +12,9 @@
    components, and only buckets whose members still lie in different components go on.
    There, the members outside the bucket's largest component are compared with all members
    of other components. Both sides are cut into blocks of bounded size, a pair of blocks is
-   one task's work, and only links that join two components leave it. A pair is compared
-   in the first band it shares. So every pair of a bucket is compared or already connected.
+   one task's work, and only links that join two components leave it. Buckets with the
+   same smallest id are taken together, since they share most of their members. So every
+   pair of a bucket is compared or already connected.
 4. A candidate pair is first judged by its odd sketches, with a margin of more than five
    standard errors, and then confirmed on the full sets.
 
@@ -181,14 +182,12 @@ def _compared(similarity: tuple[int, int]):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_numpy()
         asks = table.column("asks").to_numpy()
-        bands = matrix(table.column("bands"), BANDS)
         sketch = matrix(table.column("sketch"), SKETCH_BITS // 64)
         members = table.column("members").combine_chunks()
         flat = members.flatten().to_numpy()
         sizes = np.diff(members.offsets.to_numpy()).astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         seen, code = np.unique(flat, return_inverse=True)
-        this = int(np.flatnonzero(bands[0].view(np.int64) == key[0].as_py())[0])
         _, root = np.unique(table.column("root").to_numpy(), return_inverse=True)
         marked = np.zeros(len(seen), bool)
         out: list[tuple[int, int]] = []
@@ -198,7 +197,6 @@ def _compared(similarity: tuple[int, int]):
             at = np.flatnonzero(near)
             ones = np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1, dtype=np.int64)
             at = at[ones <= most_ones]
-            at = at[~(bands[at, :this] == bands[i, :this]).any(axis=1)]
             if not len(at):
                 continue
             own = code[starts[i] : starts[i] + sizes[i]]
@@ -293,8 +291,14 @@ def near_duplicates(
             .filter("low != high")
             .drop("high")
         )
-        buckets = checkpointed(keys.join(shared, "band"))
-        wanted = buckets.select("doc_id").distinct()
+        # (a, b): b shares a band whose smallest id is a
+        stars = checkpointed(
+            keys.join(shared, "band")
+            .filter("doc_id != low")
+            .select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
+            .distinct()
+        )
+        wanted = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         sets = scratch.table(
             texts.join(wanted, "doc_id", "left_semi").mapInArrow(
                 _full_sets(shingle), "doc_id long, members array<long>"
@@ -335,34 +339,34 @@ def near_duplicates(
         several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
         links = member.join(several.filter("a != z"), "doc_id").select("a", F.col("rep").alias("b"))
 
-        stars = buckets.filter("doc_id != low").select(F.col("low").alias("a"), "doc_id").distinct()
-        roots = components(confirmed(stars.toDF("a", "b")).union(links))
-        # The smallest id of each bucket has been compared with all of it. In buckets that
-        # still span several components, members outside the largest one ask all others.
-        rest = buckets.filter("doc_id != low").select("band", "doc_id")
+        roots = components(confirmed(stars).union(links))
+        # The smallest id of each bucket has been compared with all of it. Buckets with the
+        # same smallest id are one group from here on, as they share most members. In groups
+        # that still span several components, members outside the largest one ask all others.
+        rest = stars.toDF("low", "doc_id")
         rest = rest.join(roots.toDF("doc_id", "root"), "doc_id", "left").select(
-            "band", "doc_id", F.coalesce("root", "doc_id").alias("root")
+            "low", "doc_id", F.coalesce("root", "doc_id").alias("root")
         )
-        inside = rest.groupBy("band", "root").agg(F.count("*").alias("n"))
+        inside = rest.groupBy("low", "root").agg(F.count("*").alias("n"))
         main = (
-            inside.groupBy("band")
+            inside.groupBy("low")
             .agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
             .filter("roots > 1")
-            .select("band", F.col("m.root").alias("main"))
+            .select("low", F.col("m.root").alias("main"))
         )
         open_ = (
-            rest.join(main, "band")
-            .join(reps.select("doc_id", "n_shingles", "bands", "sketch"), "doc_id")
+            rest.join(main, "low")
+            .join(sketches, "doc_id")
             .withColumn("minor", F.col("root") != F.col("main"))
         )
         weight = (
-            open_.groupBy("band")
+            open_.groupBy("low")
             .agg(
                 F.sum("n_shingles").alias("all_size"),
                 F.sum(F.when(F.col("minor"), F.col("n_shingles"))).alias("minor_size"),
             )
             .select(
-                "band",
+                "low",
                 F.ceil(F.col("minor_size") / BLOCK_SHINGLES).cast("int").alias("minor_blocks"),
                 F.ceil(F.col("all_size") / BLOCK_SHINGLES).cast("int").alias("blocks"),
             )
@@ -374,8 +378,8 @@ def near_duplicates(
         def every(n: str) -> Column:
             return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-        row = ["band", "doc_id", "root", "bands", "sketch"]
-        open_ = open_.join(weight, "band")
+        row = ["low", "doc_id", "root", "sketch"]
+        open_ = open_.join(weight, "low")
         asking = open_.filter("minor").select(
             *row, F.lit(True).alias("asks"), block("minor_blocks").alias("p"), every("blocks")
         )
@@ -387,7 +391,7 @@ def near_duplicates(
             asking.toDF(*names)
             .union(asked.toDF(*names))
             .join(sets, "doc_id")
-            .groupBy("band", "p", "q")
+            .groupBy("low", "p", "q")
             .applyInArrow(_compared(similarity), "a long, b long")
         )
         roots = components(found_links.union(roots.toDF("a", "b")))
