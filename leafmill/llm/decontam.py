@@ -6,10 +6,10 @@ hash is the seed, so a substitution under a zero changes nothing. The three defa
 keep two of four blocks of three tokens (all other choices are shifts of these), so any
 twelve aligned tokens with at most two substitutions share at least one seed.
 
-A seed hit fixes a diagonal. Around the hit the tokens of both sides are compared one by
-one, REACH tokens each way, and the run with the best score (+1 a match, -2 a mismatch; the longest
-of equally good ones) is the overlap. Overlaps of at least ``min_tokens`` tokens, ``min_share`` of them equal,
-are reported. Runs of hits on one diagonal are judged once per REACH tokens.
+A seed hit fixes a diagonal. On it the tokens of both sides are compared one by one over the
+whole item. If any window of at least ``min_tokens`` pairs has ``min_share`` of them equal, the
+longest such window (the first of equally long ones) is the overlap; unequal pairs at its ends are
+left out as long as ``min_tokens`` remain. A run of hits on one diagonal is judged once.
 
 Seeds of the items are broadcast only if there are at most BROADCAST_SEEDS of them (about
 100 MB), otherwise both sides are shuffled on the seed and the documents' tokens are fetched
@@ -23,6 +23,8 @@ same overlaps once. Rows with a null id cannot be named and are left out of the
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,9 @@ BROADCAST_SEEDS = 1 << 20
 
 
 def token_hashes(text: Column) -> Column:
-    """Hash of every token; null counts as empty."""
+    """Hash of every token; null counts as empty. Empty strings at the ends are no tokens."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    return F.array_remove(F.transform(words, lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
 def _seeds(tokens: str, at: Column, masks: tuple[str, ...]) -> Column:
@@ -50,26 +52,28 @@ def _seeds(tokens: str, at: Column, masks: tuple[str, ...]) -> Column:
     return F.array(*out)
 
 
-def _positions(rows: DataFrame, keys: list[str], masks: tuple[str, ...]) -> DataFrame:
+def _positions(
+    rows: DataFrame, keys: list[str], masks: tuple[str, ...], context: int = REACH
+) -> DataFrame:
     """keys, base, piece, at, seed: a row per position and mask of tokens cut into pieces.
 
-    A piece carries REACH tokens of context on either side; ``at`` counts inside it.
+    A piece carries ``context`` tokens or more on either side; ``at`` counts inside it.
     """
+    step = max(PIECE, context)
+    base = F.greatest(F.col("from") - context, F.lit(0))
     pieces = rows.select(
         *keys,
         "tokens",
-        F.explode(F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)), F.lit(PIECE)))
+        F.explode(F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)), F.lit(step)))
         .alias("from"),
     ).select(
         *keys,
-        F.greatest(F.col("from") - REACH, F.lit(0)).alias("base"),
+        base.alias("base"),
         F.col("from"),
-        F.slice(
-            "tokens", F.greatest(F.col("from") - REACH, F.lit(0)) + 1, F.lit(PIECE + 3 * REACH)
-        ).alias("piece"),
+        F.slice("tokens", base + 1, F.lit(step + 3 * context)).alias("piece"),
     )
     first = F.col("from") - F.col("base")
-    last = F.least(first + PIECE, F.size("piece")) - 1
+    last = F.least(first + step, F.size("piece")) - 1
     at = pieces.select(
         *keys, "base", "piece", F.explode(F.sequence(first, F.greatest(first, last))).alias("at")
     )
@@ -78,53 +82,95 @@ def _positions(rows: DataFrame, keys: list[str], masks: tuple[str, ...]) -> Data
     ).filter("seed is not null")
 
 
-def _best_run(flags: Column) -> Column:
-    """Start, length and matches of the run with the highest score (+1 a match, -2 else).
+def _longest(flags: Column, min_share: float) -> Column:
+    """Start and length of the longest window with ``min_share`` of its flags true.
 
-    Of equally good runs the longest, then the first.
+    An equal pair adds ``gain`` and another takes ``loss`` from a running sum, so a window is
+    good if the sum does not fall over it. The longest one starts behind an unequal pair or
+    at the front, and ends before one or at the back; these places are gone through by
+    rising sum with the earliest start so far.
     """
-    zero = F.lit(0)
-    start = F.struct(
-        zero.alias("i"), zero.alias("now"), zero.alias("since"), zero.alias("hits"),
-        zero.alias("best"), zero.alias("start"), zero.alias("length"), zero.alias("matches"),
-    )
-
-    def step(s: Column, flag: Column) -> Column:
-        fresh = s["now"] < 0
-        now = F.when(fresh, 0).otherwise(s["now"]) + F.when(flag, 1).otherwise(-2)
-        since = F.when(fresh, s["i"]).otherwise(s["since"])
-        hits = F.when(fresh, 0).otherwise(s["hits"]) + flag.cast("int")
-        longer = (now == s["best"]) & (s["i"] - since + 1 > s["length"])
-        better = (now > s["best"]) | longer
+    share = Fraction(str(min_share))
+    gain, loss = share.denominator - share.numerator, share.numerator
+
+    def places(edges: Column, kind: int, shift: int) -> Column:
+        return F.transform(
+            edges,
+            lambda p, k: F.struct(
+                ((p + shift - k) * F.lit(gain).cast("long") - k * F.lit(loss).cast("long"))
+                .alias("sum"),
+                F.lit(kind).alias("end"),
+                (p + shift).alias("at"),
+            ),
+        )
+
+    unequal = F.filter(
+        F.transform(flags, lambda f, i: F.when(~f, i)), lambda p: p.isNotNull()
+    )
+    starts = places(F.concat(F.array(F.lit(-1)), unequal), 0, 1)
+    ends = places(F.concat(unequal, F.array(F.size(flags))), 1, 0)
+    zero = F.struct(
+        F.size(flags).alias("first"), F.lit(0).alias("start"), F.lit(0).alias("length")
+    )
+
+    def step(s: Column, place: Column) -> Column:
+        length = place["at"] - s["first"]
+        longer = (place["end"] == 1) & (
+            (length > s["length"]) | ((length == s["length"]) & (s["first"] < s["start"]))
+        )
         return F.struct(
-            (s["i"] + 1).alias("i"), now.alias("now"), since.alias("since"), hits.alias("hits"),
-            F.when(better, now).otherwise(s["best"]).alias("best"),
-            F.when(better, since).otherwise(s["start"]).alias("start"),
-            F.when(better, s["i"] - since + 1).otherwise(s["length"]).alias("length"),
-            F.when(better, hits).otherwise(s["matches"]).alias("matches"),
+            F.when(place["end"] == 1, s["first"])
+            .otherwise(F.least(s["first"], place["at"])).alias("first"),
+            F.when(longer, s["first"]).otherwise(s["start"]).alias("start"),
+            F.when(longer, length).otherwise(s["length"]).alias("length"),
         )
 
-    return F.aggregate(flags, start, step)
+    return F.aggregate(F.array_sort(F.concat(starts, ends)), zero, step)
 
 
-def _judged(hits: DataFrame) -> DataFrame:
-    """Compare around each hit. hits: doc_id, base, piece, at, item_id, item_at, item."""
-    back = F.least(F.lit(REACH), F.col("at"), F.col("item_at"))
-    width = back + REACH + 12
+def _judged(hits: DataFrame, min_tokens: int, min_share: float) -> DataFrame:
+    """Compare along the diagonal of each hit. hits: doc_id, base, piece, at, item_id, item_at,
+    item. Only overlaps come back."""
+    back = F.least("at", "item_at")
+    width = back + F.least(F.size("piece") - F.col("at"), F.size("item") - F.col("item_at"))
     flags = F.zip_with(
         F.slice("piece", F.col("at") - back + 1, width),
         F.slice("item", F.col("item_at") - back + 1, width),
-        lambda x, y: F.coalesce(x == y, F.lit(False)),
+        lambda x, y: x == y,
+    )
+    least = F.lit(min_tokens)
+    found = (
+        hits.select(
+            "doc_id",
+            "item_id",
+            (F.col("base") + F.col("at") - back).alias("doc_from"),
+            (F.col("item_at") - back).alias("item_from"),
+            flags.alias("flags"),
+        )
+        .withColumn("run", _longest(F.col("flags"), min_share))
+        .filter(F.col("run.length") >= least)
     )
-    start = F.col("base") + F.col("at") - F.col("back") + F.col("run.start")
-    return hits.select("*", back.alias("back"), _best_run(flags).alias("run")).select(
-        "doc_id",
-        "item_id",
-        start.alias("doc_start"),
-        (start + F.col("run.length")).alias("doc_end"),
-        (F.col("item_at") - F.col("back") + F.col("run.start")).alias("item_start"),
-        F.col("run.length").alias("n_tokens"),
-        F.col("run.matches").alias("n_equal"),
+    low, high = F.col("run.start"), F.col("run.start") + F.col("run.length")
+    equal = F.filter(
+        F.transform("flags", lambda f, i: F.when(f & (i >= low) & (i < high), i)),
+        lambda p: p.isNotNull(),
+    )
+    # without unequal pairs at the ends, but not below the least length
+    last = F.coalesce(F.get("equal", F.size("equal") - 1), low) + 1
+    start = F.least(F.coalesce(F.get("equal", F.lit(0)), low), F.greatest(low, last - least))
+    return (
+        found.withColumn("equal", equal)
+        .withColumn("start", start)
+        .withColumn("end", F.greatest(last, F.col("start") + least))
+        .select(
+            "doc_id",
+            "item_id",
+            (F.col("doc_from") + F.col("start")).alias("doc_start"),
+            (F.col("doc_from") + F.col("end")).alias("doc_end"),
+            (F.col("item_from") + F.col("start")).alias("item_start"),
+            (F.col("end") - F.col("start")).alias("n_tokens"),
+            F.size("equal").alias("n_equal"),
+        )
     )
 
 
@@ -141,11 +187,10 @@ def overlaps(
     Columns: doc_id, item_id, doc_start, doc_end, item_start (token positions), n_tokens,
     n_equal, and n_overlaps (distinct overlaps of the pair).
     """
-    # an item's tokens as they are compared; empty strings at the ends are no tokens
     wanted = items.filter("item_id is not null").select(
-        "item_id",
-        F.array_remove(token_hashes(F.col("text")), F.xxhash64(F.lit(""))).alias("tokens"),
+        "item_id", token_hashes(F.col("text")).alias("tokens")
     ).distinct()
+    longest = wanted.agg(F.max(F.size("tokens"))).first()[0] or 0
     seeds = (
         _positions(wanted, ["item_id"], masks)
         .select("seed", "item_id", (F.col("base") + F.col("at")).alias("item_at"))
@@ -154,7 +199,7 @@ def overlaps(
     tokens = docs.filter("doc_id is not null").select(
         F.col("doc_id"), token_hashes(F.col("text")).alias("tokens")
     )
-    found = _positions(tokens, ["doc_id"], masks)
+    found = _positions(tokens, ["doc_id"], masks, max(REACH, longest))
     whole = wanted.withColumnRenamed("tokens", "item")
     if seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
         hits = found.join(F.broadcast(seeds), "seed").join(F.broadcast(whole), "item_id")
@@ -182,12 +227,7 @@ def overlaps(
                     F.lit(False),
                 )
         earlier = earlier | fits
-    place = F.col("base") + F.col("at")
-    hits = hits.filter(~earlier | (place % REACH == 0))
-    long_enough = F.col("n_tokens") >= min_tokens
-    judged = _judged(hits).filter(
-        long_enough & (F.col("n_equal") >= F.lit(min_share) * F.col("n_tokens"))
-    )
+    judged = _judged(hits.filter(~earlier), min_tokens, min_share)
     best = F.max(
         F.struct(
             "n_equal",

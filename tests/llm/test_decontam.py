@@ -128,3 +128,58 @@ def test_repeated_ids_give_a_pair_once(spark):
     bench = spark.createDataFrame([(7, text), (7, text)], "item_id long, text string")
     found = decontam.overlaps(docs, bench)
     assert found.count() == 2 and found.agg(F.max("n_overlaps")).first()[0] == 1
+
+
+def windowed(doc, item):
+    """Some seeded diagonal holds an aligned window of MIN_TOKENS pairs or more with enough equal."""
+    for shift in range(-len(item), len(doc)):
+        flags = [doc[i + shift] == x for i, x in enumerate(item) if 0 <= i + shift < len(doc)]
+        seeded = any(
+            all(i + k < len(flags) and flags[i + k] for k, b in enumerate(m) if b == "1")
+            for m in decontam.MASKS for i in range(len(flags))
+        )
+        if seeded and any(
+            sum(flags[a:b]) >= decontam.MIN_SHARE * (b - a)
+            for a in range(len(flags))
+            for b in range(a + decontam.MIN_TOKENS, len(flags) + 1)
+        ):
+            return True
+    return False
+
+
+def test_any_window_that_meets_the_limits_counts(spark):
+    draw = np.random.default_rng(8)
+    items = [[f"i{n}x{k}" for k in range(n)] for n in (12, 13, 15, 20, 33)]
+    rows = []
+    for d in range(240):
+        number = d % 5
+        piece = list(items[number])
+        for at in draw.choice(len(piece), min(1 + d // 30, len(piece) // 3), replace=False):
+            piece[at] = "sub"
+        text = [f"f{k}" for k in range(d % 7)] + piece + ["g"] * (d % 3)
+        rows.append((d, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(
+        [(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"
+    )
+    want = {(d, i) for d, t in rows for i, x in enumerate(items) if windowed(t.split(), x)}
+    assert 60 < len(want) < 230
+    for bound in (decontam.BROADCAST_SEEDS, 0):
+        found = decontam.overlaps(docs, bench, broadcast_seeds=bound).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == want
+        for r in found:
+            doc, item = rows[r.doc_id][1].split(), items[r.item_id]
+            pairs = zip(doc[r.doc_start : r.doc_end], item[r.item_start :], strict=False)
+            assert r.doc_end - r.doc_start == r.n_tokens >= decontam.MIN_TOKENS
+            assert sum(x == y for x, y in pairs) == r.n_equal >= decontam.MIN_SHARE * r.n_tokens
+
+
+def test_two_substitutions_anywhere_in_fifteen_tokens(spark):
+    item = [f"i{k}" for k in range(15)]
+    rows = [
+        (a * 15 + b, " ".join("sub" if k in (a, b) else w for k, w in enumerate(item)))
+        for a in range(15) for b in range(a + 1, 15)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert decontam.overlaps(docs, bench).count() == len(rows) == 105
