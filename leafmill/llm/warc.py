@@ -12,8 +12,8 @@ the next one is looked for right behind it, so payload bytes are scanned only at
 of a range. So every record is read once, however the ranges fall.
 
 A null html is an empty payload. Rows with a null page_id are written as responses, are never
-referred to and come back with a null id. Repeated rows (same id, same payload) are
-responses all. A null url becomes ``urn:none``; control characters and blanks in urls are
+referred to and come back with a null id. Repeated rows (same id, same payload) are one
+record each: responses if theirs is the smallest id of the payload, else revisits. A null url becomes ``urn:none``; control characters and blanks in urls are
 percent-encoded. An empty table gives no archive and no row. Further columns are ignored.
 """
 
@@ -111,7 +111,8 @@ def write_archives(
     again = written(
         digests.join(first, "sha")
         .filter("page_id != first")
-        .select("page_id", "sha", F.col("first").alias("refers_to")),
+        .select("page_id", "sha", F.col("first").alias("refers_to"))
+        .distinct(),
         "revisits",
     )
     size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0

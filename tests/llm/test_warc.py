@@ -103,3 +103,13 @@ def test_edges(spark, tmp_path):
         ("1", "response", None), ("1", "response", None), ("2", "revisit", 1),
         ("None", "response", None),
     ]
+
+
+def test_repeats_of_a_page_that_is_not_the_first_are_not_multiplied(spark, tmp_path):
+    rows = [(1, "u", "x")] + [(2, "u", "x")] * 3 + [(3, "v", "y")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = read(spark, df, str(tmp_path / "w"))[0].collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [
+        (1, "response", None), (2, "revisit", 1), (2, "revisit", 1), (2, "revisit", 1),
+        (3, "response", None), (3, "response", None),
+    ]
