@@ -6,7 +6,7 @@ compared in a narrow aggregate; pages then move once, by id, into archives.
 
 Reading: an archive is cut into byte ranges, a task each. A task scans its range for the gzip
 magic, takes each place as a candidate and decodes its first bytes; it is a record only if
-they inflate to a WARC header with a record id and a length. A task owns the records
+they inflate to a WARC header, of any length, with a record id and a length. A task owns the records
 that start inside its range and reads on past the end for the last one. After an owned record
 the next one is looked for right behind it, so payload bytes are scanned only at the start
 of a range. So every record is read once, however the ranges fall.
@@ -33,7 +33,7 @@ from leafmill.llm.common import written
 from leafmill.llm.files import make_folder, opened
 
 MAGIC = b"\x1f\x8b\x08"
-HEAD_BYTES = 1 << 16  # a record's headers must fit in so many inflated bytes
+HEAD_BYTES = 1 << 16  # inflated at a time while the end of a record's headers is looked for
 BLOCK = 1 << 18
 ARCHIVE_BYTES = 1 << 30  # of payload per archive
 SPLIT_BYTES = 16 << 20
@@ -161,14 +161,6 @@ def _header(head: bytes) -> dict[str, str] | None:
     return fields | {"": str(end + 4)}
 
 
-def _valid_head(data: bytes) -> dict[str, str] | None:
-    """Header of the record if a member of one starts here. May need more than ``data``."""
-    try:
-        return _header(zlib.decompressobj(31).decompress(data, HEAD_BYTES))
-    except zlib.error:
-        return None
-
-
 class _Range:
     """Forward reading of a file with a window that moves on."""
 
@@ -189,6 +181,30 @@ class _Range:
         self.window, self.at = self.window[n:], self.at + n
 
 
+def _valid_head(view: _Range) -> dict[str, str] | None:
+    """Header of the record if a member of one starts here, however long the header is."""
+    inflate, head, rest, fed = zlib.decompressobj(31), bytearray(), b"", 0
+    start = b"WARC/1."
+    try:
+        while not inflate.eof:
+            if not rest:
+                rest = view.ensure(fed + HEAD_BYTES)[fed : fed + HEAD_BYTES]
+                fed += len(rest)
+            ended = not rest
+            seen = max(0, len(head) - 3)
+            head += inflate.decompress(rest, HEAD_BYTES)
+            rest = inflate.unconsumed_tail
+            if head[: len(start)] != start[: len(head)]:
+                return None
+            if head.find(b"\r\n\r\n", seen) >= 0:
+                return _header(bytes(head))
+            if ended and len(head) <= seen + 3:
+                return None
+    except zlib.error:
+        pass
+    return None
+
+
 def records(file, start: int, end: int, size: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, header fields, block) of the records that start in [start, end)."""
     view = _Range(file, start, size)
@@ -203,8 +219,7 @@ def records(file, start: int, end: int, size: int) -> Iterator[tuple[int, dict[s
         if found:
             view.skip(found)
             continue
-        window = view.ensure(2 * HEAD_BYTES)
-        fields = _valid_head(window)
+        fields = _valid_head(view)
         if fields is None:
             view.skip(1)
             continue

@@ -113,3 +113,30 @@ def test_repeats_of_a_page_that_is_not_the_first_are_not_multiplied(spark, tmp_p
         (1, "response", None), (2, "revisit", 1), (2, "revisit", 1), (2, "revisit", 1),
         (3, "response", None), (3, "response", None),
     ]
+
+
+def test_headers_of_any_length_are_read(spark, tmp_path):
+    draw = random.Random(4)
+    noise = "".join(chr(draw.randrange(33, 127)) for _ in range(400_000))
+    urls = ["u", "data:" + "a" * 65_536, "data:" + " " * 70_000, noise, noise[:65_300], "v"]
+    rows = [(i, url, f"<p>{i // 2}") for i, url in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for split in (50_000, 1 << 24):
+        folder = str(tmp_path / f"w{split}")
+        manifest = warc.write_archives(df, folder)
+        got = warc.read_archives(spark, manifest, folder, split_bytes=split).collect()
+        assert {(r.page_id, r.url) for r in got} == {
+            (i, url.replace(" ", "%20")) for i, url in enumerate(urls)
+        }
+        assert len(got) == len(urls)
+
+
+def test_header_that_never_ends_is_no_record():
+    import zlib
+
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    member = packer.compress(b"WARC/1.1\r\nA: " + b"a" * 300_000) + packer.flush()
+    good = warc.record(1, "u", b"x", None)
+    data = member + good + member[:-20]
+    found = list(warc.records(_File(data), 0, len(data), len(data)))
+    assert [offset for offset, _, _ in found] == [len(member)]
