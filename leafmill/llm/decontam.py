@@ -9,7 +9,8 @@ twelve aligned tokens with at most two substitutions share at least one seed.
 A seed hit fixes a diagonal. On it the tokens of both sides are compared one by one over the
 whole item. If any window of at least ``min_tokens`` pairs has ``min_share`` of them equal, the
 longest such window (the first of equally long ones) is the overlap; unequal pairs at its ends are
-left out as long as ``min_tokens`` remain. A run of hits on one diagonal is judged once.
+left out as long as ``min_tokens`` remain. A run of hits on one diagonal is judged once. Of an
+item with fewer tokens than ``min_tokens`` the whole is asked for in their place.
 
 Seeds of the items are broadcast only if there are at most BROADCAST_SEEDS of them (about
 100 MB), otherwise both sides are shuffled on the seed and the documents' tokens are fetched
@@ -138,7 +139,6 @@ def _judged(hits: DataFrame, min_tokens: int, min_share: float) -> DataFrame:
         F.slice("item", F.col("item_at") - back + 1, width),
         lambda x, y: x == y,
     )
-    least = F.lit(min_tokens)
     found = (
         hits.select(
             "doc_id",
@@ -146,9 +146,10 @@ def _judged(hits: DataFrame, min_tokens: int, min_share: float) -> DataFrame:
             (F.col("base") + F.col("at") - back).alias("doc_from"),
             (F.col("item_at") - back).alias("item_from"),
             flags.alias("flags"),
+            F.least(F.lit(min_tokens), F.size("item")).alias("least"),
         )
         .withColumn("run", _longest(F.col("flags"), min_share))
-        .filter(F.col("run.length") >= least)
+        .filter(F.col("run.length") >= F.col("least"))
     )
     low, high = F.col("run.start"), F.col("run.start") + F.col("run.length")
     equal = F.filter(
@@ -157,11 +158,11 @@ def _judged(hits: DataFrame, min_tokens: int, min_share: float) -> DataFrame:
     )
     # without unequal pairs at the ends, but not below the least length
     last = F.coalesce(F.get("equal", F.size("equal") - 1), low) + 1
-    start = F.least(F.coalesce(F.get("equal", F.lit(0)), low), F.greatest(low, last - least))
+    start = F.least(F.coalesce(F.get("equal", F.lit(0)), low), F.greatest(low, last - F.col("least")))
     return (
         found.withColumn("equal", equal)
         .withColumn("start", start)
-        .withColumn("end", F.greatest(last, F.col("start") + least))
+        .withColumn("end", F.greatest(last, F.col("start") + F.col("least")))
         .select(
             "doc_id",
             "item_id",

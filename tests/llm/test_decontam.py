@@ -183,3 +183,21 @@ def test_two_substitutions_anywhere_in_fifteen_tokens(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
     assert decontam.overlaps(docs, bench).count() == len(rows) == 105
+
+
+def test_short_and_long_items_are_found_whole(spark):
+    items = [[f"i{n}x{k}" for k in range(n)] for n in (5, 6, 8, 11, 300)]
+    rows = [(i, " ".join(["a", "b", *x, "c"])) for i, x in enumerate(items)]
+    rows += [(10 + i, " ".join(["a", *x[:-1], "c"])) for i, x in enumerate(items[:4])]
+    far = ["sub" if k in (2, 150) else w for k, w in enumerate(items[4])]
+    rows.append((20, " ".join(["a"] * 5000 + far)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(
+        [(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"
+    )
+    for bound in (decontam.BROADCAST_SEEDS, 0):
+        found = decontam.overlaps(docs, bench, broadcast_seeds=bound).collect()
+        assert {(r.doc_id, r.item_id, r.doc_start, r.doc_end, r.n_equal) for r in found} == {
+            (1, 1, 2, 8, 6), (2, 2, 2, 10, 8), (3, 3, 2, 13, 11), (4, 4, 2, 302, 300),
+            (12, 2, 1, 9, 7), (13, 3, 1, 12, 10), (20, 4, 5000, 5300, 298),
+        }
