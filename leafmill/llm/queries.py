@@ -11,7 +11,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontam, hmm, language, mixing, neardup, rules, sharding, tokenbin, toxicity, warc
+from leafmill.llm import (
+    decontam, hmm, infill, language, mixing, neardup, rules, sharding, tokenbin, topk, toxicity,
+    vqtree, warc,
+)
 from leafmill.llm.common import shared_folder
 
 OLD_SHARDS, SHARDS = 32, 40
@@ -122,6 +125,32 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     )
 
 
+def op11_swar_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
+    text = infill.restored(F.col("form"), F.col("output"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"),
+    )
+
+
+QUERY_STEP = 50
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").filter(topk.usable(F.col("embedding")))
+    vectors = vectors.select("vec_id", topk.quantised(F.col("embedding")).alias("vec"))
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % QUERY_STEP == 0), k=5)
+
+
+def op13_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vqtree.compress(_table(spark, sf_dir, "embeddings"))
+    digest = None if books is None else vqtree.books_sha256(books)
+    return vqtree.with_label_error(codes).select(
+        "vec_id", "code", "error", "label_error", F.lit(digest).cast("string").alias("codebooks_sha256")
+    )
+
+
 def _for_workers(
     query: Callable[[SparkSession, str], DataFrame],
 ) -> Callable[[SparkSession, str], DataFrame]:
@@ -154,6 +183,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_round_trip": op8_warc_round_trip,
         "op9_hidden_markov_scores": op9_hidden_markov_scores,
         "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
+        "op11_swar_infill": op11_swar_infill,
+        "op12_exact_top_k": op12_exact_top_k,
+        "op13_cover_tree_codes": op13_cover_tree_codes,
     }
     return {name: _for_workers(query) for name, query in found.items()}
 
@@ -215,5 +247,97 @@ from placed where epoch < full_epochs or start < rest
 """
 
 
+OP11_SQL = r"""
+with units as (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as h,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u
+  from documents),
+hashed as (
+  select *, len(u) as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2,
+    ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4
+  from units),
+cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when n = 0 or regexp_matches(text, '<[PSM]>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from hashed),
+parts as (
+  select doc_id, n, form, text, coalesce(array_to_string(u[1:a], ''), '') as prefix,
+    coalesce(array_to_string(u[a + 1:b], ''), '') as middle, coalesce(array_to_string(u[b + 1:n], ''), '') as suffix
+  from cut)
+select doc_id, n::bigint as n, form,
+  case when form <> 'plain' then length(prefix) end::bigint as prefix_chars,
+  case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
+
+_USABLE_SQL = """embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0"""
+_FLOORED_SQL = "[floor(256 * x::double)::bigint for x in embedding]"
+
+OP12_SQL = f"""
+with v as (
+  select vec_id, {_FLOORED_SQL} as q from embeddings where vec_id is not null and {_USABLE_SQL}),
+pairs as (
+  select a.vec_id as query_id, b.vec_id as vec_id,
+    list_inner_product(a.q::double[], b.q::double[])::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % {QUERY_STEP} = 0),
+ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::bigint as rank
+  from pairs)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5
+"""
+
+
+def _round_sql(n: int, move: bool) -> str:
+    """Assignment of the parts to codebook ``n`` and, for a round, the codebook that follows."""
+    sql = f"""
+near{n} as (
+  select vec_id, label, p, any_value(x) as x, min(d * 64 + e) % 64 as e, min(d) as d from (
+    select s.*, b.e, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(x, c)])::bigint as d
+    from parts s join book{n} b using (p))
+  group by vec_id, label, p)"""
+    if move:
+        sql += f""",
+mean{n} as (
+  select p, e, list(m order by i) as c from (
+    select p, e, i, floor(sum(x[i])::double / count(*))::bigint as m
+    from near{n}, unnest(range(1, len(x) + 1)) as u(i) group by p, e, i)
+  group by p, e),
+book{n + 1} as (
+  select b.p, b.e, coalesce(m.c, b.c) as c from book{n} b left join mean{n} m using (p, e))"""
+    return sql
+
+
+OP13_SQL = f"""
+with v as (
+  select vec_id, label, {_FLOORED_SQL} as q from embeddings where {_USABLE_SQL}),
+parts as (
+  select vec_id, label, p, q[p * (len(q) // 16) + 1:(p + 1) * (len(q) // 16)] as x
+  from v, unnest(range(16)) as u(p)),
+book0 as (
+  select p, e, c from (
+    select p, row_number() over (partition by p order by vec_id) - 1 as e, x as c from parts)
+  where e < 64),{_round_sql(0, True)},{_round_sql(1, True)},{_round_sql(2, False)},
+coded as (
+  select vec_id, label, string_agg(printf('%02x', e::bigint), '' order by p) as code,
+    sum(d)::bigint as error
+  from near2 group by vec_id, label),
+digest as (
+  select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from book2)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+  codebooks_sha256
+from coded, digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_hierarchical_mixing": OP5_SQL}
+    return {
+        "op5_hierarchical_mixing": OP5_SQL,
+        "op11_swar_infill": OP11_SQL,
+        "op12_exact_top_k": OP12_SQL,
+        "op13_cover_tree_codes": OP13_SQL,
+    }
