@@ -1,5 +1,7 @@
+import duckdb
 import pytest
 
+TABLES = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 700} and{i % 13}" for i in range(40_000))
 
 
@@ -33,4 +35,22 @@ def edge_docs(spark):
 
 @pytest.fixture(scope="session")
 def documents(spark):
-    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    return spark.read.parquet(f"{TABLES}/documents.parquet")
+
+
+@pytest.fixture
+def same_as_sql(spark):
+    """Compares a query over the smallest tables with its SQL, columns by name."""
+
+    def check(query, sql, *tables):
+        con = duckdb.connect()
+        for table in tables:
+            con.execute(f"create view {table} as from '{TABLES}/{table}.parquet'")
+        df = query(spark, TABLES)
+        result = con.execute(sql)
+        columns = [d[0] for d in result.description]
+        assert sorted(columns) == sorted(df.columns)
+        want = [tuple(row[columns.index(c)] for c in df.columns) for row in result.fetchall()]
+        assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+
+    return check
