@@ -16,7 +16,7 @@ languages), beyond that random bits are chosen so that codewords lie far apart.
 
 The model has (buckets + 1) * bits numbers, whatever the size of the corpus. Text is
 lower-cased and everything but letters becomes one blank. A null text or one without
-letters is ``und`` with score 0. If no row is labelled, every text is ``und``. Ties go to the
+letters is ``und`` with score 0. More than MAX_LANGUAGES languages raise an error. If no row is labelled, every text is ``und``. Ties go to the
 alphabetically first language. Further columns are ignored.
 """
 
@@ -29,9 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import WINDOW, slices, text_buffer
+from leafmill.llm.common import slices, text_buffer
 
 BUCKETS = 1 << 14
+GRAM_WINDOW = 1 << 17  # bytes of text worked on at a time
+SLICE = 1 << 20  # bytes of text whose rows are put together
+ODDS_STEPS = 1 << 12
+MAX_LANGUAGES = 1024
 ORDERS = 3
 SHARPNESS = 4.0
 AMBIGUOUS = 0.6  # a score below this is flagged
@@ -76,14 +80,20 @@ def codewords(languages: int, seed: int = 5) -> np.ndarray:
     return best
 
 
-def _grams(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bucket of each n-gram, row of each n-gram), in pieces of bounded size."""
+def _grams(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket of each n-gram, row of each n-gram), one order of a window at a time.
+
+    The last characters of a window are carried into the next one, so the n-grams of a row do
+    not depend on where the windows lie.
+    """
     data, offsets = text_buffer(batch.column("text"))
     table = letter_table()
+    held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    last_blank, last_row = True, -1
     # a character belongs to the row its first byte lies in
     at, n = 0, len(data)
     while at < n:
-        end = min(at + WINDOW, n)
+        end = min(at + GRAM_WINDOW, n)
         while end < n and data[end] & 0xC0 == 0x80:
             end += 1
         part = data[at:end]
@@ -91,32 +101,33 @@ def _grams(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         where = np.flatnonzero((part & 0xC0) != 0x80)
         row = np.searchsorted(offsets, where + at, side="right") - 1
         chars = table[chars]
-        same = np.ones(len(chars), bool)
-        same[1:] = row[1:] == row[:-1]
         blank = chars == 0x20
-        keep = ~blank
-        keep[1:] |= ~blank[:-1] & same[1:]  # one blank after each word
-        chars, row = chars[keep].astype(np.uint64), row[keep]
+        after_word = np.empty(len(chars), bool)
+        after_word[0] = not last_blank and row[0] == last_row
+        after_word[1:] = ~blank[:-1] & (row[1:] == row[:-1])
+        last_blank, last_row = bool(blank[-1]), int(row[-1])
+        keep = ~blank | after_word  # one blank after each word
+        first = len(held[0])
+        chars = np.concatenate([held[0], chars[keep]])
+        row = np.concatenate([held[1], row[keep]])
         hashed = np.zeros(len(chars), np.uint64)
-        out, rows = [], []
-        for order in range(ORDERS):
-            if len(chars) <= order:
-                break
-            hashed = hashed[: len(chars) - order] if order else hashed
+        for order in range(min(ORDERS, len(chars))):
+            hashed = hashed[: len(chars) - order]
             hashed = (hashed + chars[order:] + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
-            inside = row[order:] == row[: len(row) - order] if order else slice(None)
-            bucket = (hashed >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int32)
-            out.append(bucket[inside])
-            rows.append(row[order:][inside])
-        if out:
-            yield np.concatenate(out), np.concatenate(rows)
+            # those that end in this window
+            new = slice(max(first - order, 0), None)
+            inside = np.flatnonzero(row[order:][new] == row[: len(row) - order][new])
+            bucket = (hashed[new][inside] >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int32)
+            if len(bucket):
+                yield bucket, row[order:][new][inside]
+        held = chars[1 - ORDERS :], row[1 - ORDERS :]
         at = end
 
 
 def _count_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             langs = part.column("lang").to_pylist()
             names = sorted(set(langs))
             number = np.array([names.index(x) for x in langs])
@@ -141,24 +152,26 @@ class Model:
         self.languages = languages
         self.code = codewords(len(languages))
         share = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
-        odds = np.zeros((BUCKETS, self.code.shape[1]), np.float32)
+        odds = np.zeros((self.code.shape[1], BUCKETS))
         for b, signs in enumerate(self.code.T):
             # all languages of a side count alike, however much text they have
             plus = share[signs > 0].mean(axis=0)
             minus = share[signs < 0].mean(axis=0) if (signs < 0).any() else plus
-            odds[:, b] = np.log(plus) - np.log(minus)
-        self.odds = odds
+            odds[b] = np.log(plus) - np.log(minus)
+        # whole multiples of a power of two: their sums are exact in any order
+        self.odds = np.round(odds * ODDS_STEPS) / ODDS_STEPS
         self.weights = np.ones(self.code.shape) / self.code.shape[1]
 
     def margins(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Mean log odds of each row and bit, and the number of n-grams of each row."""
-        total = np.zeros((batch.num_rows, self.odds.shape[1]))
+        total = np.zeros((batch.num_rows, len(self.odds)))
         count = np.zeros(batch.num_rows, np.int64)
         for bucket, row in _grams(batch):
-            # the orders follow one another, each sorted by row
+            # rows ascend
             cuts = np.flatnonzero(np.diff(row, prepend=-1))
-            np.add.at(total, row[cuts], np.add.reduceat(self.odds[bucket], cuts, axis=0))
-            np.add.at(count, row[cuts], np.diff(np.append(cuts, len(row))))
+            for bit, odds in enumerate(self.odds):
+                total[row[cuts], bit] += np.add.reduceat(odds[bucket], cuts)
+            count[row[cuts]] += np.diff(np.append(cuts, len(row)))
         return total / np.maximum(count, 1)[:, None], count
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +188,7 @@ def _bit_hits(model: Model):
         seen = np.zeros(len(model.languages), np.int64)
         number = {name: i for i, name in enumerate(model.languages)}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 margins, count = model.margins(part)
                 for i, name in enumerate(part.column("lang").to_pylist()):
                     if count[i]:
@@ -196,6 +209,8 @@ def fit(labelled: DataFrame) -> Model | None:
     rows = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).filter(
         "text is not null and lang is not null"
     )
+    if rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     sums = (
         rows.mapInArrow(_count_by_language, "lang string, bucket int, n long")
         .groupBy("lang", "bucket")
@@ -233,7 +248,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 if model is None:
                     names, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 else:
@@ -260,7 +275,7 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 if model is not None:
                     margins, count = model.margins(part)
                     score = model.decode(margins)[1]
