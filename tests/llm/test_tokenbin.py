@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -44,10 +46,28 @@ def test_round_trip(spark, documents, tmp_path, part_bytes):
     assert stream.tolist() == [x for ids in reference([t for _, t in rows]) for x in ids]
 
 
-def test_remembered_pieces_change_nothing(monkeypatch):
-    monkeypatch.setattr(tokenbin, "CACHE", 3)
-    texts = [*ODD, "one two three four", "five six"] * 3
-    assert tokenbin.encode(texts, PATH, 2) == tokenbin.encode(texts, PATH, 2, whole=True)
+@pytest.mark.parametrize("cache", [3, 1 << 20])
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch, cache):
+    monkeypatch.setattr(tokenbin, "CACHE", cache)
+    monkeypatch.setattr(tokenbin, "_memories", {})
+    monkeypatch.setattr(tokenbin, "_JOINED", 7)
+    draw = random.Random(3)
+    texts = [*ODD, "one two three four", "five six", "a.\n.b", "x×. y÷,", "ü. end."] * 2
+    texts += ["".join(draw.choices("aZéÿ×.,  \n9'sİ<|>😀́", k=draw.randint(0, 12))) for _ in range(3000)]
+    column = pa.array(texts)
+    for at in (0, 40):
+        flat, sizes = tokenbin.encode(column[at:], PATH, 2, 1)
+        whole, whole_sizes = tokenbin.encode(column[at:], PATH, 2, 1, whole=True)
+        assert (flat == whole).all() and (sizes == whole_sizes).all() and sizes.sum() == len(flat)
+
+
+def test_tokenizers_without_word_endings_learn_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(tokenbin, "_memories", {})
+    column = pa.array(["one two", None, "three, four."])
+    memory = tokenbin._memories[PATH] = tokenbin.Memory(PATH)
+    memory.last[:] = False
+    got = tokenbin.encode(column, PATH, 2, 1)
+    assert all((a == b).all() for a, b in zip(got, tokenbin.encode(column, PATH, 2, 1, whole=True), strict=True))
 
 
 def test_edges(spark, edge_docs, tmp_path):
