@@ -349,16 +349,20 @@ def _json() -> str:
 # --- conversion -------------------------------------------------------------------
 
 
+# Text of a block: blanks and line breaks collapsed, emphasis marks escaped.
+_FLOW = (
+    r"regexp_replace(regexp_replace(regexp_replace({}, '[\t ]+', ' ', 'g'), ' ?\n[ \n]*', E'\n', 'g'),"
+    r" '([*_])', '\\\1', 'g')"
+)
+
+
 def _markdown(source: str) -> str:
     """Blocks of the given pages: paragraphs, headings, divisions and articles.
 
     Lists and links occur only in navigation, which is dropped; a bold element is never
     closed and so runs to the end of its block.
     """
-    flow = (
-        r"regexp_replace(regexp_replace(regexp_replace({}, '[\t ]+', ' ', 'g'), ' ?\n[ \n]*', E'\n', 'g'),"
-        r" '([*_])', '\\\1', 'g')"
-    ).format(_decode("raw"))
+    flow = _FLOW.format(_decode("raw"))
     return rf"""{_tokens(source)},
 {_DEPTH},
 blk AS (
@@ -415,6 +419,29 @@ main AS (
   WHERE coalesce(b.score <= y.score, TRUE) OR o.score >= least(b.score, greatest(10, 0.2 * b.score)))"""
 
 
+# FLT11's selector: child and sibling steps from the order of an article's children, links of the
+# navigation from their tokens. Paragraphs end at the next block, so they are parts as they stand.
+_SELECTED = rf"""kid AS (
+  SELECT page_id, bid, tag, lag(tag) OVER w AS before, lag(tag, 2) OVER w AS further
+  FROM nst WHERE is_block AND NOT is_close AND tag IN ('h1', 'p', 'div', 'ul')
+    AND container = (SELECT max(n.container) FROM nst n WHERE n.page_id = nst.page_id AND n.tag = 'article' AND NOT n.is_close)
+  WINDOW w AS (PARTITION BY page_id, container ORDER BY pos)),
+bks AS (
+  SELECT s.page_id, string_agg(t, E'\n\n' ORDER BY bid) AS blocks
+  FROM shown s JOIN kid k USING (page_id, bid)
+  WHERE k.tag = 'h1' OR (k.tag = 'p' AND (k.before = 'h1' OR (k.before = 'p' AND k.further = 'p')))
+  GROUP BY s.page_id),
+lnx AS (
+  SELECT page_id, pos, depth, tag, is_close, raw, lead(CASE WHEN kind = 'text' THEN raw ELSE '' END) OVER w AS inner_text,
+    lag(CASE WHEN kind = 'tag' AND NOT is_close THEN tag END) OVER w AS holder
+  FROM dep WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+lks AS (
+  SELECT page_id, string_agg('[' || {_strip(_FLOW.format(_decode('inner_text')))} || '](' ||
+    regexp_extract(raw, 'href="([^"]*)"', 1) || ')', E'\n' ORDER BY pos) AS links
+  FROM lnx WHERE tag = 'a' AND NOT is_close AND depth > 0 AND holder = 'li' AND raw LIKE '<a href="/t%'
+  GROUP BY page_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     # --- sources
@@ -502,8 +529,11 @@ SELECT doc_id, regexp_replace(markdown, '!\[[^\]]*\]\([^)]+\)\s*', '', 'g') AS m
     q["FLT10"] = _with(_tokens("pages"), _DEPTH, select="""
 SELECT page_id, pos, kind, tag, raw FROM dep WHERE depth = 0 AND kind <> 'raw'
   AND NOT (is_close AND tag IN ('nav', 'footer', 'header', 'aside'))""")
-    q["FLT11"] = _with(_markdown("pages"), select=_RAW_MD.format(
-        source="pages", cols="", where="WHERE tag = 'h1' OR tag = 'div'"))
+    q["FLT11"] = _with(_markdown("pages"), _SELECTED, select="""
+SELECT page_id, coalesce(CASE WHEN links IS NULL THEN blocks WHEN blocks IS NULL THEN links
+  ELSE links || E'\\n\\n' || blocks END, whole, '') AS markdown
+FROM (SELECT page_id FROM pages) LEFT JOIN lks USING (page_id) LEFT JOIN bks USING (page_id)
+  LEFT JOIN (SELECT page_id, string_agg(t, E'\\n\\n' ORDER BY bid) AS whole FROM shown GROUP BY page_id) USING (page_id)""")
     q["FLT12"] = "SELECT doc_id, text || E'\\n[top](#h) x [1]' AS markdown FROM documents"
     # --- joins
     q["JN1"] = _with(*_SITE_EDGES, select=f"""
@@ -521,12 +551,16 @@ SELECT doc_id, pos, url, content_type FROM (
   FROM lnk l JOIN fst f ON f.doc_id = l.doc_id AND f.url = l.url)"""
     q["JN4"] = _with(*_DOC_CITATIONS, numbered, select="SELECT doc_id, pos, url, n FROM num")
     q["JN5"] = _with(_tokens("pages"), select="""
-SELECT t.page_id, count(*) FILTER (t.tag = 'p' AND NOT t.is_close) AS paragraphs
-FROM tok t JOIN (
-  SELECT page_id, min(pos) FILTER (tag = 'article' AND NOT is_close) AS o,
-    coalesce(min(pos) FILTER (tag = 'article' AND is_close), max(pos) + 1) AS c
-  FROM tok GROUP BY page_id) b ON b.page_id = t.page_id AND t.pos >= b.o AND t.pos < b.c
-GROUP BY t.page_id""")
+SELECT page_id, count(*) FILTER (tag = 'p' AND NOT is_close) AS paragraphs,
+  count(*) FILTER (tag = 'p' AND NOT is_close AND boxes = 0) AS child_paragraphs
+FROM (
+  SELECT t.*, sum(CASE WHEN kind = 'tag' AND tag IN ('div', 'ul', 'li', 'nav', 'footer')
+      THEN CASE WHEN is_close THEN -1 ELSE 1 END ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS boxes
+  FROM tok t JOIN (
+    SELECT page_id, min(pos) FILTER (tag = 'article' AND NOT is_close) AS o,
+      coalesce(min(pos) FILTER (tag = 'article' AND is_close), max(pos) + 1) AS c
+    FROM tok GROUP BY page_id) b USING (page_id) WHERE t.pos >= b.o AND t.pos < b.c)
+GROUP BY page_id""")
     # --- aggregations
     q["AGG1"] = _with(_tokens("pages"), _TEXT, select=f"""
 SELECT page_id, ({_WORDS})::BIGINT AS word_count FROM pages LEFT JOIN txt USING (page_id)""")

@@ -13,10 +13,8 @@ from leafmill.functions import citations as c
 from leafmill.functions import dates, images, markup, urls
 from leafmill.functions import markdown as m
 from leafmill.functions.text import is_blank, word_count
-from leafmill.operators import blocks as b
-from leafmill.operators import crawl, dedupe, links, media, metadata, ordering, tokens
+from leafmill.operators import crawl, dedupe, links, media, metadata, ordering, tokens, tree
 from leafmill.operators.convert import to_markdown
-from leafmill.operators.selector import mark_selected, selector_flags
 from leafmill.plans import pages as plans
 from leafmill.plans.options import Options
 from leafmill.sinks import artifacts as sinks
@@ -281,15 +279,17 @@ def image_stripping(spark, sf):
 
 @query("FLT10")
 def subtree_removal(spark, sf):
-    kept = tokens.drop_stripped(tokens.tokenise(inputs.pages(spark, sf)))
+    kept = tree.drop_stripped(tree.tree_tokens(inputs.pages(spark, sf)))
     return kept.select("page_id", "pos", "kind", "tag", "raw")
 
 
 @query("FLT11")
 def selector_projection(spark, sf):
-    return to_markdown(
-        inputs.pages(spark, sf), strip_boilerplate=False, selector="article h1, .ad"
-    ).select("page_id", "markdown")
+    """Child, descendant, next- and later-sibling steps, a class, an attribute, inline elements."""
+    selector = "article > h1, h1 + p, .ad ~ article p + p + p, nav li > a[href^='/t']"
+    return to_markdown(inputs.pages(spark, sf), strip_boilerplate=False, selector=selector).select(
+        "page_id", "markdown"
+    )
 
 
 @query("FLT12")
@@ -346,12 +346,17 @@ def link_numbers(spark, sf):
 
 @query("JN5")
 def element_containment(spark, sf):
-    """Blocks inside an article, by interval containment."""
-    split = b.split_blocks(inputs.pages(spark, sf), flags=selector_flags("article"))
-    nested = b.with_levels(b.with_nesting(split))
-    inside = mark_selected(nested, "article").filter("chosen")
-    return inside.groupBy("page_id").agg(
-        F.count_if((F.col("tag") == "p") & ~F.col("is_close")).alias("paragraphs")
+    """Tokens inside an article, by interval containment; their paragraphs and children."""
+    rows = tree.tree_tokens(inputs.pages(spark, sf))
+    article = F.col("tag") == "article"
+    inside = tree.with_inside(rows, article, "inside").filter("inside")
+    opens = (F.col("tag") == "p") & ~F.col("is_close")
+    starts = rows.filter(article & ~F.col("is_close")).select(
+        "page_id", F.col("pos").alias("parent"), F.lit(True).alias("is_child")
+    )
+    return inside.join(starts, ["page_id", "parent"], "left").groupBy("page_id").agg(
+        F.count_if(opens).alias("paragraphs"),
+        F.count_if(opens & F.col("is_child")).alias("child_paragraphs"),
     )
 
 

@@ -47,15 +47,17 @@ def split_blocks(
     key: str = "page_id",
     escape: bool = True,
     flags: dict[str, Column] | None = None,
+    carried: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(key, url, pos, tag, is_close, start, text, <flags>), one row per block.
+    """(key, url, <carried>, pos, tag, is_close, start, text, <flags>), one row per block.
 
-    ``url`` travels on the first row of a page only. ``flags`` are expressions over
+    ``url`` travels on the first row of a page only, ``carried`` columns on all. ``flags`` are expressions over
     the block's tag (column ``block_tag``), computed here so that the tag itself need
     not be shuffled. A page without content keeps one empty row.
     """
     rows = pages.select(
         key,
+        *carried,
         "url",
         F.posexplode_outer(
             F.regexp_extract_all(F.col("html"), F.lit(BLOCK), F.lit(0))
@@ -64,6 +66,7 @@ def split_blocks(
     block = F.coalesce(F.col("block"), F.lit(""))
     named = rows.select(
         key,
+        *carried,
         F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("url")).alias("url"),
         F.coalesce(F.col("pos"), F.lit(0)).alias("pos"),
         markup.tag_name(block).alias("_name"),
@@ -72,6 +75,7 @@ def split_blocks(
     is_block = F.col("_name").isin(*CONTAINERS, *LEAVES)
     cut = named.select(
         key,
+        *carried,
         "url",
         "pos",
         F.when(is_block, F.col("_name")).otherwise("").alias("tag"),
@@ -80,7 +84,7 @@ def split_blocks(
         ),
         "block",
     ).select(
-        key, "url", "pos", "tag", "block_tag",
+        key, *carried, "url", "pos", "tag", "block_tag",
         F.substr("block", F.length("block_tag") + 1).alias("body"),
     )
     body = F.col("body")
@@ -96,6 +100,7 @@ def split_blocks(
     )
     return cut.select(
         key,
+        *carried,
         "url",
         "pos",
         "tag",
@@ -167,14 +172,12 @@ def with_nesting(blocks: DataFrame, key: str = "page_id") -> DataFrame:
     return deep.withColumn("list_no", F.count_if(outermost).over(running))
 
 
-def drop_stripped_blocks(blocks: DataFrame, exempt: Column | None = None) -> DataFrame:
-    """Blocks outside navigation, footer, header and aside, and ``exempt`` ones.
+def drop_stripped_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks outside navigation, footer, header and aside.
 
     The first row of a page always stays, emptied if need be: it stands for the page.
     """
     outside = F.col("strip_depth") == 0
-    if exempt is not None:
-        outside = outside | exempt
     return blocks.filter(outside | (F.col("pos") == 0)).withColumn(
         "text", F.when(outside, F.col("text")).otherwise("")
     )

@@ -15,7 +15,7 @@ from leafmill.operators.content import (
     mark_main_content,
     with_text_sums,
 )
-from leafmill.operators.selector import mark_selected, selector_flags
+from leafmill.operators.selector import select_elements
 
 
 def _lines(text: Column, prefix: Column) -> Column:
@@ -184,31 +184,26 @@ def to_markdown(
     header and aside never appear. ``key`` must be unique (``sources.pages.repeated_keys``
     tells): rows that share one are taken for one page.
     """
-    flags: dict[str, Column] = {}
-    if strip_boilerplate:
-        flags.update(content_flags())
     if selector is not None:
-        flags.update(selector_flags(selector))
-    split = b.split_blocks(pages, key, escape, flags)
-    nested = b.with_nesting(split, key)
-    if selector is None:
-        nested = b.drop_stripped_blocks(nested)
-    else:
-        # The selection is made on all blocks; then pages with a match keep them, the
-        # others lose what is stripped, as if there were no selector.
-        marked = mark_selected(b.with_levels(nested, key), selector, key)
-        nested = b.drop_stripped_blocks(marked, F.col("matched")).drop("level", "end", "bullet")
+        pages = select_elements(pages, selector)
+    split = b.split_blocks(
+        pages,
+        key,
+        escape,
+        content_flags() if strip_boilerplate else None,
+        carried=() if selector is None else ("matched",),
+    )
+    nested = b.drop_stripped_blocks(b.with_nesting(split, key))
     if strip_boilerplate:
         nested = mark_main_content(
             b.with_levels(with_text_sums(nested, key), key, at_end=TEXT_SUMS),
             key,
             prune=selector is None,
         )
+        if selector is not None:
+            nested = nested.withColumn("kept", F.col("kept") | F.col("matched"))
     else:
         nested = b.with_levels(nested, key).withColumn("kept", F.lit(True))
-    if selector is not None:
-        kept = F.when(F.col("matched"), F.col("chosen")).otherwise(F.col("kept"))
-        nested = nested.withColumn("kept", kept)
     kept = nested.filter(F.col("kept") | (F.col("pos") == 0)).withColumn(
         "text", F.when(F.col("kept"), F.col("text")).otherwise("")
     )

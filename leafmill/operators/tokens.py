@@ -1,4 +1,7 @@
-"""HTML pages as rows of lexical tokens, and nesting depth over them."""
+"""HTML pages as rows of lexical tokens, and nesting depth over them.
+
+Elements and their ends on malformed pages are in ``operators.tree``.
+"""
 
 from __future__ import annotations
 
@@ -55,10 +58,3 @@ def with_depth(
         .withColumn("depth", clamped_depth(F.col("_sum"), F.col("_low")).cast("int"))
         .drop("_sum", "_low")
     )
-
-
-def drop_stripped(tokens: DataFrame, key: str = "page_id") -> DataFrame:
-    """Tokens outside navigation, footer, header, aside, script and style."""
-    outside = with_depth(tokens, STRIPPED_TAGS, key)
-    closer = F.col("is_close") & F.col("tag").isin(*STRIPPED_TAGS)
-    return outside.filter((F.col("depth") == 0) & ~closer & (F.col("kind") != "raw"))
