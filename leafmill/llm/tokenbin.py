@@ -43,9 +43,9 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import slices, text_buffer, written
 from leafmill.llm.files import make_folder, mapped, opened
 
-CACHE = 1_200_000
+CACHE = 1_000_000
 PART_BYTES = 64 << 20
-SLICE = 8 << 20  # bytes of text encoded at a time
+SLICE = 4 << 20  # bytes of text encoded at a time
 _JOINED = 500  # words given to the library in one text
 _NO_ID = -(1 << 63)  # stands for a null id in the index
 # Letters that neither compose with what follows nor change their kind in lower case.
