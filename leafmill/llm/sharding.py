@@ -17,9 +17,10 @@ is a comparison, not a join of rows.
 each belong to one shard. ``read_shards`` reads them back and numbers the rows of each
 shard from 0 by file and by row in the file.
 
-A null text has no bytes. A null old shard counts as shard 0. Ties in size and hash (repeated
-rows) go to the same shard. An empty table gives empty shards. Further columns are
-carried through, but not the names ``shard``, ``_old`` and ``_key``, which are replaced.
+A null text has no bytes. A null old shard counts as shard 0; a number below 0 or not below
+``old_shards`` raises an error before anything is written. Ties in size and hash (repeated
+rows) go to the same shard. An empty table gives empty shards. Further columns are carried
+through whatever their names, but for ``shard`` and ``slot``, which are replaced.
 """
 
 from __future__ import annotations
@@ -107,16 +108,22 @@ def min_cost_flow(
     return {k: v for k, v in flow.items() if v}
 
 
+def _without(names: Sequence[str], *replaced: str) -> list[str]:
+    return [c for c in names if c.lower() not in replaced]
+
+
 def _keyed(rows: DataFrame, old: Column, size: Column) -> DataFrame:
-    """Adds _old, _size and _key: (size class, largest first) then a hash range."""
+    """(row, old, size, key): the user's columns as one, so that no name can clash.
+
+    The key is (size class, largest first), then a hash range.
+    """
     cls = F.floor(F.log2(size.cast("double")) * CLASSES).cast("long")
     at = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(RANGES))
-    return rows.withColumns(
-        {
-            "_old": F.coalesce(old.cast("int"), F.lit(0)),
-            "_size": size,
-            "_key": (-cls) * RANGES + at,
-        }
+    return rows.select(
+        F.struct(*_without(rows.columns, "shard", "slot")).alias("row"),
+        F.coalesce(old.cast("int"), F.lit(0)).alias("old"),
+        size.alias("size"),
+        ((-cls) * RANGES + at).alias("key"),
     )
 
 
@@ -127,13 +134,16 @@ def block_transfers(
 
     ``capacities`` may be a number of shards of equal size.
     """
-    cls = F.floor(F.col("_key") / RANGES).cast("long")
+    cls = F.floor(F.col("key") / RANGES).cast("long")
     sums = (
-        keyed.groupBy("_old", cls.alias("cls")).agg(F.sum("_size").alias("bytes")).collect()
+        keyed.groupBy("old", cls.alias("cls")).agg(F.sum("size").alias("bytes")).collect()
     )
+    odd = sorted({r["old"] for r in sums if not 0 <= r["old"] < old_shards})
+    if odd:
+        raise ValueError(f"old shards must lie in 0 to {old_shards - 1}; found {odd[:5]}")
     by_shard: list[list[tuple[int, int]]] = [[] for _ in range(old_shards)]
     for row in sums:
-        by_shard[row["_old"]].append((row["cls"], row["bytes"]))
+        by_shard[row["old"]].append((row["cls"], row["bytes"]))
     sizes = [sum(b for _, b in s) for s in by_shard]
     if isinstance(capacities, int):
         capacities = equal_capacities(sum(sizes), capacities)
@@ -157,17 +167,17 @@ def block_transfers(
     ranges: dict[tuple[int, int], list[tuple[int, int]]] = {k: [] for k in inside}
     if inside:
         spark = keyed.sparkSession
-        wanted = spark.createDataFrame(list(inside), "_old int, cls long")
+        wanted = spark.createDataFrame(list(inside), "old int, cls long")
         # at most one class per boundary, so fewer rows than old and new shards together
         fine = (
             keyed.withColumn("cls", cls)
-            .join(F.broadcast(wanted), ["_old", "cls"])
-            .groupBy("_old", "cls", "_key")
-            .agg(F.sum("_size").alias("bytes"))
+            .join(F.broadcast(wanted), ["old", "cls"])
+            .groupBy("old", "cls", "key")
+            .agg(F.sum("size").alias("bytes"))
             .collect()
         )
         for row in fine:
-            ranges[row["_old"], row["cls"]].append((row["_key"], row["bytes"]))
+            ranges[row["old"], row["cls"]].append((row["key"], row["bytes"]))
 
     out = []
     for i in range(old_shards):
@@ -198,13 +208,12 @@ _LOWEST, _HIGHEST = -(1 << 62), 1 << 62
 def place(keyed: DataFrame, transfers: list[tuple[int, int, int, int]]) -> DataFrame:
     """Adds ``shard``. The transfers are fewer than old and new shards together."""
     ranges = keyed.sparkSession.createDataFrame(
-        transfers, "_old int, _from long, _to long, shard int"
+        transfers, "old int, from long, to long, shard int"
     )
     return (
-        keyed.drop("shard")
-        .join(F.broadcast(ranges), "_old")
-        .filter("_key >= _from and _key < _to")
-        .drop("_from", "_to")
+        keyed.join(F.broadcast(ranges), "old")
+        .filter(F.col("key").between(F.col("from"), F.col("to") - 1))
+        .drop("from", "to")
     )
 
 
@@ -233,12 +242,14 @@ def reshard(
         placed = placed.filter(F.col("shard").isin(sorted(changed)))
     pieces = [max(1, -(-size.get(j, 0) // file_bytes)) for j in range(max(size, default=0) + 1)]
     counts = F.array(*[F.lit(p) for p in pieces])
-    piece = F.pmod(F.xxhash64("_key", "doc_id"), F.get(counts, F.col("shard")))
+    first = F.array(*[F.lit(sum(pieces[:j])) for j in range(len(pieces))])
+    piece = F.pmod(F.xxhash64("key", "row.doc_id"), F.get(counts, F.col("shard")))
+    # a file is a partition: pieces are numbered, not hashed, so no task gets two of them
     (
-        placed.withColumn("_piece", piece.cast("int"))
-        .repartition(sum(pieces), "shard", "_piece")
-        .sortWithinPartitions("shard", "_piece", "doc_id")
-        .drop("_old", "_size", "_key", "_piece")
+        placed.withColumn("piece", (F.get(first, F.col("shard")) + piece).cast("int"))
+        .repartitionById(sum(pieces), F.col("piece"))
+        .sortWithinPartitions("shard", "row.doc_id")
+        .select("row.*", "shard")
         .write.partitionBy("shard")
         .parquet(path)
     )
@@ -247,18 +258,17 @@ def reshard(
 
 def read_shards(docs: DataFrame, path: str) -> DataFrame:
     """The rows of all shards with ``shard`` and ``slot``, numbered from 0 in each shard."""
-    schema = docs.drop("shard").schema.add("shard", "integer")
-    rows = docs.sparkSession.read.schema(schema).parquet(path)
-    file = F.col("_metadata.file_path")
-    files = rows.groupBy("shard", file.alias("_file")).agg(F.count("*").alias("_rows"))
-    earlier = W.partitionBy("shard").orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
-    bases = files.select(
-        "_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base")
+    names = _without(docs.columns, "shard", "slot")
+    schema = docs.select(names).schema.add("shard", "integer")
+    rows = docs.sparkSession.read.schema(schema).parquet(path).select(
+        F.struct(*names).alias("row"),
+        "shard",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("at"),
     )
-    return (
-        rows.withColumns({"_file": file, "_at": F.col("_metadata.row_index")})
-        .join(bases, "_file")
-        .withColumn("slot", F.col("_base") + F.col("_at"))
-        .drop("_file", "_at", "_base")
+    files = rows.groupBy("shard", "file").agg(F.count("*").alias("rows"))
+    earlier = W.partitionBy("shard").orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    bases = files.select("file", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("base"))
+    return rows.join(bases, "file").select(
+        "row.*", "shard", (F.col("base") + F.col("at")).alias("slot")
     )
-

@@ -27,7 +27,11 @@ def edge_docs(spark):
     df = spark.createDataFrame(
         rows, "doc_id long, text string, lang string, source string, n_chars long"
     )
-    names = "shard slot score tokens n_tokens epoch row fold band root seed item_id size key"
+    names = (
+        "shard slot score tokens n_tokens epoch row fold band root seed item_id size key full rest"
+        " last_key last_tokens leaf_budget taken_tokens level0 whole from to base piece file at old low"
+        " other terms toxic _from _to _base _size _piece _file _at _old _key cell side id copy vec h1"
+    )
     from pyspark.sql import functions as F
 
     return df.select("*", *(F.lit(f"x-{n}").alias(n) for n in names.split()))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.llm import sharding
@@ -85,3 +86,18 @@ def test_edges(spark, edge_docs, tmp_path):
     assert set(edge_docs.columns) <= set(rows.columns)
     flow, none = _shards(spark, edge_docs.limit(0), tmp_path / "none", 3, 4)
     assert flow == {} and none.count() == 0
+
+
+def test_columns_of_any_name_come_back(spark, edge_docs, tmp_path):
+    _, rows = _shards(spark, edge_docs, tmp_path, 3, 4)
+    own = [c for c in edge_docs.columns if c not in ("shard", "slot")]
+    back = rows.select(own)
+    assert back.exceptAll(edge_docs.select(own)).count() == 0 and back.count() == 12
+
+
+def test_old_shards_out_of_range_are_refused(spark, documents, tmp_path):
+    for number in (-1, 4):
+        old = F.when(F.col("doc_id") % 2 == 0, number).otherwise(F.col("doc_id") % 4)
+        with pytest.raises(ValueError, match="0 to 3"):
+            sharding.reshard(documents, old, 4, 8, str(tmp_path / f"bad{number}"))
+        assert not (tmp_path / f"bad{number}").exists()
