@@ -17,8 +17,8 @@ inside one range, so that no task ever orders a whole leaf.
 Null levels form a node of their own, named ``(none)``. Null and empty texts have no
 tokens; such a document is in a prefix if it stands before its end. Rows that share
 a ``doc_id`` (or lack one) share a key and are taken together. A node without weight gets
-the default weight; weight 0 gives nothing. Further columns are carried through; columns
-of ``docs`` named like an output column are replaced.
+the default weight; weight 0 gives nothing. Further columns are carried through whatever
+their names; columns of ``docs`` named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -107,9 +107,21 @@ def mix(
     for the last document of a leaf's prefix). The budget is given in tokens or as a share
     of all tokens.
     """
-    names = list(levels)
-    new = {k: F.coalesce(v.cast("string"), F.lit(MISSING)) for k, v in levels.items()}
-    ready = docs.withColumns(new | {"n_tokens": count_tokens(F.col("text"))})
+    # The user's columns go through as one and levels by number, so that no name can clash.
+    made = [*levels, "n_tokens", "epoch", "leaf_budget", "taken_tokens"]
+    replaced = {c.lower() for c in made}
+    carried = [c for c in docs.columns if c.lower() not in replaced]
+    names = [f"level{i}" for i in range(len(levels))]
+    weights = {n: weights.get(level, {}) for n, level in zip(names, levels, strict=True)}
+    ready = docs.select(
+        F.struct(*carried).alias("row"),
+        F.col("doc_id"),
+        *[
+            F.coalesce(v.cast("string"), F.lit(MISSING)).alias(n)
+            for n, v in zip(names, levels.values(), strict=True)
+        ],
+        count_tokens(F.col("text")).alias("n_tokens"),
+    )
     narrow = checkpointed(
         ready.groupBy("doc_id", *names).agg(
             F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")
@@ -168,5 +180,9 @@ def mix(
                 F.least("n_tokens", "last_tokens")
             ),
         )
-        .drop("full", "rest", "last_key", "last_tokens")
+        .select(
+            "row.*",
+            *[F.col(n).alias(level) for n, level in zip(names, levels, strict=True)],
+            *made[len(names) :],
+        )
     )

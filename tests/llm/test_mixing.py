@@ -93,3 +93,13 @@ def test_edges(spark, edge_docs):
     )
     assert mixing.mix(edge_docs, levels, {}, budget=0).count() == 0
     assert mixing.mix(edge_docs.limit(0), levels, {}, budget_share=1.0).count() == 0
+
+
+def test_columns_of_any_name_come_back(spark, edge_docs):
+    levels = {"_tongue": F.col("lang"), "leaf": F.col("source")}
+    mixed = mixing.mix(edge_docs, levels, {}, budget=10**9)
+    made = ["_tongue", "leaf", "n_tokens", "epoch", "leaf_budget", "taken_tokens"]
+    own = [c for c in edge_docs.columns if c not in made]
+    assert mixed.columns == own + made
+    assert mixed.select(own).exceptAll(edge_docs.select(own)).count() == 0
+    assert mixed.filter("full != 'x-full' or last_key != 'x-last_key' or row != 'x-row'").count() == 0
