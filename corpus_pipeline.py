@@ -40,10 +40,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    levels = {f"_{name}": column for name, column in queries.mix_levels().items()}
-    weights = {f"_{name}": w for name, w in queries.MIX_WEIGHTS.items()}
-    mixed = mixing.mix(docs, levels, weights, budget_share=MIX_SHARE, max_epochs=1)
-    return mixed.select(docs.columns)
+    # whole rows go through as one column: the mix's own columns replace none of them
+    whole = docs.select("doc_id", "text", "lang", "source", F.struct(docs.columns).alias("whole"))
+    mixed = mixing.mix(
+        whole, queries.mix_levels(), queries.MIX_WEIGHTS, budget_share=MIX_SHARE, max_epochs=1
+    )
+    return mixed.select("whole.*")
 
 
 def reshard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
