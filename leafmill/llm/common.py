@@ -2,12 +2,14 @@
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D. These bytes never occur inside a
 multi-byte UTF-8 character, so working on bytes gives the same words as working on
-characters. Hashes are 64 bits wide; two different words share one with probability
-2**-64, so at a billion distinct words a collision anywhere is a matter of percents.
+characters. Hashes are 64 bits wide; at a billion distinct words a collision anywhere is a matter
+of percents. Words of LONG_WORD bytes or more, which could be built so that a running polynomial
+modulo 2**64 does not tell them apart, are hashed by BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 # Bytes worked on at a time, so that temporary arrays stay small however long a text is.
 WINDOW = 1 << 20
+LONG_WORD = 256
 
 
 # --- shared folder -----------------------------------------------------------------------
@@ -117,13 +120,19 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(
     data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False
 ) -> np.ndarray:
-    """A 64-bit hash of each byte span: differences of one running polynomial."""
+    """A 64-bit hash of each byte span: differences of one running polynomial, BLAKE2 for
+    long ones."""
     power, inverse = _power_tables(len(data) + 1)
     running = np.zeros(len(data) + 1, np.uint64)
     table = _LOWER_BYTE if lower else _BYTE
     np.cumsum(table[data] * power[: len(data)], out=running[1:])
     sums = (running[ends] - running[starts]) * inverse[starts]
-    return mix(sums + (ends - starts).astype(np.uint64))
+    out = mix(sums + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts >= LONG_WORD):
+        word = data[starts[i] : ends[i]]
+        word = (_FOLD[word] if lower else word).tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return out
 
 
 def spans(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import neardup
+from leafmill.llm import common, neardup
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -105,3 +105,14 @@ def test_edges(spark, edge_docs):
     kept = neardup.keep_one_of_each(edge_docs)
     assert kept.columns == edge_docs.columns
     assert {r.doc_id for r in kept.collect()} == {1, 3, 4, 5, 6, 7, 8, None}
+
+
+def test_words_that_a_polynomial_cannot_tell_apart():
+    for n in (1024, 2048, 4096):
+        order = [bin(i).count("1") & 1 for i in range(n)]
+        pair = ["".join("ab"[b ^ flip] for b in order) for flip in (0, 1)]
+        raw = np.frombuffer(" ".join(pair).encode(), np.uint8)
+        hashes, count = common.word_hashes(raw, np.array([0, len(raw)]))
+        assert count.tolist() == [2] and hashes[0] != hashes[1]
+        upper = np.frombuffer(pair[0].upper().encode(), np.uint8)
+        assert common.word_hashes(upper, np.array([0, n]))[0][0] == hashes[0]
