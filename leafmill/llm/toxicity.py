@@ -8,8 +8,10 @@ The lexicon is learned from labelled rows: words, and stems of four and five let
 words, that occur in toxic documents far more often than in clean ones. A term enters
 if an excess like its own is to be expected less than ALPHA times among all terms by
 chance (Chernoff bound); its weight is the log odds of its shares of toxic and clean
-documents. Near copies would lend their words false support, so of documents with the
-same smallest hash of COPY_WORDS consecutive words one is counted. ``extra`` adds terms with given weights.
+documents. Near copies would lend their words false support, so of documents that agree in the
+smallest values of two hashes of COPY_WORDS consecutive words the one with the smallest id is
+counted: one shared line seldom holds both. ``extra`` adds terms with given weights. What
+is learned does not depend on how the rows lie in partitions.
 
 An automaton finds all terms at once. Each word counts with its heaviest term; words inside
 an exception phrase count nothing. A logistic curve over log(1 + weight) and, where
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import slices, word_hashes
+from leafmill.llm.common import mix, slices, word_hashes, written
 from leafmill.llm.neardup import shingles
 
 TOXIC_ROWS, CLEAN_ROWS = 3_000, 9_000
@@ -42,6 +44,7 @@ COPY_WORDS = 4
 ALPHA = 0.05
 LEAST_WEIGHT = 2.0
 THRESHOLD = 0.7
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 # Letters of other scripts that look like Latin ones, and signs used for letters.
 HOMOGLYPHS = {
@@ -85,31 +88,36 @@ def folded(text: str | None) -> str:
     return " " + fold_table()[codes].astype("<u4").tobytes().decode("utf-32-le") + " "
 
 
-def terms_of(text: str | None) -> tuple[set[str], int]:
-    """Words (`` word ``) and stems (`` ste``) of a text, and its smallest shingle hash."""
+def terms_of(text: str | None) -> tuple[list[str], int, int]:
+    """Words (`` word ``) and stems (`` ste``) of a text, and its smallest shingle hashes."""
     plain = folded(text)
     words = set(plain.split())
     found = {f" {w} " for w in words}
     for n in STEMS:
         found |= {f" {w[:n]}" for w in words if len(w) > n}
     if not words:
-        return found, 0
+        return [], 0, 0
     raw = np.frombuffer(plain.encode(), np.uint8)
     hashes, _ = word_hashes(raw, np.array([0, len(raw)]))
-    return found, int(shingles(hashes, COPY_WORDS)[0].view(np.int64))
+    own = shingles(hashes, COPY_WORDS)
+    other = mix(own ^ _OTHER).min()
+    return sorted(found), int(own[0].view(np.int64)), int(other.view(np.int64))
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
-            pairs = [terms_of(t) for t in part.column("text").to_pylist()]
+            found = [terms_of(t) for t in part.column("text").to_pylist()]
+            terms, low, other = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
+                    part.column("doc_id"),
                     part.column("toxic"),
-                    pa.array([low for _, low in pairs], pa.int64()),
-                    pa.array([list(found) for found, _ in pairs], pa.list_(pa.string())),
+                    pa.array(low, pa.int64()),
+                    pa.array(other, pa.int64()),
+                    pa.array(terms, pa.list_(pa.string())),
                 ],
-                names=["toxic", "low", "terms"],
+                names=["doc_id", "toxic", "low", "other", "terms"],
             )
 
 
@@ -233,8 +241,14 @@ def fit(
         F.broadcast(chosen), "doc_id"
     )
 
-    single = rows.mapInArrow(_terms, "toxic int, low long, terms array<string>").dropDuplicates(
-        ["low", "toxic"]
+    single = written(
+        rows.mapInArrow(
+            _terms, "doc_id long, toxic int, low long, other long, terms array<string>"
+        )
+        .groupBy("low", "other", "toxic")
+        .agg(F.min(F.struct("doc_id", "terms")).alias("first"))
+        .select("toxic", "first.terms"),
+        "terms",
     )
     counted = (
         single.select("toxic", F.explode("terms").alias("term"))
@@ -263,6 +277,7 @@ def fit(
     table = rows.mapInArrow(
         _weights(lexicon, exceptions, "toxic"), "toxic int, weight double, n_words long"
     ).toPandas()
+    table = table.sort_values(["toxic", "weight", "n_words"])
     y = table["toxic"].to_numpy(float)
     curve = _logistic(_design(table["weight"].to_numpy(), table["n_words"].to_numpy()), y)
     # back from the shares of the sample to those of all labels

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from leafmill.llm import language, toxicity
@@ -36,6 +38,42 @@ def test_held_out_scores_follow_the_labels(spark):
     assert {"idiot", "moron", "scum"} <= words
 
 
+def test_learning_does_not_depend_on_partitions(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    models = [
+        toxicity.fit(docs.repartition(n, key), labels) for n, key in ((1, "lang"), (7, "doc_id"))
+    ]
+    assert models[0].lexicon == models[1].lexicon and models[0].curve == list(models[1].curve)
+
+
+def naive_weight(text, lexicon, exceptions):
+    """Every term at every place of the folded text."""
+    plain = toxicity.folded(text)
+    held = [" " + " ".join(toxicity.folded(e).split()) + " " for e in exceptions]
+    # the blank behind a phrase is the one in front of the next word
+    excused = [(i, i + len(e) - 1) for e in held for i in range(len(plain)) if plain.startswith(e, i)]
+    total = 0.0
+    for i in range(len(plain)):
+        hits = [w for t, w in lexicon.items() if plain.startswith(t, i)]
+        if hits and max(hits) > 0 and not any(a <= i < b for a, b in excused):
+            total += max(hits)
+    return total, len(plain.split())
+
+
+def test_matches_a_naive_matcher_on_random_texts():
+    draw = random.Random(2)
+    words = ["trash", "can", "bin", "idi0t", "1diot", "scum", "pond", "fine", "trashy", "Тrash", "a", "çan"]
+    lexicon = {" trash ": 3.0, " tras": 1.5, toxicity.folded("idiot"): 2.0, " scum ": 4.0, " pon": 0.5}
+    machine = toxicity.automaton(lexicon, toxicity.EXCEPTIONS)
+    for _ in range(500):
+        text = "".join(draw.choice(words) + draw.choice([" ", ", ", "\n", ""]) for _ in range(draw.randint(0, 12)))
+        got = toxicity.weight_of(text, machine)
+        want = naive_weight(text, lexicon, toxicity.EXCEPTIONS)
+        assert got[1] == want[1] and abs(got[0] - want[0]) < 1e-9, text
+
+
 def test_disguised_words_score_alike(spark):
     toxic = [(i, f"you idiot number{i} of the day", 1) for i in range(40)]
     clean = [(100 + i, f"a fine number{i} of the day", 0) for i in range(60)]
