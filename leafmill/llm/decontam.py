@@ -4,7 +4,9 @@ Tokens are lower-cased runs of letters and digits. A mask such as ``111000111``
 over every position of documents and items and keeps the tokens under its ones; their
 hash is the seed, so a substitution under a zero changes nothing. The three default masks
 keep two of four blocks of three tokens (all other choices are shifts of these), so any
-twelve aligned tokens with at most two substitutions share at least one seed.
+twelve aligned tokens with at most two substitutions share at least one seed. More scattered
+substitutions may leave none: over random places 97.5 % of 15 tokens with 3 substitutions and
+99.8 % of 20 tokens with 4 were found.
 
 A seed hit fixes a diagonal. On it the tokens of both sides are compared one by one over the
 whole item. If any window of at least ``min_tokens`` pairs has ``min_share`` of them equal, the

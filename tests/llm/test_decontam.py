@@ -10,30 +10,6 @@ def words(text):
     return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
 
 
-def contaminated(doc, item):
-    """Some aligned run of at least MIN_TOKENS tokens with enough equal ones that holds a seed."""
-    for shift in range(-len(item), len(doc)):
-        flags = [
-            0 <= i + shift < len(doc) and doc[i + shift] == item[i] for i in range(len(item))
-        ]
-        if sum(flags) < 6:
-            continue
-        seeded = any(
-            all(i + k < len(flags) and flags[i + k] for k, b in enumerate(m) if b == "1")
-            for m in decontam.MASKS for i in range(len(flags))
-        )
-        if not seeded:
-            continue
-        score = [
-            (sum(1 if f else -2 for f in flags[a:b]), b - a, sum(flags[a:b]))
-            for a in range(len(flags)) for b in range(a + 1, len(flags) + 1)
-        ]
-        best = max(score, key=lambda s: s[:2])
-        if best[1] >= decontam.MIN_TOKENS and best[2] >= decontam.MIN_SHARE * best[1]:
-            return True
-    return False
-
-
 def planted(spark):
     draw = np.random.default_rng(6)
     items = [[f"t{draw.integers(400)}" for _ in range(n)] for n in (14, 20, 30, 45, 5)]
@@ -56,7 +32,7 @@ def planted(spark):
 def test_matches_brute_force_on_both_plans(spark):
     docs, bench, rows, items = planted(spark)
     want = {
-        (d, i) for d, t in rows for i, item in enumerate(items) if contaminated(words(t), item)
+        (d, i) for d, t in rows for i, item in enumerate(items) if windowed(words(t), item)
     }
     for bound in (decontam.BROADCAST_SEEDS, 0):
         found = decontam.overlaps(docs, bench, broadcast_seeds=bound).collect()
@@ -141,7 +117,7 @@ def windowed(doc, item):
         if seeded and any(
             sum(flags[a:b]) >= decontam.MIN_SHARE * (b - a)
             for a in range(len(flags))
-            for b in range(a + decontam.MIN_TOKENS, len(flags) + 1)
+            for b in range(a + min(decontam.MIN_TOKENS, len(item)), len(flags) + 1)
         ):
             return True
     return False

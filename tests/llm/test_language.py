@@ -1,6 +1,10 @@
 import itertools
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.llm import language
@@ -50,13 +54,47 @@ def test_labels_do_not_reach_the_prediction(spark, documents):
 
 
 def test_grams_do_not_depend_on_neighbours_or_windows(monkeypatch, documents):
-    import pyarrow as pa
-
     model = language.fit(documents)
     texts = ["Straße — ça va", "", None, "ñandú " * 50, "x", "日本語 テキスト"]
     alone = [model.margins(pa.RecordBatch.from_pydict({"text": [t or ""]}))[0][0] for t in texts]
     together = model.margins(pa.RecordBatch.from_pydict({"text": texts}))[0]
-    assert np.allclose(alone, together)
+    assert (np.array(alone) == together).all()
+    for window in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(language, "GRAM_WINDOW", window)
+        assert (model.margins(pa.RecordBatch.from_pydict({"text": texts}))[0] == together).all()
+
+
+def plain_grams(text):
+    """Letter n-grams by slicing the text with each run of other characters as one blank."""
+    table = language.letter_table()
+    letters = "".join(chr(table[ord(c)]) for c in text)
+    plain = re.sub(" +", " ", letters).lstrip(" ")
+    return [plain[i : i + n] for n in (1, 2, 3) for i in range(len(plain) - n + 1)]
+
+
+def plain_bucket(gram):
+    hashed = 0
+    for order, char in enumerate(gram):
+        hashed = (hashed + ord(char) + order) * 0x9E3779B97F4A7C15 % 2**64
+    return hashed >> (65 - language.BUCKETS.bit_length())
+
+
+@pytest.mark.parametrize("window", [1, 5, 1 << 17])
+def test_grams_equal_a_plain_count(monkeypatch, window):
+    monkeypatch.setattr(language, "GRAM_WINDOW", window)
+    texts = ["Straße — ça va?", "", " a", "ab  cd. ", "日本語 x", "Ö1ö", "--", "x" * 40]
+    got = [Counter() for _ in texts]
+    for bucket, row in language._grams(pa.RecordBatch.from_pydict({"text": texts})):
+        for b, r in zip(bucket.tolist(), row.tolist(), strict=True):
+            got[r][b] += 1
+    assert got == [Counter(map(plain_bucket, plain_grams(t))) for t in texts]
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    rows = spark.createDataFrame([("a b", "x"), ("c d", "y"), ("e f", "z")], "text string, lang string")
+    with pytest.raises(ValueError):
+        language.fit(rows)
 
 
 def test_edges(spark, edge_docs):
