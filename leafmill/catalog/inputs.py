@@ -36,11 +36,8 @@ def _text(*parts: str | Column) -> Column:
     )
 
 
-def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven hosts whose pages form a binary tree; every eleventh one is missing."""
-    i = F.col("page_id")
-    k = F.floor(i / 7)
-    links = _text(
+def _site_links(i: Column, k: Column) -> Column:
+    return _text(
         '<a href="/p/', 2 * k + 1, '">l</a><a href="/p/', 2 * k + 2, '/?q=1#x">r</a>',
         '<a href="#top">t</a><a href="mailto:a@b.c">m</a><a href="/f.pdf">f</a>',
         '<a href="/p/', 2 * k + 1, '#again">l</a>',
@@ -48,45 +45,77 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<a href="https://ext', i % 3, '.example/x">e</a>',
         '<a href="https://ext9.example/y">e</a><a href="ftp://s', i % 7, '.example/z">z</a>',
     )
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven hosts whose pages form a binary tree; every eleventh one is missing."""
+    i = F.col("page_id")
+    k = F.floor(i / 7)
     return pages(spark, sf_dir).select(
         "page_id",
         _text("https://s", i % 7, ".example/p/", k).alias("url"),
-        F.concat(links, F.col("html")).alias("html"),
+        F.concat(_site_links(i, k), F.col("html")).alias("html"),
         F.when(k % 11 == 10, 404).otherwise(200).alias("status"),
     )
 
 
-SITE_PAGES = """site_pages AS (
-  SELECT page_id, 'https://s' || (page_id % 7) || '.example/p/' || (page_id // 7) AS url,
-    '<a href="/p/' || (2 * (page_id // 7) + 1) || '">l</a><a href="/p/' ||
+_SITE_LINKS = """'<a href="/p/' || (2 * (page_id // 7) + 1) || '">l</a><a href="/p/' ||
     (2 * (page_id // 7) + 2) || '/?q=1#x">r</a>' ||
     '<a href="#top">t</a><a href="mailto:a@b.c">m</a><a href="/f.pdf">f</a>' ||
     '<a href="/p/' || (2 * (page_id // 7) + 1) || '#again">l</a>' ||
     '<a href="https://ext' || (page_id % 5) || '.example/">e</a>' ||
     '<a href="https://ext' || (page_id % 3) || '.example/x">e</a>' ||
     '<a href="https://ext9.example/y">e</a><a href="ftp://s' || (page_id % 7) ||
-    '.example/z">z</a>' || html AS html,
+    '.example/z">z</a>'"""
+
+SITE_PAGES = f"""site_pages AS (
+  SELECT page_id, 'https://s' || (page_id % 7) || '.example/p/' || (page_id // 7) AS url,
+    {_SITE_LINKS} || html AS html,
     CASE WHEN (page_id // 7) % 11 = 10 THEN 404 ELSE 200 END AS status
   FROM pages)"""
 
 
 def mirrored_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The site with dates; odd pages show nothing but a line many pages share."""
+    """The site with its whole pages, dates on most, and a mirror of every page beside it.
+
+    A mirror shows the same page under another address and with another navigation.
+    """
     i = F.col("page_id")
+    k = F.floor(i / 7)
     day = F.lpad((i % 28 + 1).cast("string"), 2, "0")
-    original = pages(spark, sf_dir).select("page_id", F.col("url").alias("_url"), F.col("html").alias("_html"))
-    zone = F.regexp_extract("_url", r"example\.(com|net|org)", 1)
-    links = F.substr("html", F.lit(1), F.length("html") - F.length("_html"))
-    body = F.when(i % 2 == 0, F.col("_html")).otherwise(_text("<p>Moved to ", zone, ".</p>"))
-    return site_pages(spark, sf_dir).join(original, "page_id").select(
-        "page_id",
-        "url",
-        F.concat(
-            F.when(i % 5 != 0, _text('<meta name="date" content="2024-01-', day, '">')).otherwise(""),
-            F.lit("<nav>"), links, F.lit("</nav>"), body,
-        ).alias("html"),
-        "status",
+    date = F.when(i % 5 != 0, _text('<meta name="date" content="2024-01-', day, '">')).otherwise("")
+    to_mirror = _text('<a href="/m/', k, '">m</a>')
+    status = F.when(k % 11 == 10, 404).otherwise(200)
+    both = F.array(
+        F.struct(
+            i.alias("page_id"),
+            _text("https://s", i % 7, ".example/p/", k).alias("url"),
+            F.concat(date, F.lit("<nav>"), _site_links(i, k), to_mirror, F.lit("</nav>"), F.col("html")).alias("html"),
+            status.alias("status"),
+        ),
+        F.struct(
+            (-1 - i).alias("page_id"),
+            _text("https://s", i % 7, ".example/m/", k).alias("url"),
+            F.concat(date, F.lit("<nav>mirror</nav>"), F.col("html")).alias("html"),
+            status.alias("status"),
+        ),
     )
+    return pages(spark, sf_dir).select(F.inline(both))
+
+
+MIRRORED_SITE = f"""dated_pages AS (
+  SELECT *, CASE WHEN page_id % 5 <> 0 THEN '<meta name="date" content="2024-01-' ||
+    lpad((page_id % 28 + 1)::VARCHAR, 2, '0') || '">' ELSE '' END AS date_tag,
+    CASE WHEN (page_id // 7) % 11 = 10 THEN 404 ELSE 200 END AS status
+  FROM pages),
+site_pages AS (
+  SELECT page_id, 'https://s' || (page_id % 7) || '.example/p/' || (page_id // 7) AS url,
+    date_tag || '<nav>' || {_SITE_LINKS} || '<a href="/m/' || (page_id // 7) || '">m</a></nav>' || html AS html, status
+  FROM dated_pages
+  UNION ALL
+  SELECT -1 - page_id, 'https://s' || (page_id % 7) || '.example/m/' || (page_id // 7),
+    date_tag || '<nav>mirror</nav>' || html, status
+  FROM dated_pages)"""
 
 
 def seeds(site: DataFrame) -> DataFrame:

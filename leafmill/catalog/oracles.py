@@ -9,7 +9,7 @@ says "not an image".
 
 from __future__ import annotations
 
-from leafmill.catalog.inputs import IMAGE_ASSETS, MD_DOCS, META_PAGES, SITE_PAGES
+from leafmill.catalog.inputs import IMAGE_ASSETS, MD_DOCS, META_PAGES, MIRRORED_SITE, SITE_PAGES
 
 _TOKEN = (
     r"<!--[\s\S]*?-->|<script\b[\s\S]*?</script\s*>|<style\b[\s\S]*?</style\s*>"
@@ -704,17 +704,22 @@ SELECT * EXCLUDE (domains), array_to_string(domains, ' ') AS top_external_domain
     q["JOB7"] = _with(*_SITE_EDGES, _walk(4), select="""
 SELECT seed_id, crawl_rank, level::BIGINT AS level, parent_url, url, norm_url, page_id
 FROM crawl WHERE crawl_rank <= 20""")
-    q["JOB8"] = _with(*_SITE_EDGES, _walk(5), r"""mirror AS (
-  SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id::VARCHAR
-      ELSE regexp_extract(url, 'example\.(com|net|org)', 1) END AS content,
-    CASE WHEN page_id % 5 <> 0 THEN '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') END
-      AS published_date FROM pages)""", """kept AS (
-  SELECT *, row_number() OVER (PARTITION BY seed_id, content ORDER BY crawl_rank) AS copy
-  FROM crawl JOIN mirror USING (page_id) WHERE crawl_rank <= 40)""", select="""
-SELECT seed_id, crawl_rank, page_id, url, published_date FROM (
+    q["JOB8"] = _with(
+        MIRRORED_SITE, _anchors("site_pages"), _ABS, _EDGES, _walk(10), _markdown("site_pages"),
+        "doc AS (" + _page_markdown("site_pages") + ")",
+        """dates AS (
+  SELECT page_id, max(regexp_extract(raw, 'name="date" content="([^"]*)"', 1)) AS published_date
+  FROM tok WHERE raw LIKE '<meta name="date"%' GROUP BY page_id)""", """fresh AS (
+  SELECT c.seed_id, c.crawl_rank, c.level, c.page_id, c.url, d.published_date, m.markdown,
+    row_number() OVER (PARTITION BY c.seed_id, m.markdown ORDER BY c.crawl_rank) AS copy
+  FROM crawl c JOIN doc m USING (page_id) LEFT JOIN dates d USING (page_id))""", """kept AS (
   SELECT *, row_number() OVER (PARTITION BY seed_id
-    ORDER BY published_date DESC NULLS LAST, url DESC) AS r FROM kept WHERE copy = 1)
-WHERE r <= 15""")
+    ORDER BY published_date DESC NULLS LAST, url DESC) AS r FROM fresh WHERE copy = 1)""",
+        "kept_pages AS (SELECT DISTINCT page_id, url FROM kept WHERE r <= 25)",
+        f"named AS (SELECT page_id, {_unique_slug('url')} AS slug FROM kept_pages)",
+        select=f"""
+SELECT seed_id, crawl_rank, level::BIGINT AS level, page_id, url, published_date, slug, {_CLEAN} AS output
+FROM kept JOIN named USING (page_id) WHERE r <= 25""")
     q["JOB9"] = _with(_markdown("pages"), _MAIN, select="SELECT page_id, markdown, '' AS \"references\", markdown AS output FROM ("
         + main.format(source="pages", cols="", where="") + ")")
     q["JOB10"] = _with(MD_DOCS, IMAGE_ASSETS, usable, select=r"""

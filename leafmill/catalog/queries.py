@@ -793,12 +793,13 @@ def deep_crawl(spark, sf):
 
 @query("JOB8")
 def crawl_pipeline(spark, sf):
+    """Whole crawls of a mirrored site, without copies, newest first, with each page's output."""
     site = inputs.mirrored_site(spark, sf)
     options = Options(
-        depth=5, max_pages=40, raw=True, dedupe=True, sort_by_date=True, limit=15
+        depth=10, max_pages=None, raw=True, refs=True, dedupe=True, sort_by_date=True, limit=25
     )
-    return plans.crawl_job(site, inputs.seeds(site), options).select(
-        "seed_id", "crawl_rank", "page_id", "url", "published_date"
+    return plans.crawl_and_run(site, inputs.seeds(site), options).select(
+        "seed_id", "crawl_rank", "level", "page_id", "url", "published_date", "slug", "output"
     )
 
 

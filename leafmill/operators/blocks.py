@@ -48,17 +48,18 @@ def split_blocks(
     escape: bool = True,
     flags: dict[str, Column] | None = None,
     carried: tuple[str, ...] = (),
+    first: tuple[str, ...] = ("url",),
 ) -> DataFrame:
-    """(key, url, <carried>, pos, tag, is_close, start, text, <flags>), one row per block.
+    """(key, <carried>, <first>, pos, tag, is_close, start, text, <flags>), one row per block.
 
-    ``url`` travels on the first row of a page only, ``carried`` columns on all. ``flags`` are expressions over
+    ``carried`` columns travel on all rows of a page, those of ``first`` on the first one only. ``flags`` are expressions over
     the block's tag (column ``block_tag``), computed here so that the tag itself need
     not be shuffled. A page without content keeps one empty row.
     """
     rows = pages.select(
         key,
         *carried,
-        "url",
+        *first,
         F.posexplode_outer(
             F.regexp_extract_all(F.col("html"), F.lit(BLOCK), F.lit(0))
         ).alias("pos", "block"),
@@ -67,7 +68,7 @@ def split_blocks(
     named = rows.select(
         key,
         *carried,
-        F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("url")).alias("url"),
+        *[F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col(c)).alias(c) for c in first],
         F.coalesce(F.col("pos"), F.lit(0)).alias("pos"),
         markup.tag_name(block).alias("_name"),
         block.alias("block"),
@@ -76,7 +77,7 @@ def split_blocks(
     cut = named.select(
         key,
         *carried,
-        "url",
+        *first,
         "pos",
         F.when(is_block, F.col("_name")).otherwise("").alias("tag"),
         F.when(is_block, F.regexp_extract("block", rf"^{_ONE_TAG}", 0)).otherwise("").alias(
@@ -84,7 +85,7 @@ def split_blocks(
         ),
         "block",
     ).select(
-        key, *carried, "url", "pos", "tag", "block_tag",
+        key, *carried, *first, "pos", "tag", "block_tag",
         F.substr("block", F.length("block_tag") + 1).alias("body"),
     )
     body = F.col("body")
@@ -101,7 +102,7 @@ def split_blocks(
     return cut.select(
         key,
         *carried,
-        "url",
+        *first,
         "pos",
         "tag",
         is_close.alias("is_close"),

@@ -147,10 +147,12 @@ def _render(c: Column, prev: Column, nxt: Column) -> Column:
     return F.concat(separator, body)
 
 
-def assemble(blocks: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, url, markdown) from the kept blocks; every page gives a row."""
+def assemble(
+    blocks: DataFrame, key: str = "page_id", first: tuple[str, ...] = ("url",)
+) -> DataFrame:
+    """(key, <first>, markdown) from the kept blocks; every page gives a row."""
     pages = blocks.groupBy(key).agg(
-        F.max("url").alias("url"),
+        *[F.max(c).alias(c) for c in first],
         F.collect_list(F.when(_shown(), _piece())).alias("pieces"),
     )
     text = let(
@@ -165,8 +167,8 @@ def assemble(blocks: DataFrame, key: str = "page_id") -> DataFrame:
             "",
         ),
     )
-    joined = pages.select(key, "url", text.alias("text"))
-    return joined.select(key, "url", tidy_output(inline.close_links(F.col("text"))).alias("markdown"))
+    joined = pages.select(key, *first, text.alias("text"))
+    return joined.select(key, *first, tidy_output(inline.close_links(F.col("text"))).alias("markdown"))
 
 
 def to_markdown(
@@ -175,15 +177,18 @@ def to_markdown(
     selector: str | None = None,
     key: str = "page_id",
     escape: bool = True,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(key, url, markdown) of each page.
+    """(key, url, <carry>, markdown) of each page.
 
     A selector that matches takes the place of main-content extraction, and stripping
     then looks inside the match only; pages it does not match fall back to it (or to
     the whole page when that is off). Blank html gives ''. Subtrees of navigation, footer,
     header and aside never appear. ``key`` must be unique (``sources.pages.repeated_keys``
-    tells): rows that share one are taken for one page.
+    tells): rows that share one are taken for one page. ``carry`` names further columns of
+    the page, which travel on its first row.
     """
+    first = ("url", *carry)
     if selector is not None:
         pages = select_elements(pages, selector)
     split = b.split_blocks(
@@ -192,6 +197,7 @@ def to_markdown(
         escape,
         content_flags() if strip_boilerplate else None,
         carried=() if selector is None else ("matched",),
+        first=first,
     )
     nested = b.drop_stripped_blocks(b.with_nesting(split, key))
     if strip_boilerplate:
@@ -207,4 +213,4 @@ def to_markdown(
     kept = nested.filter(F.col("kept") | (F.col("pos") == 0)).withColumn(
         "text", F.when(F.col("kept"), F.col("text")).otherwise("")
     )
-    return assemble(kept, key)
+    return assemble(kept, key, first)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,22 +36,28 @@ def rejected_assets(assets: DataFrame, max_bytes: int = images.MAX_IMAGE_BYTES)
 
 
 def embed_images(
-    docs: DataFrame, assets: DataFrame, key: str = "page_id", columns: tuple[str, ...] = ("markdown",)
+    docs: DataFrame,
+    assets: DataFrame,
+    key: str = "page_id",
+    columns: tuple[str, ...] = ("markdown",),
+    on_used: Callable[[DataFrame], DataFrame] = lambda used: used,
 ) -> DataFrame:
     """Image URLs replaced by data URIs in ``columns``; unknown images stay links.
 
     Payloads are encoded once. References to a URL are counted, and a URL that many
     pages share is spread over as many salts as it has thousands of references, on both
-    sides of the join.
+    sides of the join. ``on_used`` may watch the images in use (url, size, data_uri), each once.
     """
     refs = image_refs(docs, key)
     salts = refs.groupBy("url").agg(
         F.ceil(F.count("*") / REFS_PER_SALT).cast("int").alias("_salts")
     )
     encoded = usable_assets(assets).select(
-        "url", images.data_uri(F.col("content_type"), F.col("bytes")).alias("data_uri")
+        "url",
+        F.octet_length("bytes").alias("size"),
+        images.data_uri(F.col("content_type"), F.col("bytes")).alias("data_uri"),
     )
-    copies = encoded.join(salts, "url").select(
+    copies = on_used(encoded.join(salts, "url")).select(
         "url", "data_uri", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")
     )
     salted = refs.join(salts, "url").withColumn(

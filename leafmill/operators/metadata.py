@@ -122,8 +122,8 @@ def top_values(values: Column, k: int) -> Column:
     return let(ordered, count)
 
 
-def scan_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Per page: the tags of interest, meta values, link hosts and visible text.
+def scan_pages(pages: DataFrame, key: str = "page_id", keep: Sequence[str] = ()) -> DataFrame:
+    """Per page: the tags of interest, meta values, link hosts and visible text, and ``keep``.
 
     Kept as separate projections: each array is computed once per row and then
     referenced many times. The html is read twice, once for tags, once for text.
@@ -132,6 +132,7 @@ def scan_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
     tags = pages.select(
         key,
         "url",
+        *keep,
         markup.open_tags(
             html, "a", "meta", "link", "time", "img", "video", "iframe", with_title=True
         ).alias("tags"),
@@ -167,14 +168,19 @@ def _published() -> Column:
     )
 
 
-def with_publication_date(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, url, published_date) only; the rest of the record is not computed."""
-    return scan_pages(pages, key).select(key, "url", _published().alias("published_date"))
+def with_publication_date(
+    pages: DataFrame, key: str = "page_id", keep: Sequence[str] = ()
+) -> DataFrame:
+    """(key, url, published_date, <keep>) only; the rest of the record is not computed."""
+    scanned = scan_pages(pages, key, keep)
+    return scanned.select(key, "url", _published().alias("published_date"), *keep)
 
 
-def extract_metadata(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """The page key and the 16 metadata fields."""
-    s = scan_pages(pages, key).withColumn(
+def extract_metadata(
+    pages: DataFrame, key: str = "page_id", keep: Sequence[str] = ()
+) -> DataFrame:
+    """The page key, the 16 metadata fields, and the columns named in ``keep``."""
+    s = scan_pages(pages, key, keep).withColumn(
         "external",
         F.filter("netlocs", lambda n: (n != "") & (n != F.col("page_netloc"))),
     )
@@ -198,6 +204,7 @@ def extract_metadata(pages: DataFrame, key: str = "page_id") -> DataFrame:
         first_of(_meta("og:image")).alias("og_image"),
         first_of(_meta("og:type")).alias("og_type"),
         first_of(_meta("og:site_name")).alias("og_site_name"),
+        *keep,
     )
 
 

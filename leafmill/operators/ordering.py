@@ -34,10 +34,7 @@ def sort_by_date(results: DataFrame, descending: bool = True, undated: str = "la
 def limit_results(
     results: DataFrame, order: Sequence[Column], limit: int | None
 ) -> DataFrame:
-    """First ``limit`` rows in ``order``; 0 or None keeps all.
-
-    Rows are numbered by range, so that a large limit does not end in one task.
-    """
+    """First ``limit`` rows in ``order``; 0 or None keeps all."""
     return limit_per_group(results.withColumn("_all", F.lit(0)), ["_all"], order, limit).drop("_all")
 
 
@@ -67,10 +64,22 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
     )
 
 
+# Up to this limit every task of a window keeps its own first rows and no more are exchanged
+# (Spark's WindowGroupLimit has the same bound by default).
+FEW_ROWS = 1000
+
+
 def limit_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int | None
 ) -> DataFrame:
-    """First ``limit`` rows of each key; 0 or None keeps all."""
+    """First ``limit`` rows of each key; 0 or None keeps all.
+
+    For few rows a window that is limited on the map side; a key's rows from all tasks are then
+    few too. Many rows are numbered by range, so that no task gets all of a key.
+    """
     if not limit:
         return df
-    return numbered(df, keys, order, "_n").filter(F.col("_n") <= limit).drop("_n")
+    if limit > FEW_ROWS:
+        return numbered(df, keys, order, "_n").filter(F.col("_n") <= limit).drop("_n")
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_n", first).filter(F.col("_n") <= limit).drop("_n")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from leafmill.functions.citations import add_citations, with_references
@@ -14,6 +16,7 @@ from leafmill.operators.media import embed_images
 from leafmill.operators.metadata import extract_metadata, metadata_json, with_publication_date
 from leafmill.operators.ordering import date_order, limit_per_group
 from leafmill.plans.options import Options
+from leafmill.session import written
 from leafmill.sinks.artifacts import archive_artifacts, payload_files, with_unique_slug
 from leafmill.sources.pages import complete
 
@@ -30,33 +33,44 @@ def cited(docs: DataFrame, refs: bool) -> DataFrame:
     )
 
 
-def clean_pages(pages: DataFrame, options: Options) -> DataFrame:
-    """(page_id, url, markdown) converted and repaired."""
+def clean_pages(
+    pages: DataFrame, options: Options, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(page_id, url, <carry>, markdown) converted and repaired."""
     converted = to_markdown(
-        pages, strip_boilerplate=not options.raw, selector=options.selector
+        pages, strip_boilerplate=not options.raw, selector=options.selector, carry=carry
     )
     return converted.withColumn("markdown", clean_markdown(F.col("markdown")))
 
 
-def markdown_job(
-    pages: DataFrame, options: Options, assets: DataFrame | None = None
+def finished(
+    docs: DataFrame,
+    options: Options,
+    assets: DataFrame | None = None,
+    on_used: Callable[[DataFrame], DataFrame] = lambda used: used,
 ) -> DataFrame:
-    """(page_id, url, markdown, references, output), one row per page.
-
-    Order of steps: convert, repair, drop images, cite, embed. Apart from embedding
-    the job has the one shuffle of the conversion.
-    """
-    docs = clean_pages(pages, options)
+    """Clean markdown to output: drop images, cite, embed. Adds ``references`` and ``output``."""
     if options.no_images:
         docs = docs.withColumn("markdown", strip_images(F.col("markdown")))
     docs = cited(docs, options.refs)
     if options.embed_images:
         if assets is None:
             raise ValueError("embed_images needs a table of image assets")
-        docs = embed_images(docs, assets, columns=("markdown", "references"))
+        docs = embed_images(docs, assets, columns=("markdown", "references"), on_used=on_used)
     return docs.withColumn("output", with_references(F.col("markdown"), F.col("references")))
 
 
+def markdown_job(
+    pages: DataFrame, options: Options, assets: DataFrame | None = None
+) -> DataFrame:
+    """(page_id, url, markdown, references, output), one row per page.
+
+    Order of steps: convert, repair, drop images, cite, embed. Apart from embedding
+    the job has the one shuffle of the conversion.
+    """
+    return finished(clean_pages(pages, options), options, assets)
+
+
 def with_slug(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds each page's unique ``slug``, worked out from the url column alone.
 
@@ -73,21 +87,21 @@ def metadata_job(pages: DataFrame) -> DataFrame:
 
 
 def archive_job(pages: DataFrame, options: Options) -> DataFrame:
-    """Artefact rows of each page. Image options do not apply to archives."""
+    """Artefact rows of each page. Image options do not apply to archives.
+
+    Pages are scanned once: the record goes along with the html into the conversion, as one
+    text on the page's first row. Payloads join at the end and take no part in its sort.
+    """
     full = complete(pages)
-    docs = cited(clean_pages(full, options), options.refs)
-    # Both inputs of each join are keyed on page_id, which the conversion already
-    # shuffled on.
-    joined = (
-        with_slug(docs, full)
-        .join(metadata_job(full).select("page_id", "json"), "page_id")
-        .join(full.select("page_id", "screenshot", "pdf"), "page_id")
-    )
-    return archive_artifacts(joined)
+    records = extract_metadata(full, keep=("html",))
+    ready = records.select("page_id", "url", "html", metadata_json(records).alias("json"))
+    docs = cited(clean_pages(ready, options, carry=("json",)), options.refs)
+    joined = with_slug(docs, full).join(full.select("page_id", "screenshot", "pdf"), "page_id")
+    return archive_artifacts(joined, keep=("page_id",))
 
 
 def run_mode(pages: DataFrame, options: Options, assets: DataFrame | None = None) -> DataFrame:
-    """The job for ``options.mode`` over a page table."""
+    """The job for ``options.mode`` over a page table; every row has its ``page_id``."""
     if options.mode == "markdown":
         return with_slug(markdown_job(pages, options, assets), pages)
     if options.mode == "metadata":
@@ -95,43 +109,81 @@ def run_mode(pages: DataFrame, options: Options, assets: DataFrame | None = None
     if options.mode == "archive":
         return archive_job(pages, options)
     full = with_slug(complete(pages).select("page_id", options.mode), pages)
-    return payload_files(full, options.mode, ".png" if options.mode == "screenshot" else ".pdf")
+    extension = ".png" if options.mode == "screenshot" else ".pdf"
+    return payload_files(full, options.mode, extension, keep=("page_id",))
 
 
-def crawl_job(
-    pages: DataFrame,
-    seeds: DataFrame,
-    options: Options,
-    observed: Observation | None = None,
-) -> DataFrame:
-    """Crawled pages of each seed after deduplication, date order and limit.
+class RunReport:
+    """Figures of a crawl's run, observed in the jobs that do the work.
 
-    (seed_id, crawl_rank, page_id, url, published_date). Sorting the rows is left to
-    the reader (``date_order``); the limit takes the first ones in that order. Each
-    crawled page is converted once for the fingerprint however many seeds reach it.
-    ``observed`` collects the number of crawled pages without an extra pass.
+    ``figures()`` can be read once the run's result has been written; it starts no job. What
+    no observed job has produced is missing.
     """
+
+    NAMES = ("crawled", "unique", "processed", "image_bytes")
+
+    def __init__(self) -> None:
+        self._observed: dict[str, Observation] = {}
+
+    def watch(self, df: DataFrame, name: str, value: Column | None = None) -> DataFrame:
+        """Count the rows of ``df``, or sum ``value``, when a job runs through it."""
+        self._observed[name] = Observation(name)
+        figure = F.count("*") if value is None else F.coalesce(F.sum(value), F.lit(0))
+        return df.observe(self._observed[name], figure.cast("bigint").alias(name))
+
+    def figures(self) -> dict[str, int]:
+        return {n: self._observed[n].get[n] for n in self.NAMES if n in self._observed}
+
+
+def _converted(reached: DataFrame, options: Options) -> DataFrame:
+    """(page_id, url, published_date, markdown, fingerprint) in a table of its own.
+
+    One scan finds the date and converts; every later step reads the columns it needs from
+    the table. Links, which decide what is reached, were taken from the pages before.
+    """
+    dated = with_publication_date(reached, keep=("html",))
+    docs = to_markdown(dated, strip_boilerplate=not options.raw, carry=("published_date",))
+    return written(docs.withColumn("fingerprint", fingerprint(F.col("markdown"))), "pages")
+
+
+def _crawl(
+    pages: DataFrame, seeds: DataFrame, options: Options, report: RunReport
+) -> tuple[DataFrame, DataFrame]:
+    """The kept visits and the converted pages that were reached."""
     crawled = deep_crawl(pages, seeds, options.max_pages, options.depth, options.url_pattern)
-    visits = crawled.select("seed_id", "crawl_rank", "level", "page_id", "url")
-    if observed is not None:
-        visits = visits.observe(observed, F.count("*").alias("crawled"))
-    reached = pages.join(visits.select("page_id").distinct(), "page_id", "left_semi")
+    visits = written(
+        report.watch(
+            crawled.select("seed_id", "crawl_rank", "level", "page_id", "url"), "crawled"
+        ),
+        "visits",
+    )
+    docs = _converted(
+        pages.join(visits.select("page_id").distinct(), "page_id", "left_semi"), options
+    )
+    marked = visits.join(docs.select("page_id", "published_date", "fingerprint"), "page_id")
     if options.dedupe:
-        # The fingerprint looks at the converted page, not at the selector or repairs.
         # Only the fingerprint meets the visits: a page that many seeds reach is
         # converted once and its text is not copied per seed.
-        docs = to_markdown(reached, strip_boilerplate=not options.raw)
-        prints = docs.select("page_id", fingerprint(F.col("markdown")).alias("fingerprint"))
-        visits = keep_first(
-            visits.join(prints, "page_id"), ["seed_id", "fingerprint"], ["crawl_rank"]
-        ).drop("fingerprint")
-    dated = visits.join(with_publication_date(reached).drop("url"), "page_id")
+        marked = keep_first(marked, ["seed_id", "fingerprint"], ["crawl_rank"])
+    marked = report.watch(marked.drop("fingerprint"), "unique")
     order = (
         date_order(descending=True, undated=options.undated)
         if options.sort_by_date
         else [F.col("crawl_rank")]
     )
-    return limit_per_group(dated, ["seed_id"], order, options.limit)
+    return written(limit_per_group(marked, ["seed_id"], order, options.limit), "kept"), docs
+
+
+def crawl_job(
+    pages: DataFrame, seeds: DataFrame, options: Options, report: RunReport | None = None
+) -> DataFrame:
+    """Crawled pages of each seed after deduplication, date order and limit.
+
+    (seed_id, crawl_rank, level, page_id, url, published_date). Sorting the rows is left to
+    the reader (``date_order``); the limit takes the first ones in that order.
+    """
+    kept, _ = _crawl(pages, seeds, options, report or RunReport())
+    return kept.select("seed_id", "crawl_rank", "level", "page_id", "url", "published_date")
 
 
 def crawl_and_run(
@@ -139,10 +191,36 @@ def crawl_and_run(
     seeds: DataFrame,
     options: Options,
     assets: DataFrame | None = None,
+    report: RunReport | None = None,
 ) -> DataFrame:
-    """Output of ``run_mode`` for every page a crawl keeps, once per page."""
-    kept = crawl_job(pages, seeds, options).select("page_id").distinct()
-    return run_mode(pages.join(kept, "page_id", "left_semi"), options, assets)
+    """Output of ``options.mode`` for every page a crawl keeps, by seed and rank.
+
+    (seed_id, crawl_rank, level, page_id, url, published_date) and the columns of ``run_mode``.
+    A page that several seeds keep is worked out once. The conversion that deduplication
+    compares is also the output's, unless a selector asks for another one.
+    """
+    report = report or RunReport()
+    kept, docs = _crawl(pages, seeds, options, report)
+    ids = kept.select("page_id").distinct()
+    own = pages.join(ids, "page_id", "left_semi")
+    if options.mode == "markdown":
+        if options.selector is None:
+            plain = docs.select("page_id", "url", "markdown").join(ids, "page_id", "left_semi")
+            clean = plain.withColumn("markdown", clean_markdown(F.col("markdown")))
+        else:
+            clean = clean_pages(own, options)
+        result = with_slug(
+            finished(
+                clean, options, assets,
+                lambda used: report.watch(used, "image_bytes", F.col("size")),
+            ),
+            own,
+        )
+    else:
+        result = run_mode(own, options, assets)
+    extra = [c for c in result.columns if c not in kept.columns]
+    out = kept.drop("fingerprint").join(result.select("page_id", *extra), "page_id")
+    return report.watch(out, "processed")
 
 
 def totals(docs: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings for a cluster session; pass them to the builder or to spark-submit.
@@ -30,3 +32,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return folder.rstrip("/")
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/leafmill-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A Parquet table in the shared folder that later branches read instead of the plan.
+
+    Unlike a checkpoint its columns are read one by one and its size is known to the planner.
+    It stays until :func:`remove_written`, as the caller's lazy result may go on reading it.
+    """
+    path = f"{_tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete this application's written tables, once its results have been stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -88,8 +88,8 @@ def _write_buckets(df: DataFrame, path: str, key: str, mode: str) -> None:
     placed.sortWithinPartitions("bucket", key).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
-def archive_artifacts(pages: DataFrame) -> DataFrame:
-    """(slug, artifact, ord, text, bytes): one row per artefact a page has.
+def archive_artifacts(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(slug, <keep>, artifact, ord, text, bytes): one row per artefact a page has.
 
     ``pages``: slug, markdown, references, screenshot, pdf, json. The markdown is
     always there; the rest only if it is neither null nor empty. Images and PDF bytes
@@ -116,7 +116,7 @@ def archive_artifacts(pages: DataFrame) -> DataFrame:
         row(3, no_text, F.col("pdf"), filled("pdf")),
         row(4, F.col("json"), no_bytes, filled("json")),
     )
-    return pages.select("slug", F.inline(F.filter(rows, lambda r: r["present"]))).drop("present")
+    return pages.select("slug", *keep, F.inline(F.filter(rows, lambda r: r["present"]))).drop("present")
 
 
 def archive_manifest(artifacts: DataFrame) -> DataFrame:
@@ -131,10 +131,12 @@ def write_archive(artifacts: DataFrame, path: str, mode: str = "overwrite") -> N
     write_table(artifacts.drop("ord"), path, "artifact", mode=mode)
 
 
-def payload_files(pages: DataFrame, column: str, extension: str) -> DataFrame:
-    """(name, bytes) of the pages that have a screenshot or PDF."""
+def payload_files(
+    pages: DataFrame, column: str, extension: str, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(<keep>, name, bytes) of the pages that have a screenshot or PDF."""
     return pages.filter(F.octet_length(column) > 0).select(
-        F.concat(F.col("slug"), F.lit(extension)).alias("name"), F.col(column).alias("bytes")
+        *keep, F.concat(F.col("slug"), F.lit(extension)).alias("name"), F.col(column).alias("bytes")
     )
 
 

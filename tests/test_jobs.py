@@ -526,6 +526,86 @@ def test_crawl_job(spark):
     assert [r.markdown for r in out.collect()] == ["c"]
 
 
+def linked_site(spark):
+    """Two seeds on one host; page 2 is a copy of page 1, pages 3 and 4 are reached by both."""
+    nav = "<nav>" + "".join(f"<a href='/{x}'>{x}</a>" for x in "abc") + "</nav>"
+    rows = [
+        (1, "https://h.example/", f"{nav}<p>{LONG}</p>"),
+        (2, "https://h.example/a", f"{nav}<p>{LONG}</p>"),
+        (3, "https://h.example/b", '<meta name=date content="2024-01-01"><p>b <img src="https://i/x.png" alt=x></p>'),
+        (4, "https://h.example/c", '<meta name=date content="2024-03-01"><p class=k>c <a href="/q">q</a></p>'),
+        (5, "https://h.example/away", "<p>never reached</p>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    seeds = spark.createDataFrame([(1, "https://h.example/"), (2, "https://h.example/a")], "seed_id int, url string")
+    return pages, seeds
+
+
+def test_crawl_output_has_seed_and_rank(spark):
+    pages, seeds = linked_site(spark)
+    options = Options(dedupe=True, sort_by_date=True, limit=2, refs=True, raw=True)
+    out = plans.crawl_and_run(pages, seeds, options).collect()
+    got = sorted((r.seed_id, r.crawl_rank, r.page_id, r.markdown, r.references) for r in out)
+    refs = "\n## References\n\n[1] /q"
+    assert got == [
+        (1, 3, 3, "b ![x](https://i/x.png)", ""), (1, 4, 4, "c q [1]", refs),
+        (2, 2, 3, "b ![x](https://i/x.png)", ""), (2, 3, 4, "c q [1]", refs),
+    ]
+    assert {r.slug for r in out} == {"h_example_b", "h_example_c"}
+    chosen = plans.crawl_and_run(pages, seeds, Options(selector="p.k a", limit=4)).collect()
+    assert {r.markdown for r in chosen if r.page_id == 4} == {"[q](/q)"}
+
+
+def test_crawl_output_of_every_mode(spark):
+    pages, seeds = linked_site(spark)
+    pages = pages.withColumn("pdf", F.when(F.col("page_id") == 4, F.lit("P").cast("binary")))
+    run = lambda mode: plans.crawl_and_run(pages, seeds, Options(mode=mode, raw=True)).collect()
+    meta = run("metadata")
+    assert {(r.seed_id, r.page_id) for r in meta} == {(s, p) for s in (1, 2) for p in (1, 2, 3, 4)} - {(2, 1)}
+    assert all(json.loads(r.json)["url"] == r.url for r in meta)
+    assert sorted((r.seed_id, r.crawl_rank, r.name, bytes(r.bytes)) for r in run("pdf")) == [
+        (1, 4, "h_example_c.pdf", b"P"), (2, 3, "h_example_c.pdf", b"P")]
+    kinds = Counter((r.seed_id, r.artifact) for r in run("archive"))
+    assert kinds == {(1, "article.md"): 4, (1, "metadata.json"): 4, (1, "article.pdf"): 1,
+                     (2, "article.md"): 3, (2, "metadata.json"): 3, (2, "article.pdf"): 1}
+
+
+def test_crawled_pages_are_converted_once(spark):
+    pages, seeds = linked_site(spark)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    out = plans.crawl_and_run(pages, seeds, Options(dedupe=True, sort_by_date=True, limit=2, raw=True))
+    # the conversion splits pages into rows; the output only reads its table
+    assert "Generate" in plan(to_markdown(pages)) and "Generate" not in plan(out)
+
+
+def test_figures_of_a_run_start_no_job(spark):
+    pages, seeds = linked_site(spark)
+    assets = spark.createDataFrame(
+        [("https://i/x.png", "image/png", bytearray(b"12345")), ("https://i/y.png", "image/png", bytearray(b"1"))],
+        "url string, content_type string, bytes binary")
+    report = plans.RunReport()
+    options = Options(dedupe=True, raw=True, embed_images=True, limit=3)
+    out = plans.crawl_and_run(pages, seeds, options, assets, report)
+    out.write.format("noop").mode("overwrite").save()
+    context = spark.sparkContext
+    context.setJobGroup("figures", "reading them")
+    figures = report.figures()
+    assert context.statusTracker().getJobIdsForGroup("figures") == []
+    # seed 1 reaches four pages, one a copy; seed 2 reaches three
+    assert figures == {"crawled": 7, "unique": 6, "processed": 6, "image_bytes": 5}
+
+
+def test_few_and_many_rows_of_a_limit_agree(spark, monkeypatch):
+    rows = [("hot" if i % 10 else f"k{i % 7}", (i * 7919) % 2003, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v int, id int").repartition(6)
+    order = [F.col("v"), F.col("id")]
+    few = ordering.limit_per_group(df, ["k"], order, 40)
+    assert "WindowGroupLimit" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ordering, "FEW_ROWS", 0)
+    many = ordering.limit_per_group(df, ["k"], order, 40)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
 def test_metadata_of_a_stream(spark, tmp_path):
     from leafmill.streaming.feed import metadata_stream
 
