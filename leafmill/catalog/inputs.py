@@ -36,6 +36,32 @@ def _text(*parts: str | Column) -> Column:
     )
 
 
+# --- pages that have moved: page k of the site k mod 9 times, and for 8 in a circle --------
+
+
+def _moves() -> Column:
+    return F.floor(F.col("page_id") / 7) % 9
+
+
+def moved(site: DataFrame) -> DataFrame:
+    """The site's pages under the addresses they have moved to."""
+    again = F.when((_moves() > 0) & (_moves() < 8), _text(F.col("url"), "/at/", _moves()))
+    return site.withColumn("url", F.coalesce(again, F.col("url"))).filter(_moves() < 8)
+
+
+def moves(site: DataFrame) -> DataFrame:
+    """(url, to_url): the hops of each page; targets are paths."""
+    path = F.concat(F.lit("/p/"), F.floor(F.col("page_id") / 7).cast("string"))
+    hops = site.select(
+        F.col("url").alias("start"), path.alias("path"), _moves().alias("n"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))).alias("k"),
+    ).filter("k <= n")
+    return hops.select(
+        F.when(F.col("k") == 1, F.col("start")).otherwise(_text(F.col("start"), "/at/", F.col("k") - 1)).alias("url"),
+        F.when(F.col("k") == 8, F.col("path")).otherwise(_text(F.col("path"), "/at/", F.col("k"))).alias("to_url"),
+    )
+
+
 def _site_links(i: Column, k: Column) -> Column:
     return _text(
         '<a href="/p/', 2 * k + 1, '">l</a><a href="/p/', 2 * k + 2, '/?q=1#x">r</a>',

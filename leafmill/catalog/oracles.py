@@ -539,6 +539,12 @@ FROM (SELECT page_id FROM pages) LEFT JOIN lks USING (page_id) LEFT JOIN bks USI
     q["JN1"] = _with(*_SITE_EDGES, select=f"""
 SELECT e.page_id, e.pos, s.page_id AS target_id, s.url AS target_url
 FROM edges e JOIN site_pages s ON {_norm('s.url')} = e.norm_url""")
+    # At most five moves are followed; with eight the page goes in a circle.
+    q["JN1_redirects"] = _with(*_SITE_EDGES, select=f"""
+SELECT e.page_id, e.pos, e.abs_url, s.page_id AS target_id,
+  CASE WHEN s.n BETWEEN 1 AND 7 THEN s.url || '/at/' || s.n ELSE s.url END AS final_url
+FROM edges e LEFT JOIN (SELECT *, (page_id // 7) % 9 AS n FROM site_pages) s
+  ON {_norm('s.url')} = e.norm_url AND s.n <= 5""")
     q["JN2"] = _with(*_SITE_EDGES, select=f"""
 SELECT page_id, norm_url FROM edges
 WHERE norm_url NOT IN (SELECT {_norm('url')} FROM site_pages)""")

@@ -13,7 +13,7 @@ from leafmill.functions import citations as c
 from leafmill.functions import dates, images, markup, urls
 from leafmill.functions import markdown as m
 from leafmill.functions.text import is_blank, word_count
-from leafmill.operators import crawl, dedupe, links, media, metadata, ordering, tokens, tree
+from leafmill.operators import crawl, dedupe, links, media, metadata, ordering, redirects, tokens, tree
 from leafmill.operators.convert import to_markdown
 from leafmill.plans import pages as plans
 from leafmill.plans.options import Options
@@ -319,6 +319,18 @@ def links_to_stored_pages(spark, sf):
     )
 
 
+@query("JN1_redirects")
+def links_through_redirects(spark, sf):
+    """Links of a site whose pages have moved up to seven times, and where they end."""
+    site, edges = _edges(spark, sf)
+    sent = redirects.resolve_redirects(inputs.moves(site))
+    tables = crawl.lookup_tables(crawl.page_index(inputs.moved(site)), sent)
+    found = crawl.look_up(edges, tables, "abs_url", "norm_url")
+    return found.select(
+        "page_id", "pos", "abs_url", F.col("page.page_id").alias("target_id"), F.col("page.url").alias("final_url")
+    )
+
+
 @query("JN2")
 def links_not_stored(spark, sf):
     site, edges = _edges(spark, sf)

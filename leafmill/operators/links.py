@@ -21,10 +21,12 @@ def page_hrefs(html: Column) -> Column:
 
 
 def page_links(
-    html: Column, url: Column, base_domain: Column, url_pattern: str | None = None
+    html: Column, url: Column, base_domain: Column | None, url_pattern: str | None = None
 ) -> Column:
     """array<struct<pos, href, abs_url, norm_url>> of the links a crawl may follow.
 
+    ``base_domain`` None takes links to any host.
+
     The cheap prefix test runs before URL resolution. Repeats are found by sorting
     on the normalised URL, so a page with many links costs n log n and the whole
     job stays map-only.
@@ -40,7 +42,7 @@ def page_links(
     )
     on_site = F.filter(
         absolute,
-        lambda a: (urls.netloc(a["abs_url"]) == base_domain)
+        lambda a: (F.lit(True) if base_domain is None else urls.netloc(a["abs_url"]) == base_domain)
         & urls.is_page_scheme(a["abs_url"])
         & urls.is_page_path(a["abs_url"]),
     )
@@ -82,9 +84,12 @@ def extract_links(
     base_domain: Column | None = None,
     url_pattern: str | None = None,
     key: str = "page_id",
+    any_host: bool = False,
 ) -> DataFrame:
     """One row per distinct same-site link: (key, pos, href, abs_url, norm_url)."""
     domain = urls.netloc(F.col("url")) if base_domain is None else base_domain
+    if any_host:
+        domain = None
     links = page_links(F.col("html"), F.col("url"), domain, url_pattern)
     return pages.select(key, F.inline(links))
 

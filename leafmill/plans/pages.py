@@ -147,16 +147,18 @@ def _converted(reached: DataFrame, options: Options) -> DataFrame:
 
 
 def _crawl(
-    pages: DataFrame, seeds: DataFrame, options: Options, report: RunReport
+    pages: DataFrame,
+    seeds: DataFrame,
+    options: Options,
+    report: RunReport,
+    redirects: DataFrame | None,
 ) -> tuple[DataFrame, DataFrame]:
     """The kept visits and the converted pages that were reached."""
-    crawled = deep_crawl(pages, seeds, options.max_pages, options.depth, options.url_pattern)
-    visits = written(
-        report.watch(
-            crawled.select("seed_id", "crawl_rank", "level", "page_id", "url"), "crawled"
-        ),
-        "visits",
+    crawled = deep_crawl(
+        pages, seeds, options.max_pages, options.depth, options.url_pattern, redirects
     )
+    visits = crawled.select("seed_id", "crawl_rank", "level", "page_id", "requested_url", "url")
+    visits = written(report.watch(visits, "crawled"), "visits")
     docs = _converted(
         pages.join(visits.select("page_id").distinct(), "page_id", "left_semi"), options
     )
@@ -165,7 +167,8 @@ def _crawl(
         # Only the fingerprint meets the visits: a page that many seeds reach is
         # converted once and its text is not copied per seed.
         marked = keep_first(marked, ["seed_id", "fingerprint"], ["crawl_rank"])
-    marked = report.watch(marked.drop("fingerprint"), "unique")
+    own = [*visits.columns, "published_date"]
+    marked = report.watch(marked.select(own), "unique")
     order = (
         date_order(descending=True, undated=options.undated)
         if options.sort_by_date
@@ -175,15 +178,18 @@ def _crawl(
 
 
 def crawl_job(
-    pages: DataFrame, seeds: DataFrame, options: Options, report: RunReport | None = None
+    pages: DataFrame,
+    seeds: DataFrame,
+    options: Options,
+    report: RunReport | None = None,
+    redirects: DataFrame | None = None,
 ) -> DataFrame:
     """Crawled pages of each seed after deduplication, date order and limit.
 
-    (seed_id, crawl_rank, level, page_id, url, published_date). Sorting the rows is left to
-    the reader (``date_order``); the limit takes the first ones in that order.
+    (seed_id, crawl_rank, level, page_id, requested_url, url, published_date). Sorting the rows is
+    left to the reader (``date_order``); the limit takes the first ones in that order.
     """
-    kept, _ = _crawl(pages, seeds, options, report or RunReport())
-    return kept.select("seed_id", "crawl_rank", "level", "page_id", "url", "published_date")
+    return _crawl(pages, seeds, options, report or RunReport(), redirects)[0]
 
 
 def crawl_and_run(
@@ -192,15 +198,16 @@ def crawl_and_run(
     options: Options,
     assets: DataFrame | None = None,
     report: RunReport | None = None,
+    redirects: DataFrame | None = None,
 ) -> DataFrame:
     """Output of ``options.mode`` for every page a crawl keeps, by seed and rank.
 
-    (seed_id, crawl_rank, level, page_id, url, published_date) and the columns of ``run_mode``.
+    (seed_id, crawl_rank, level, page_id, requested_url, url, published_date) and the columns of ``run_mode``.
     A page that several seeds keep is worked out once. The conversion that deduplication
     compares is also the output's, unless a selector asks for another one.
     """
     report = report or RunReport()
-    kept, docs = _crawl(pages, seeds, options, report)
+    kept, docs = _crawl(pages, seeds, options, report, redirects)
     ids = kept.select("page_id").distinct()
     own = pages.join(ids, "page_id", "left_semi")
     if options.mode == "markdown":
@@ -219,7 +226,7 @@ def crawl_and_run(
     else:
         result = run_mode(own, options, assets)
     extra = [c for c in result.columns if c not in kept.columns]
-    out = kept.drop("fingerprint").join(result.select("page_id", *extra), "page_id")
+    out = kept.join(result.select("page_id", *extra), "page_id")
     return report.watch(out, "processed")
 
 

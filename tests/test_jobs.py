@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.operators import crawl, dedupe, links, media, metadata, ordering, tokens
+from leafmill.operators import crawl, dedupe, links, media, metadata, ordering, redirects, tokens
 from leafmill.operators.convert import to_markdown
 from leafmill.plans import pages as plans
 from leafmill.plans.options import Options
@@ -294,6 +294,64 @@ def test_crawl_pattern_and_lookup(spark):
             crawl.deep_crawl(pages, seeds, **bad)
 
 
+def test_redirects_are_followed_to_their_end(spark):
+    hops = [("https://h/0", "https://h/1"), ("https://h/1", "/2"), ("https://h/2", "3#x"), ("https://h/3#y", "https://h/4"),
+            ("https://h/4", "https://o/5"), ("https://h/five", "https://h/0"), ("https://h/a", "/b"), ("https://h/b", "/c"),
+            ("https://h/c", "/a"), ("https://h/d", "/a"), ("https://h/s", "/s"), ("https://h/t", "/z"), ("https://h/t", "/y"),
+            (None, "/x"), ("https://h/n", None)]
+    table = spark.createDataFrame(hops, "url string, to_url string")
+    got = {r.url[len("https://h/"):]: (r.final_url, r.hops, r.error) for r in redirects.resolve_redirects(table).collect()}
+    end, lost = "https://o/5", (None, None, "too many")
+    assert got == {
+        "0": (end, 5, None), "1": (end, 4, None), "2": (end, 3, None), "3": (end, 2, None), "4": (end, 1, None),
+        "five": lost, "a": lost, "b": lost, "c": lost, "d": lost, "s": lost, "t": ("https://h/y", 1, None)}
+    six = redirects.resolve_redirects(table, 6).filter("url = 'https://h/five'").first()
+    assert (six.final_url, six.hops) == (end, 6)
+    assert redirects.resolve_redirects(table.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        redirects.resolve_redirects(table, 0)
+
+
+def test_random_redirects_equal_a_walk(spark):
+    rng = random.Random(5)
+    step = {f"https://h/{i}": f"https://h/{rng.randint(0, 260)}" for i in rng.sample(range(260), 200)}
+    want = {}
+    for url in step:
+        at, n = url, 0
+        while at in step and n <= 9:
+            at, n = step[at], n + 1
+        want[url] = (at, n) if at not in step and n <= 5 else (None, None)
+    table = spark.createDataFrame(list(step.items()), "url string, to_url string").repartition(3)
+    got = {r.url: (r.final_url, r.hops) for r in redirects.resolve_redirects(table).collect()}
+    assert got == want and len({v for v in want.values()}) > 10
+
+
+def test_crawl_through_a_chain_and_a_loop(spark):
+    rows = [
+        (1, "https://new.example/home", '<a href="/old1">1</a><a href="/loop">2</a><a href="/there">3</a><a href="/p#f">4</a>'),
+        (2, "https://new.example/p", '<a href="/deep">d</a>'), (3, "https://new.example/there", "t"),
+        (4, "https://new.example/elsewhere", "e"), (5, "https://other.example/x", f'<a href="/y">y</a><a href="https://new.example/q">q</a>'),
+        (7, "https://other.example/y", "y"), (6, "https://new.example/q", "q"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    base = "https://new.example"
+    seeds = spark.createDataFrame([(1, f"{base}/start"), (2, "https://old.example/")], "seed_id int, url string")
+    hops = [(f"{base}/old{k}", f"/old{k + 1}") for k in (1, 2, 3, 4)] + [(f"{base}/old5", "/p")]
+    hops += [(f"{base}/loop", "/loop2"), (f"{base}/loop2", "/loop"), ("https://old.example/", f"{base}/home"),
+             (f"{base}/start", "/home"), (f"{base}/there", "/elsewhere"), (f"{base}/deep", "https://other.example/x")]
+    table = spark.createDataFrame(hops, "url string, to_url string")
+    sent = redirects.resolve_redirects(table)
+    assert crawl.deep_crawl(pages, seeds, depth=2).count() == 0
+    rows = crawl.deep_crawl(pages, seeds, None, 3, redirects=sent).orderBy("seed_id", "crawl_rank").collect()
+    # The page under /p is asked for twice, the loop has no page, a stored address needs no hop; a
+    # page of another host is entered, but of its links only those to the seed's own host count.
+    assert [(r.requested_url, r.url) for r in rows if r.seed_id == 1] == [
+        (f"{base}/start", f"{base}/home"), (f"{base}/old1", f"{base}/p"), (f"{base}/there", f"{base}/there"),
+        (f"{base}/p#f", f"{base}/p"), (f"{base}/deep", "https://other.example/x"), (f"{base}/q", f"{base}/q")]
+    assert [(r.requested_url, r.url) for r in rows if r.seed_id == 2] == [("https://old.example/", f"{base}/home")]
+    assert crawl.missing_seeds(pages, seeds, sent).count() == 0 and crawl.missing_seeds(pages, seeds).count() == 2
+
+
 # --- dedupe, order, limit ---------------------------------------------------------------
 
 
