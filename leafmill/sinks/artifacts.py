@@ -119,6 +119,14 @@ def archive_artifacts(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
     return pages.select("slug", *keep, F.inline(F.filter(rows, lambda r: r["present"]))).drop("present")
 
 
+def archive_files(artifacts: DataFrame) -> DataFrame:
+    """(name, content) of archive rows: a folder per page, ``{slug}/article.md`` and so on."""
+    return artifacts.select(
+        F.concat_ws("/", "slug", "artifact").alias("name"),
+        F.coalesce(F.encode("text", "UTF-8"), F.col("bytes")).alias("content"),
+    )
+
+
 def archive_manifest(artifacts: DataFrame) -> DataFrame:
     """(slug, files): artefact names of each page in their fixed order."""
     listed = artifacts.groupBy("slug").agg(
