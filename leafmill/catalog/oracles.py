@@ -494,13 +494,22 @@ SELECT slug, artifact, ord::BIGINT AS ord, text, hex(encode(payload)) AS bytes_h
     q["SNK6"] = """
 SELECT 'doc_' || doc_id || '.pdf' AS name, text AS content FROM documents
 UNION ALL SELECT 'doc_' || doc_id || '.png', text FROM documents WHERE doc_id % 3 = 0"""
-    q["SNK7"] = """
-SELECT mode, rows::BIGINT AS rows FROM (
-  SELECT 'markdown' AS mode, count(*) AS rows FROM pages
-  UNION ALL SELECT 'screenshot', 0
-  UNION ALL SELECT 'pdf', count(*) FILTER (page_id % 2 = 0) FROM pages
-  UNION ALL SELECT 'metadata', count(*) FROM pages
-  UNION ALL SELECT 'archive', 2 * count(*) + count(*) FILTER (page_id % 2 = 0) FROM pages)"""
+    plain_pages = "meta_pages AS (SELECT page_id, url, html FROM pages)"
+    q["SNK7"] = _with(
+        plain_pages, _markdown("meta_pages"), _TEXT, _META_TAGS, _DATES, _anchors("meta_pages"),
+        _domains("meta_pages", 10), _RECORD, "doc AS (" + _page_markdown("meta_pages") + ")",
+        f"named AS (SELECT page_id, url, {_unique_slug('url')} AS slug FROM pages)",
+        f"clean AS (SELECT page_id, slug, {_CLEAN} AS text FROM doc JOIN named USING (page_id))",
+        f"record AS (SELECT page_id, slug, {_json()} AS text FROM rec JOIN named USING (page_id, url))",
+        "paper AS (SELECT page_id, slug, url AS text FROM named WHERE page_id % 2 = 0)",
+        """made AS (
+  SELECT 'markdown' AS mode, page_id, slug || '.md' AS name, text FROM clean
+  UNION ALL SELECT 'metadata', page_id, slug || '_meta.json', text FROM record
+  UNION ALL SELECT 'pdf', page_id, slug || '.pdf', text FROM paper
+  UNION ALL SELECT 'archive', page_id, slug || '/article.md', text FROM clean
+  UNION ALL SELECT 'archive', page_id, slug || '/article.pdf', text FROM paper
+  UNION ALL SELECT 'archive', page_id, slug || '/metadata.json', text FROM record)""",
+        select="SELECT mode, page_id, name, octet_length(encode(text))::BIGINT AS size, md5(text) AS md5 FROM made")
     # --- filters
     q["FLT1"] = """
 SELECT page_id, page_id % 10 = 0 AS is_empty, page_id % 10 = 0 AS is_blank FROM pages"""

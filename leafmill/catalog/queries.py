@@ -17,7 +17,9 @@ from leafmill.operators import crawl, dedupe, links, media, metadata, ordering,
 from leafmill.operators.convert import to_markdown
 from leafmill.plans import pages as plans
 from leafmill.plans.options import Options
+from leafmill.session import run_folder
 from leafmill.sinks import artifacts as sinks
+from leafmill.sinks import files
 from leafmill.sources import pages as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,11 +53,16 @@ def page_scan(spark, sf):
 
 @query("SRC2")
 def html_file_conversion(spark, sf):
-    """The file route: bytes decoded and converted, without repair or citations."""
-    files = inputs.pages(spark, sf).withColumn("content", F.encode("html", "UTF-8"))
-    decoded = files.withColumn("html", sources.decode_body(F.col("content"), F.lit("utf-8")))
-    return to_markdown(decoded.drop("content"), strip_boilerplate=False).select(
-        "page_id", "markdown"
+    """The file route: pages as HTML files, read back, decoded and converted, without repair."""
+    html = inputs.pages(spark, sf).select(
+        F.concat(F.col("page_id"), F.lit(".html")).alias("name"), F.encode("html", "UTF-8").alias("content")
+    )
+    folder = f"{run_folder(spark)}/html"
+    run = files.write_files(html, folder)
+    found = sources.read_html_files(spark, f"{folder}/{run}")
+    number = F.regexp_extract("path", r"/(\d+)\.html\z", 1).cast("bigint")
+    return to_markdown(found, strip_boilerplate=False, key="path").select(
+        number.alias("page_id"), "markdown"
     )
 
 
@@ -128,7 +135,13 @@ def _cited_docs(spark, sf):
 
 @query("SNK1")
 def markdown_sink(spark, sf):
-    return sinks.markdown_files(_cited_docs(spark, sf)).filter(~F.col("name").endswith("_refs.md"))
+    """Real files of all documents, read back by the listing of their run."""
+    made = sinks.markdown_files(_cited_docs(spark, sf)).filter(~F.col("name").endswith("_refs.md"))
+    folder = f"{run_folder(spark)}/markdown"
+    run = files.write_files(made, folder)
+    return files.read_files(spark, folder, run).select(
+        "name", F.decode("content", "UTF-8").alias("content")
+    )
 
 
 @query("SNK2")
@@ -190,18 +203,26 @@ def pdf_passthrough(spark, sf):
 
 @query("SNK7")
 def output_modes(spark, sf):
+    """Every row of every mode with the checksum of its content."""
     p = sources.complete(inputs.pages(spark, sf)).withColumn(
         "pdf", F.when(F.col("page_id") % 2 == 0, F.encode("url", "UTF-8"))
     )
-    counts = [
-        plans.run_mode(p, Options(mode=mode, raw=True)).agg(
-            F.lit(mode).alias("mode"), F.count("*").alias("rows")
-        )
-        for mode in ("markdown", "screenshot", "pdf", "metadata", "archive")
-    ]
-    out = counts[0]
-    for other in counts[1:]:
-        out = out.unionByName(other)
+    run = lambda mode: plans.run_mode(p, Options(mode=mode, raw=True))
+    name = F.concat("slug", F.lit(".md"))
+    made = {
+        "markdown": run("markdown").select("page_id", name.alias("name"), F.col("output").cast("binary").alias("content")),
+        "metadata": run("metadata").select("page_id", sinks.metadata_name().alias("name"), F.col("json").cast("binary")),
+        "archive": sinks.archive_files(run("archive"), keep=("page_id",)),
+        "screenshot": run("screenshot"),
+        "pdf": run("pdf"),
+    }
+    out = None
+    for mode, rows in made.items():
+        rows = rows.toDF("page_id", "name", "content").select(
+            F.lit(mode).alias("mode"), "page_id", "name", F.octet_length("content").alias("size"),
+            F.md5("content").alias("md5"),
+        )
+        out = rows if out is None else out.unionAll(rows)
     return out
 
 
@@ -341,9 +362,8 @@ def links_not_stored(spark, sf):
 @query("JN3")
 def refs_to_payloads(spark, sf):
     refs = media.image_refs(inputs.md_docs(spark, sf), "doc_id")
-    return refs.join(media.usable_assets(inputs.image_assets(spark, sf)), "url").select(
-        "doc_id", "pos", "url", "content_type"
-    )
+    usable = media.usable_assets(inputs.image_assets(spark, sf)).select("url", "content_type")
+    return media.join_payloads(refs, usable, "doc_id").select("doc_id", "pos", "url", "content_type")
 
 
 @query("JN4")
@@ -392,16 +412,9 @@ def reading_times(spark, sf):
 
 @query("AGG3")
 def link_counts(spark, sf):
-    rows = _site_links(spark, sf).filter(urls.is_followable_href(F.col("href")))
-    external = (F.col("netloc") != "") & (F.col("netloc") != urls.netloc(F.col("url")))
-    counts = rows.groupBy("page_id").agg(
-        F.count_if(~external).alias("internal_links"), F.count_if(external).alias("external_links")
-    )
-    zero = F.lit(0).cast("bigint")
-    return inputs.site_pages(spark, sf).select("page_id").join(counts, "page_id", "left").select(
-        "page_id",
-        F.coalesce("internal_links", zero).alias("internal_links"),
-        F.coalesce("external_links", zero).alias("external_links"),
+    return metadata.extract_metadata(inputs.site_pages(spark, sf)).select(
+        "page_id", F.col("internal_link_count").alias("internal_links"),
+        F.col("external_link_count").alias("external_links"),
     )
 
 
@@ -712,6 +725,7 @@ def embedding(spark, sf):
 
 @query("SC16")
 def meta_dates(spark, sf):
+    """Dates of a meta tag, well and ill formed, found in whole pages and parsed."""
     i = F.col("page_id")
     day = F.lpad((i % 33).cast("string"), 2, "0")
     value = (
@@ -721,8 +735,14 @@ def meta_dates(spark, sf):
         .when(i % 5 == 3, F.concat(F.lit("2023-12-"), day, F.lit("T05:00Z")))
         .otherwise(F.concat(F.lit("on 2024-01-"), day))
     )
-    p = inputs.pages(spark, sf).select("page_id", value.alias("value"))
-    return p.select("page_id", "value", dates.meta_date(F.col("value")).alias("published_date"))
+    tag = F.concat(F.lit('<meta name="date" content="'), value, F.lit('">'))
+    head = F.concat(F.lit("<head>"), tag)
+    p = inputs.pages(spark, sf).withColumn("html", F.replace("html", F.lit("<head>"), head))
+    tags = markup.open_tags(F.col("html"), "meta")
+    found = metadata.meta_values(metadata.meta_entries(tags), ["date"])
+    return p.select("page_id", F.get(found, F.lit(0)).alias("value")).select(
+        "page_id", "value", dates.meta_date(F.col("value")).alias("published_date")
+    )
 
 
 @query("SC17")

@@ -35,6 +35,23 @@ def rejected_assets(assets: DataFrame, max_bytes: int = images.MAX_IMAGE_BYTES)
     )
 
 
+def join_payloads(refs: DataFrame, payloads: DataFrame, key: str = "page_id") -> DataFrame:
+    """``refs`` (key, pos, url) with the columns of ``payloads`` of that url.
+
+    References to a URL are counted, and a URL that many pages share is spread over as
+    many salts as it has thousands of references, on both sides of the join.
+    """
+    salts = refs.groupBy("url").agg(
+        F.ceil(F.count("*") / REFS_PER_SALT).cast("int").alias("_salts")
+    )
+    every = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
+    copies = payloads.join(salts, "url").withColumn("_salt", every).drop("_salts")
+    salted = refs.join(salts, "url").withColumn(
+        "_salt", F.pmod(F.xxhash64(key), F.col("_salts")).cast("int")
+    )
+    return salted.drop("_salts").join(copies, ["url", "_salt"]).drop("_salt")
+
+
 def embed_images(
     docs: DataFrame,
     assets: DataFrame,
@@ -44,27 +61,18 @@ def embed_images(
 ) -> DataFrame:
     """Image URLs replaced by data URIs in ``columns``; unknown images stay links.
 
-    Payloads are encoded once. References to a URL are counted, and a URL that many
-    pages share is spread over as many salts as it has thousands of references, on both
-    sides of the join. ``on_used`` may watch the images in use (url, size, data_uri), each once.
+    Payloads are encoded once and joined by ``join_payloads``. ``on_used`` may watch the images
+    in use (url, size, data_uri), each once.
     """
     refs = image_refs(docs, key)
-    salts = refs.groupBy("url").agg(
-        F.ceil(F.count("*") / REFS_PER_SALT).cast("int").alias("_salts")
-    )
     encoded = usable_assets(assets).select(
         "url",
         F.octet_length("bytes").alias("size"),
         images.data_uri(F.col("content_type"), F.col("bytes")).alias("data_uri"),
     )
-    copies = on_used(encoded.join(salts, "url")).select(
-        "url", "data_uri", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")
-    )
-    salted = refs.join(salts, "url").withColumn(
-        "_salt", F.pmod(F.xxhash64(key), F.col("_salts")).cast("int")
-    )
+    used = on_used(encoded.join(refs.select("url").distinct(), "url", "left_semi"))
     entries = (
-        salted.join(copies, ["url", "_salt"])
+        join_payloads(refs, used.drop("size"), key)
         .select(key, F.struct("pos", "url", "data_uri").alias("entry"))
         .groupBy(key)
         .agg(F.array_sort(F.collect_list("entry")).alias("_entries"))

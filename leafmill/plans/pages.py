@@ -17,6 +17,7 @@ from leafmill.operators.metadata import extract_metadata, metadata_json, with_pu
 from leafmill.operators.ordering import date_order, limit_per_group
 from leafmill.plans.options import Options
 from leafmill.session import written
+from leafmill.sinks.asset_store import AssetStore
 from leafmill.sinks.artifacts import archive_artifacts, payload_files, with_unique_slug
 from leafmill.sources.pages import complete
 
@@ -100,10 +101,30 @@ def archive_job(pages: DataFrame, options: Options) -> DataFrame:
     return archive_artifacts(joined, keep=("page_id",))
 
 
-def run_mode(pages: DataFrame, options: Options, assets: DataFrame | None = None) -> DataFrame:
+def downloaded(
+    docs: DataFrame, options: Options, assets: DataFrame | None, store: AssetStore | None
+) -> None:
+    """Add the images that ``docs`` show to the store if the options ask for local copies."""
+    if options.downloads:
+        if assets is None or store is None:
+            raise ValueError("download_images needs a table of image assets and a store")
+        store.add(docs, assets)
+
+
+def run_mode(
+    pages: DataFrame,
+    options: Options,
+    assets: DataFrame | None = None,
+    store: AssetStore | None = None,
+) -> DataFrame:
     """The job for ``options.mode`` over a page table; every row has its ``page_id``."""
     if options.mode == "markdown":
-        return with_slug(markdown_job(pages, options, assets), pages)
+        docs = markdown_job(pages, options, assets)
+        if options.downloads:
+            # two jobs read the documents: they are written down in between
+            docs = written(docs, "documents")
+            downloaded(docs, options, assets, store)
+        return with_slug(docs, pages)
     if options.mode == "metadata":
         return with_slug(metadata_job(pages), pages)
     if options.mode == "archive":
@@ -199,6 +220,7 @@ def crawl_and_run(
     assets: DataFrame | None = None,
     report: RunReport | None = None,
     redirects: DataFrame | None = None,
+    store: AssetStore | None = None,
 ) -> DataFrame:
     """Output of ``options.mode`` for every page a crawl keeps, by seed and rank.
 
@@ -216,13 +238,13 @@ def crawl_and_run(
             clean = plain.withColumn("markdown", clean_markdown(F.col("markdown")))
         else:
             clean = clean_pages(own, options)
-        result = with_slug(
-            finished(
-                clean, options, assets,
-                lambda used: report.watch(used, "image_bytes", F.col("size")),
-            ),
-            own,
-        )
+        result = finished(
+            clean, options, assets, lambda used: report.watch(used, "image_bytes", F.col("size"))
+        )
+        if options.downloads:
+            result = written(result, "documents")
+            downloaded(result, options, assets, store)
+        result = with_slug(result, own)
     else:
         result = run_mode(own, options, assets)
     extra = [c for c in result.columns if c not in kept.columns]

@@ -42,7 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _tables(spark: SparkSession) -> str:
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; ``remove_written`` deletes it."""
     return f"{shared_folder(spark)}/leafmill-{spark.sparkContext.applicationId}"
 
 
@@ -52,12 +53,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Unlike a checkpoint its columns are read one by one and its size is known to the planner.
     It stays until :func:`remove_written`, as the caller's lazy result may go on reading it.
     """
-    path = f"{_tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove_written(spark: SparkSession) -> None:
     """Delete this application's written tables, once its results have been stored."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

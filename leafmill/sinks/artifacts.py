@@ -70,11 +70,13 @@ def markdown_files(docs: DataFrame) -> DataFrame:
     return docs.select(F.inline(F.filter(files, lambda f: f["content"].isNotNull())))
 
 
+def metadata_name() -> Column:
+    return F.concat(F.col("slug"), F.lit("_meta.json"))
+
+
 def metadata_files(records: DataFrame) -> DataFrame:
     """(name, content): ``{slug}_meta.json``."""
-    return records.select(
-        F.concat(F.col("slug"), F.lit("_meta.json")).alias("name"), F.col("json").alias("content")
-    )
+    return records.select(metadata_name().alias("name"), F.col("json").alias("content"))
 
 
 def write_text_files(files: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -119,9 +121,10 @@ def archive_artifacts(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
     return pages.select("slug", *keep, F.inline(F.filter(rows, lambda r: r["present"]))).drop("present")
 
 
-def archive_files(artifacts: DataFrame) -> DataFrame:
-    """(name, content) of archive rows: a folder per page, ``{slug}/article.md`` and so on."""
+def archive_files(artifacts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(<keep>, name, content) of archive rows: a folder per page, ``{slug}/article.md`` and so on."""
     return artifacts.select(
+        *keep,
         F.concat_ws("/", "slug", "artifact").alias("name"),
         F.coalesce(F.encode("text", "UTF-8"), F.col("bytes")).alias("content"),
     )
