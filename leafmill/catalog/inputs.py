@@ -36,6 +36,34 @@ def _text(*parts: str | Column) -> Column:
     )
 
 
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole given pages; each article begins with a heading, lists, a quote, code, a table,
+    an image and a header that is to be stripped."""
+    i = F.col("page_id")
+    rich = _text(
+        "<header><p>Site ", i, "</p></header><h2>Notes ", i, "</h2><ul><li>one ", i,
+        '</li><li><a href="/n/', i % 9, '">two</a><ul><li>deep<li>deeper</ul></li></ul>',
+        '<ol start="', i % 4, '"><li>three</li><li><em>four</em></li></ol><blockquote><p>Quoted ', i,
+        "</p></blockquote><pre><code>x = ", i, "\n  y_z</code></pre><table><tr><th>k</th><th>v</th></tr>",
+        "<tr><td>id</td><td>", i, '</td></tr></table><p><img src="https://img.example/', i,
+        '.png" alt="pic"> <strong>bold</strong> <a href="/n/', i % 9, '">again</a></p>',
+    )
+    with_rich = F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), rich))
+    return pages(spark, sf_dir).select("page_id", "url", with_rich.alias("html"))
+
+
+RICH_PAGES = r"""rich_pages AS (
+  SELECT page_id, url, replace(html, '<article>', '<article><header><p>Site ' || page_id ||
+    '</p></header><h2>Notes ' || page_id || '</h2><ul><li>one ' || page_id || '</li><li><a href="/n/' ||
+    (page_id % 9) || '">two</a><ul><li>deep<li>deeper</ul></li></ul><ol start="' || (page_id % 4) ||
+    '"><li>three</li><li><em>four</em></li></ol><blockquote><p>Quoted ' || page_id ||
+    '</p></blockquote><pre><code>x = ' || page_id || E'
+  y_z</code></pre><table><tr><th>k</th><th>v</th></tr>' ||
+    '<tr><td>id</td><td>' || page_id || '</td></tr></table><p><img src="https://img.example/' || page_id ||
+    '.png" alt="pic"> <strong>bold</strong> <a href="/n/' || (page_id % 9) || '">again</a></p>') AS html
+  FROM pages)"""
+
+
 # --- pages that have moved: page k of the site k mod 9 times, and for 8 in a circle --------
 
 

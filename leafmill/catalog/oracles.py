@@ -9,7 +9,7 @@ says "not an image".
 
 from __future__ import annotations
 
-from leafmill.catalog.inputs import IMAGE_ASSETS, MD_DOCS, META_PAGES, MIRRORED_SITE, SITE_PAGES
+from leafmill.catalog.inputs import IMAGE_ASSETS, MD_DOCS, META_PAGES, MIRRORED_SITE, RICH_PAGES, SITE_PAGES
 
 _TOKEN = (
     r"<!--[\s\S]*?-->|<script\b[\s\S]*?</script\s*>|<style\b[\s\S]*?</style\s*>"
@@ -419,6 +419,84 @@ main AS (
   WHERE coalesce(b.score <= y.score, TRUE) OR o.score >= least(b.score, greatest(10, 0.2 * b.score)))"""
 
 
+def _rich_markdown(source: str) -> str:
+    """Markdown of pages with lists, quotes, code, tables, links and images as ``rich``.
+
+    Blocks are the runs of tokens from one block tag to the next. Lists, quotes and tables are
+    counted open and closed; an item's number is its place among the items of the last list opened
+    at its depth.
+    """
+    flow = _FLOW.format(_decode("raw"))
+    return rf"""{_tokens(source)},
+{_DEPTH},
+rbl AS (
+  SELECT *, kind = 'tag' AND tag IN ('html', 'head', 'body', 'div', 'article', 'nav', 'footer', 'header', 'p', 'h1', 'h2',
+    'ul', 'ol', 'li', 'title', 'blockquote', 'pre', 'table', 'tr', 'th', 'td') AS is_block,
+    CASE WHEN kind = 'tag' THEN CASE WHEN is_close THEN -1 ELSE 1 END ELSE 0 END AS step
+  FROM dep),
+rst AS (
+  SELECT *, count(*) FILTER (is_block) OVER w AS bid,
+    sum(CASE WHEN tag IN ('ul', 'ol') THEN step ELSE 0 END) OVER w AS lists,
+    sum(CASE WHEN tag = 'blockquote' THEN step ELSE 0 END) OVER w AS quotes,
+    sum(CASE WHEN tag = 'table' THEN step ELSE 0 END) OVER w AS tables,
+    count(*) FILTER (tag = 'table' AND step = 1) OVER w AS table_no,
+    count(*) FILTER (tag = 'tr' AND step = 1) OVER w AS row_no,
+    last_value(CASE WHEN is_block THEN CASE WHEN is_close THEN '' ELSE tag END END IGNORE NULLS) OVER w AS holder,
+    last_value(CASE WHEN tag = 'a' AND step = 1 THEN regexp_extract(raw, 'href="([^"]*)"', 1) END IGNORE NULLS) OVER w AS href
+  FROM rbl WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+rpt AS (
+  SELECT page_id, bid, any_value(lists) AS lists, any_value(quotes) AS quotes, any_value(tables) AS tables,
+    any_value(table_no) AS table_no, any_value(row_no) AS row_no, max(depth) AS depth, any_value(holder) AS tag,
+    bool_or(is_block AND tag = 'title') AS title, bool_or(tag = 'b') AS bold,
+    max(CASE WHEN is_block AND tag = 'ol' AND NOT is_close THEN coalesce(nullif(regexp_extract(raw, 'start="(\d+)"', 1), ''), '1')::BIGINT END) AS start,
+    string_agg(CASE WHEN kind = 'text' AND holder = 'pre' THEN {_decode('raw')} WHEN kind = 'text' THEN {flow}
+      WHEN tag = 'br' THEN E'
+' WHEN tag = 'a' AND step = 1 THEN '[' WHEN tag = 'a' AND step = -1 THEN '](' || href || ')'
+      WHEN tag = 'img' THEN '![' || regexp_extract(raw, 'alt="([^"]*)"', 1) || '](' || regexp_extract(raw, 'src="([^"]*)"', 1) || ')'
+      WHEN tag = 'em' THEN '*' WHEN tag = 'strong' THEN '**' ELSE '' END, '' ORDER BY pos) AS t
+  FROM rst GROUP BY page_id, bid),
+rls AS (
+  SELECT *, max(CASE WHEN tag IN ('ul', 'ol') THEN bid END) OVER (PARTITION BY page_id, lists ORDER BY bid) AS list_id,
+    max(CASE WHEN tag IN ('ul', 'ol') AND lists = 1 THEN bid END) OVER (PARTITION BY page_id ORDER BY bid) AS outer_list
+  FROM rpt),
+rnm AS (
+  SELECT l.*, o.start AS first_no,
+    count(*) FILTER (l.tag = 'li') OVER (PARTITION BY l.page_id, l.list_id, l.lists ORDER BY l.bid) AS item
+  FROM rls l LEFT JOIN rls o ON o.page_id = l.page_id AND o.bid = l.list_id),
+rtb AS (
+  SELECT page_id, min(bid) AS bid, string_agg(line, E'
+' ORDER BY row_no) AS t FROM (
+    SELECT page_id, table_no, row_no, min(bid) AS bid, '| ' || string_agg({_strip('t')}, ' | ' ORDER BY bid) || ' |' ||
+      CASE WHEN row_number() OVER (PARTITION BY page_id, table_no ORDER BY row_no) = 1
+        THEN E'
+|' || repeat(' --- |', count(*)) ELSE '' END AS line
+    FROM rnm WHERE tables > 0 AND tag IN ('th', 'td') GROUP BY page_id, table_no, row_no)
+  GROUP BY page_id, table_no),
+rpc AS (
+  SELECT page_id, bid, CASE WHEN lists > 0 THEN outer_list END AS list, CASE
+      WHEN tag IN ('h1', 'h2') THEN repeat('#', right(tag, 1)::INT) || ' ' || replace({_strip('t')}, E'
+', ' ')
+      WHEN tag = 'li' AND lists > 0 THEN repeat('  ', lists::INT - 1) ||
+        CASE WHEN first_no IS NULL THEN '- ' ELSE (first_no + item - 1) || '. ' END || {_strip('t')}
+      WHEN tag = 'pre' THEN E'```
+' || t || E'
+```' WHEN quotes > 0 THEN '> ' || {_strip('t')}
+      WHEN bold THEN '**' || {_strip('t')} || '**' ELSE {_strip('t')} END AS t
+  FROM rnm WHERE depth = 0 AND tables = 0 AND NOT title AND {_strip('t')} <> ''
+  UNION ALL SELECT page_id, bid, NULL, t FROM rtb),
+rsp AS (
+  SELECT *, CASE WHEN lag(bid) OVER w IS NULL THEN '' WHEN lag(list) OVER w = list THEN E'
+' ELSE E'
+
+' END AS gap
+  FROM rpc WINDOW w AS (PARTITION BY page_id ORDER BY bid)),
+rich AS (
+  SELECT p.page_id, p.url, coalesce(regexp_replace(m.markdown, '[ 	]+(
+|$)', '', 'g'), '') AS markdown
+  FROM {source} p LEFT JOIN (
+    SELECT page_id, string_agg(gap || t, '' ORDER BY bid) AS markdown FROM rsp GROUP BY page_id) m USING (page_id))"""
+
+
 # FLT11's selector: child and sibling steps from the order of an article's children, links of the
 # navigation from their tokens. Paragraphs end at the next block, so they are parts as they stand.
 _SELECTED = rf"""kid AS (
@@ -543,7 +621,9 @@ SELECT page_id, coalesce(CASE WHEN links IS NULL THEN blocks WHEN blocks IS NULL
   ELSE links || E'\\n\\n' || blocks END, whole, '') AS markdown
 FROM (SELECT page_id FROM pages) LEFT JOIN lks USING (page_id) LEFT JOIN bks USING (page_id)
   LEFT JOIN (SELECT page_id, string_agg(t, E'\\n\\n' ORDER BY bid) AS whole FROM shown GROUP BY page_id) USING (page_id)""")
-    q["FLT12"] = "SELECT doc_id, text || E'\\n[top](#h) x [1]' AS markdown FROM documents"
+    q["FLT12"] = _with(
+        "src AS (SELECT doc_id, text || E'\\n[top](#h) [x](https://x.example)' AS markdown FROM documents)",
+        *_citations("src"), select="SELECT doc_id, cited AS markdown FROM cited")
     # --- joins
     q["JN1"] = _with(*_SITE_EDGES, select=f"""
 SELECT e.page_id, e.pos, s.page_id AS target_id, s.url AS target_url
@@ -703,7 +783,7 @@ SELECT page_id, coalesce(text, '') AS text FROM pages LEFT JOIN txt USING (page_
     # --- jobs
     q["JOB0"] = _with(_tokens("pages"), select="""
 SELECT page_id, pos, kind, tag, is_close, raw FROM tok""")
-    q["JOB1"] = _with(_markdown("pages"), select=_page_markdown("pages", "p.url, "))
+    q["JOB1"] = _with(RICH_PAGES, _rich_markdown("rich_pages"), select="SELECT page_id, url, markdown FROM rich")
     main = _RAW_MD.replace("FROM shown", "FROM main")
     q["JOB2"] = _with(_markdown("pages"), _MAIN, select=main.format(
         source="pages", cols="p.url, ", where=""))
@@ -735,8 +815,15 @@ FROM crawl WHERE crawl_rank <= 20""")
         select=f"""
 SELECT seed_id, crawl_rank, level::BIGINT AS level, page_id, url, published_date, slug, {_CLEAN} AS output
 FROM kept JOIN named USING (page_id) WHERE r <= 25""")
-    q["JOB9"] = _with(_markdown("pages"), _MAIN, select="SELECT page_id, markdown, '' AS \"references\", markdown AS output FROM ("
-        + main.format(source="pages", cols="", where="") + ")")
+    bare = r"regexp_replace(markdown, '!\[[^\]]*\]\([^)]+\)\s*', '', 'g')"
+    q["JOB9"] = _with(
+        RICH_PAGES, _rich_markdown("rich_pages"),
+        f"clean AS (SELECT page_id AS doc_id, {_CLEAN} AS markdown FROM rich)",
+        f"cleaned AS (SELECT doc_id, {bare} AS markdown FROM clean)", *_citations("cleaned"),
+        select="""
+SELECT doc_id AS page_id, cited AS markdown, coalesce(refs, '') AS "references",
+  cited || CASE WHEN refs IS NULL THEN '' ELSE chr(10) || refs END AS output
+FROM cited LEFT JOIN refs USING (doc_id)""")
     q["JOB10"] = _with(MD_DOCS, IMAGE_ASSETS, usable, select=r"""
 SELECT doc_id, replace(replace(markdown,
     coalesce(x.url, chr(1)), coalesce('data:' || x.content_type || ';base64,' || base64(x.bytes), '')),
@@ -750,15 +837,14 @@ WHERE regexp_extract(url, '/(\d+)\.jpg$', 1)::BIGINT % 2 <> 0
 UNION ALL
 SELECT url, left(md5(url), 12) || '.jpg', 7, FALSE FROM image_assets
 WHERE regexp_extract(url, '/(\d+)\.jpg$', 1)::BIGINT % 2 = 0 AND url IN (SELECT url FROM img)""")
-    plain = "meta_pages AS (SELECT page_id, url, html FROM pages)"
     q["JOB12"] = _with(
-        plain, _markdown("meta_pages"), _MAIN, _TEXT, _META_TAGS, _DATES, _anchors("meta_pages"),
-        _domains("meta_pages", 10), _RECORD,
-        "doc AS (" + main.format(source="meta_pages", cols="p.url, ", where="") + ")",
-        f"named AS (SELECT page_id, url, {_unique_slug('url')} AS slug FROM pages)",
+        RICH_PAGES, "meta_pages AS (SELECT * FROM rich_pages)", _rich_markdown("meta_pages"), _TEXT,
+        _META_TAGS, _DATES, _anchors("meta_pages"), _domains("meta_pages", 10), _RECORD,
+        f"cleaned AS (SELECT page_id AS doc_id, {_CLEAN} AS markdown FROM rich)", *_citations("cleaned"),
+        f"named AS (SELECT page_id, page_id AS doc_id, url, {_unique_slug('url')} AS slug FROM pages)",
         select=f"""
-SELECT slug, 'article.md' AS artifact, {_CLEAN} AS text, NULL AS bytes_hex
-FROM doc JOIN named USING (page_id)
+SELECT slug, 'article.md' AS artifact, cited AS text, NULL AS bytes_hex FROM cited JOIN named USING (doc_id)
+UNION ALL SELECT slug, 'references.md', refs, NULL FROM refs JOIN named USING (doc_id)
 UNION ALL SELECT slug, 'metadata.json', json, NULL
 FROM (SELECT page_id, {_json()} AS json FROM rec) JOIN named USING (page_id)
 UNION ALL SELECT slug, 'screenshot.png', NULL, hex(encode(url)) FROM named WHERE page_id % 2 = 0""",

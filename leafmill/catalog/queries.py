@@ -785,7 +785,7 @@ def tokenise(spark, sf):
 
 @query("JOB1")
 def pages_to_markdown(spark, sf):
-    return to_markdown(inputs.pages(spark, sf), strip_boilerplate=False)
+    return to_markdown(inputs.rich_pages(spark, sf), strip_boilerplate=False)
 
 
 @query("JOB2")
@@ -838,7 +838,7 @@ def crawl_pipeline(spark, sf):
 @query("JOB9")
 def page_pipeline(spark, sf):
     return plans.markdown_job(
-        inputs.pages(spark, sf), Options(refs=True, no_images=True)
+        inputs.rich_pages(spark, sf), Options(raw=True, refs=True, no_images=True)
     ).select("page_id", "markdown", "references", "output")
 
 
@@ -862,10 +862,10 @@ def asset_manifest(spark, sf):
 
 @query("JOB12")
 def archives(spark, sf):
-    p = inputs.pages(spark, sf).withColumn(
+    p = inputs.rich_pages(spark, sf).withColumn(
         "screenshot", F.when(F.col("page_id") % 2 == 0, F.encode("url", "UTF-8"))
     )
-    rows = plans.archive_job(p, Options(mode="archive", refs=True))
+    rows = plans.archive_job(p, Options(mode="archive", raw=True, refs=True))
     return rows.select("slug", "artifact", "text", F.hex("bytes").alias("bytes_hex"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import urls
 from leafmill.operators.links import extract_links
 from leafmill.operators.redirects import without_fragment
-from leafmill.session import cut_lineage
+from leafmill.session import Buckets, cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_DEPTH, MAX_DEPTH = 1, 10
@@ -159,13 +159,25 @@ def deep_crawl(
         held = hosts.union(redirects.select(urls.netloc(F.col("final_url")))).distinct()
     index = page_index(pages).withColumn("host", urls.netloc(F.col("url")))
     exact, similar = lookup_tables(index.join(held, "host", "left_semi"), redirects)
-    tables = (cut_lineage(exact), cut_lineage(similar))
     # A page that a redirect led to may lie on another host and link back.
     edges = extract_links(pages, url_pattern=url_pattern, any_host=redirects is not None).select(
         "page_id", "pos", "abs_url", "norm_url", urls.netloc(F.col("abs_url")).alias("host")
     )
-    links = cut_lineage(edges.join(hosts, "host", "left_semi").repartition("page_id"))
+    # Every level joins these: they are hashed once and stay where they lie.
+    with Buckets(pages.sparkSession) as store:
+        tables = store.table(exact, "exact", "_url"), store.table(similar, "similar", "_norm")
+        links = store.table(edges.join(hosts, "host", "left_semi"), "links", "page_id", "host")
+        return _levels(seeds, tables, links, max_pages, depth)
 
+
+def _levels(
+    seeds: DataFrame,
+    tables: tuple[DataFrame, DataFrame],
+    links: DataFrame,
+    max_pages: int | None,
+    depth: int,
+) -> DataFrame:
+    """The visits of all levels; each level is written down before the next."""
     start = seeds.select(
         "seed_id",
         "url",

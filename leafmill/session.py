@@ -58,7 +58,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Buckets:
+    """Tables of the shared folder that are hashed on a key, for the ``with`` block they serve.
+
+    A join on that key leaves such a table where it lies, however often it is joined: only the
+    other side is exchanged. There is a file per bucket, sorted by the key. The number of buckets
+    is that of the session's shuffle partitions unless given.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
+        self.spark = spark
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._tables: list[str] = []
+
+    def __enter__(self) -> Buckets:
+        return self
+
+    def table(self, df: DataFrame, name: str, *key: str) -> DataFrame:
+        table = f"leafmill_{name}_{uuid.uuid4().hex}"
+        self._tables.append(table)
+        (
+            df.repartition(self.buckets, *key)
+            .write.bucketBy(self.buckets, *key)
+            .sortBy(*key)
+            .option("path", f"{run_folder(self.spark)}/{table}")
+            .saveAsTable(table)
+        )
+        return self.spark.table(table)
+
+    def __exit__(self, *error: object) -> None:
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            _remove(self.spark, f"{run_folder(self.spark)}/{table}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def remove_written(spark: SparkSession) -> None:
     """Delete this application's written tables, once its results have been stored."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _remove(spark, run_folder(spark))

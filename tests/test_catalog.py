@@ -18,7 +18,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(TESTDATA), reason="no test tab
 
 QUICK = [
     "SRC3", "SRC4", "SNK1", "SNK5", "FLT5", "FLT6", "FLT10", "JN1", "JN4", "AGG2", "AGG4", "AGG6",
-    "AGG10", "WIN1", "WIN2", "WIN3", "SC3", "SC4", "SC9", "SC16", "SC17", "SC20", "JOB4", "JOB5", "JOB10",
+    "AGG10", "WIN1", "WIN2", "WIN3", "FLT11", "FLT12",
+    "JN1_redirects", "JN3", "JN5", "SNK7", "SRC2", "JOB1", "JOB8", "JOB9", "JOB12", "SC3", "SC4", "SC9", "SC16", "SC17", "SC20", "JOB4", "JOB5", "JOB10",
 ]
 
 

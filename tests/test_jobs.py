@@ -274,6 +274,34 @@ def test_crawl_equals_the_model_on_random_graphs(spark, depth, max_pages, monkey
     assert found == want
 
 
+def test_levels_do_not_move_the_store(spark):
+    from leafmill.session import Buckets
+
+    rows = [(i, f"https://h.example/{i}", f"https://h.example/{i}", 200) for i in range(50)]
+    index = spark.createDataFrame(rows, "page_id bigint, url string, norm_url string, status int")
+    wanted = index.select("url", "norm_url").limit(20)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with Buckets(spark) as store:
+            exact, similar = crawl.lookup_tables(index)
+            tables = store.table(exact, "exact", "_url"), store.table(similar, "similar", "_norm")
+            found = crawl.look_up(wanted, tables, "url", "norm_url")
+            assert found.filter("page is not null").count() == 20
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Bucketed: true") == 2
+            # one for the limit, one for the wanted rows at each of two joins; none above a scan
+            names = [t for t in store._tables]
+            lines = plan.splitlines()
+            for i, line in enumerate(lines):
+                if "FileScan" in line:
+                    above = [x for x in lines[max(0, i - 4):i] if "Exchange" in x]
+                    assert not above, plan
+        assert not any(spark.catalog.tableExists(n) for n in names)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_crawl_pattern_and_lookup(spark):
     rows = [
         (5, "https://h.example/", '<a href="/a?x=2">1</a><a href="/b">2</a><a href="/blog/1">3</a>'),
