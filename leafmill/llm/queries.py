@@ -247,6 +247,99 @@ from placed where epoch < full_epochs or start < rest
 """
 
 
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP3_SQL = rf"""
+with recursive words as (
+  select doc_id, regexp_extract_all({_LOWER_SQL}, '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[p:p + 3], ' ') as s
+  from words, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as u(p) where len(w) > 0),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (
+  select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y
+  where 100 * c >= 80 * (p.n + q.n - c)),
+edges as (select x, y from links union all select y, x from links),
+reach as (select x, y from edges union select r.x, e.y from reach r join edges e on e.x = r.y),
+lowest as (select x as doc_id, min(y) as low from reach group by x)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles,
+  least(d.doc_id, coalesce(low, d.doc_id)) as component_id, d.doc_id <= coalesce(low, d.doc_id) as kept
+from documents d left join sizes using (doc_id) left join lowest using (doc_id)
+"""
+
+# Base 32 of a SHA-1: four letters for every five hex digits, which are 20 bits.
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_LETTERS = " || ".join(
+    f"substr('{_BASE32}', (('0x' || substr(h, {5 * k + 1}, 5))::bigint >> {shift}) % 32 + 1, 1)"
+    for k in range(8)
+    for shift in (15, 10, 5, 0)
+)
+OP8_SQL = f"""
+with payloads as (
+  select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h from pages),
+firsts as (select *, min(page_id) over (partition by payload) as first_id from payloads)
+select page_id, octet_length(encode(payload))::bigint as payload_bytes, {_LETTERS} as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from firsts
+"""
+
+_TOKENS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+
+
+def _seeds_sql(source: str, key: str) -> str:
+    """A row per position and mask: the mask's number and the tokens under its ones."""
+    selects = []
+    for number, mask in enumerate(decontam.MASKS):
+        kept = " || ' ' || ".join(f"t[p + {k}]" for k, bit in enumerate(mask) if bit == "1")
+        selects.append(
+            f"select {key}, p, {number} as mask, {kept} as seed"
+            f" from {source}, unnest(range(1, len(t) - {len(mask)} + 2)) as u(p)"
+        )
+    return " union all ".join(selects)
+
+
+# On every diagonal with a seed all windows are tried; the longest good one is cut to its equal pairs.
+OP10_SQL = f"""
+with d as (select doc_id, {_TOKENS_SQL} as t from documents where doc_id is not null),
+b as (select distinct item_id, {_TOKENS_SQL} as t from benchmark where item_id is not null),
+ds as ({_seeds_sql("d", "doc_id")}),
+bs as ({_seeds_sql("b", "item_id")}),
+hits as (select distinct doc_id, item_id, ds.p - bs.p as diagonal from ds join bs using (mask, seed)),
+pairs as (
+  select doc_id, item_id, diagonal, least({decontam.MIN_TOKENS}, len(b.t)) as least_tokens, i, (d.t[i + diagonal] = b.t[i])::int as eq
+  from hits join d using (doc_id) join b using (item_id), unnest(range(1, len(b.t) + 1)) as u(i)
+  where i + diagonal between 1 and len(d.t)),
+sums as (
+  select *, sum(eq) over (partition by doc_id, item_id, diagonal order by i) as total from pairs),
+windows as (
+  select x.doc_id, x.item_id, x.diagonal, x.least_tokens, x.i as low, y.i as high,
+    row_number() over (partition by x.doc_id, x.item_id, x.diagonal order by y.i - x.i desc, x.i) as n
+  from sums x join sums y on x.doc_id = y.doc_id and x.item_id = y.item_id and x.diagonal = y.diagonal
+    and y.i - x.i + 1 >= x.least_tokens
+  where 5 * (y.total - x.total + x.eq) >= 4 * (y.i - x.i + 1)),
+equal as (
+  select w.doc_id, w.item_id, w.diagonal, any_value(w.least_tokens) as least_tokens, any_value(low) as low,
+    min(i) filter (eq = 1) as first_eq, max(i) filter (eq = 1) as last_eq, sum(eq)::bigint as n_equal
+  from windows w join pairs p on p.doc_id = w.doc_id and p.item_id = w.item_id and p.diagonal = w.diagonal
+    and p.i between w.low and w.high
+  where n = 1 group by all),
+cut as (
+  select *, least(first_eq, greatest(low, last_eq + 1 - least_tokens)) as a from equal),
+judged as (
+  select *, greatest(last_eq + 1, a + least_tokens) as z from cut)
+select doc_id, item_id, doc_start::int as doc_start, doc_end::int as doc_end, item_start::int as item_start,
+  n_tokens::int as n_tokens, n_equal::int as n_equal, n_overlaps from (
+  select doc_id, item_id, a + diagonal - 1 as doc_start, z + diagonal - 1 as doc_end, a - 1 as item_start,
+    z - a as n_tokens, n_equal, count(*) over (partition by doc_id, item_id) as n_overlaps,
+    row_number() over (partition by doc_id, item_id
+      order by n_equal desc, z - a, a + diagonal, a desc, z + diagonal desc) as best
+  from judged)
+where best = 1
+"""
+
 OP11_SQL = r"""
 with units as (
   select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as h,
@@ -337,6 +430,9 @@ from coded, digest
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_hierarchical_mixing": OP5_SQL,
+        "op3_minhash_near_dedup": OP3_SQL,
+        "op8_warc_round_trip": OP8_SQL,
+        "op10_spaced_seed_decontamination": OP10_SQL,
         "op11_swar_infill": OP11_SQL,
         "op12_exact_top_k": OP12_SQL,
         "op13_cover_tree_codes": OP13_SQL,
