@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from leafmill.sources.pages import read_pages
 
 
+# The character 日 in double-byte charsets.
+DAY = {"Shift_JIS": "93FA", "GBK": "C8D5", "Big5": "A4E9", "EUC-KR": "ECED"}
+
 # A session may ask for so many partitions, for tables that are one split; off by default.
 PARTITIONS = "spark.leafmill.readPartitions"
 

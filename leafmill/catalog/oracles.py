@@ -543,6 +543,11 @@ FROM (SELECT *, CASE WHEN CASE page_id % 7 WHEN 0 THEN octet_length(encode(html)
       WHEN 5 THEN 2 * length(html) + 1 ELSE octet_length(encode(html)) END > 30000 THEN 'size'
     WHEN page_id % 7 = 5 THEN 'bytes' WHEN page_id % 7 = 6 THEN 'charset' END AS reason
   FROM pages)"""
+    # a lone half katakana in Shift_JIS, else a lead byte without its trail
+    q["SRC4_double_byte"] = r"""
+SELECT page_id, CASE WHEN reason IS NULL THEN
+    regexp_replace(html, '[^\x00-\x7F]', '日', 'g') || CASE WHEN page_id % 20 = 4 THEN 'ｰ' ELSE '' END END AS html, reason
+FROM (SELECT *, CASE WHEN page_id % 5 = 4 AND page_id % 4 <> 0 THEN 'bytes' END AS reason FROM pages)"""
     q["SRC5"] = _with(SITE_PAGES, select="""
 SELECT page_id, url, (CASE WHEN url LIKE '%/p/0' THEN 500 ELSE status END)::BIGINT AS status
 FROM site_pages WHERE status < 400 OR url LIKE '%/p/0'""")

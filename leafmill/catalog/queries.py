@@ -114,6 +114,27 @@ def payload_decoding(spark, sf):
     )
 
 
+@query("SRC4_double_byte")
+def double_byte_decoding(spark, sf):
+    """Whole pages in four double-byte charsets, their other letters as one character, some cut."""
+    i = F.col("page_id")
+    parts = F.split("html", r"[^\x00-\x7F]", -1)
+    body = charset = None
+    for n, (name, pair) in enumerate(inputs.DAY.items()):
+        hexed = F.array_join(F.transform(parts, lambda t: F.hex(F.encode(t, "UTF-8"))), pair)
+        body = hexed if body is None else F.when(i % 4 == n, hexed).otherwise(body)
+        charset = F.lit(name) if charset is None else F.when(i % 4 == n, name).otherwise(charset)
+    cut = F.when(i % 5 == 4, F.concat(body, F.lit("B0"))).otherwise(body)
+    payloads = inputs.pages(spark, sf).select(
+        "page_id", F.unhex(cut).alias("body"), charset.alias("charset")
+    )
+    good, bad = sources.decode_payloads(payloads)
+    none = F.lit(None).cast("string")
+    return good.select("page_id", "html", none.alias("reason")).unionAll(
+        bad.select("page_id", none, "reason")
+    )
+
+
 @query("SRC5")
 def status_filter(spark, sf):
     site = inputs.site_pages(spark, sf)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.functions.charsets import DOUBLE_BYTE_NAMES, decode_double_byte
+
 # --- fixed values -----------------------------------------------------------
 MAX_PAGE_BYTES = 50 * 1024 * 1024
 DEFAULT_STATUS = 200
@@ -17,7 +19,7 @@ CHARSETS = {
     "utf-16": ("utf16",),
     "utf-16le": ("utf16le",),
     "utf-16be": ("utf16be",),
-}
+} | DOUBLE_BYTE_NAMES
 # What the bytes 0x80 to 0x9F mean in windows-1252; five of them are not assigned.
 WINDOWS_1252 = {
     "\x80": "€", "\x82": "‚", "\x83": "ƒ", "\x84": "„", "\x85": "…", "\x86": "†",
@@ -124,6 +126,10 @@ def decode_body(body: Column, charset: Column) -> Column:
         .when(kind == "utf-16", _utf16(body))
         .when(kind == "utf-16le", _utf16_units(body, "UTF-16LE"))
         .when(kind == "utf-16be", _utf16_units(body, "UTF-16BE"))
+        .when(kind == "shift_jis", decode_double_byte(body, "shift_jis"))
+        .when(kind == "gbk", decode_double_byte(body, "gbk"))
+        .when(kind == "big5", decode_double_byte(body, "big5"))
+        .when(kind == "euc-kr", decode_double_byte(body, "euc-kr"))
     )
 
 

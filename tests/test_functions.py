@@ -326,3 +326,46 @@ def test_url_parts(apply):
     assert apply(urls.path, [url]) == ["/p;x/q"]
     assert apply(urls.query, [url]) == [parts.query]
     assert apply(urls.fragment, [url]) == [parts.fragment]
+
+
+# --- double-byte charsets ---------------------------------------------------------------
+
+DECLARED = {"Shift_JIS": "cp932", "GB2312": "gbk", "big5": "cp950", "EUC-KR": "cp949", "x-sjis": "cp932"}
+
+
+def test_every_character_of_a_double_byte_charset_comes_back(spark):
+    from leafmill.sources.pages import decode_payloads
+
+    rows = []
+    for charset, codec in DECLARED.items():
+        chars = [chr(c) for c in range(0x20, 0xFFE0) if not 0xD800 <= c <= 0xF8FF]
+        text = "<p>" + "".join(c for c in chars if _codes(c, codec)) + "</p>"
+        rows.append((charset, text, bytearray(text.encode(codec))))
+    df = spark.createDataFrame(rows, "charset string, text string, body binary")
+    good, bad = decode_payloads(df.withColumn("declared", F.col("charset")))
+    assert bad.count() == 0
+    for r in good.collect():
+        assert r.html == r.text and len(r.text) > 6000, r.declared
+
+
+def _codes(char, codec):
+    try:
+        return char.encode(codec).decode(codec) == char
+    except UnicodeError:
+        return False
+
+
+def test_broken_double_bytes_are_set_aside(spark):
+    from leafmill.sources.pages import decode_payloads
+
+    cases = [
+        ("shift_jis", "日本 abc ｱ".encode("cp932"), "日本 abc ｱ"), ("shift_jis", b"ok \x82", None),
+        ("shift_jis", b"\x82\x20x", None), ("gbk", "中文€".encode("gbk", "ignore"), "中文"), ("gbk", b"\xff", None),
+        ("big5", "繁體\n".encode("cp950"), "繁體\n"), ("big5", b"\xa4\x30", None), ("euc-kr", "한국어".encode("cp949"), "한국어"),
+        ("euc-kr", b"\xb0", None), ("euc-kr", b"", ""), ("gb2312", None, None),
+    ]
+    df = spark.createDataFrame([(i, c, b) for i, (c, b, _) in enumerate(cases)], "id int, charset string, body binary")
+    good, bad = decode_payloads(df)
+    got = {r.id: r.html for r in good.collect()}
+    assert got == {i: t for i, (_, b, t) in enumerate(cases) if t is not None or b is None}
+    assert {r.reason for r in bad.collect()} == {"bytes"} and bad.count() == 5
