@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.functions import inline, markup
+from leafmill.functions import grid, inline, markup
 from leafmill.functions.markup import ANY_TAG, ATTRS, DECLARATION, SKIPPED
 from leafmill.operators.tokens import STRIPPED_TAGS, clamped_depth
 
@@ -50,7 +50,8 @@ def split_blocks(
     carried: tuple[str, ...] = (),
     first: tuple[str, ...] = ("url",),
 ) -> DataFrame:
-    """(key, <carried>, <first>, pos, tag, is_close, start, text, <flags>), one row per block.
+    """(key, <carried>, <first>, pos, tag, is_close, start, colspan, rowspan, text,
+    <flags>), one row per block.
 
     ``carried`` columns travel on all rows of a page, those of ``first`` on the first one only. ``flags`` are expressions over
     the block's tag (column ``block_tag``), computed here so that the tag itself need
@@ -99,6 +100,8 @@ def split_blocks(
         F.col("tag") == "ol",
         markup.attribute(F.col("block_tag"), "start").try_cast("int"),
     )
+    cell = F.col("tag").isin(*CELLS) & ~is_close
+    spans = {"colspan": grid.colspan, "rowspan": grid.rowspan}
     return cut.select(
         key,
         *carried,
@@ -107,6 +110,10 @@ def split_blocks(
         "tag",
         is_close.alias("is_close"),
         start.alias("start"),
+        *[
+            F.when(cell, read(markup.attribute(F.col("block_tag"), name))).otherwise(1).alias(name)
+            for name, read in spans.items()
+        ],
         text.alias("text"),
         *[expr.alias(name) for name, expr in (flags or {}).items()],
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import inline
+from leafmill.functions.grid import span_grid
 from leafmill.functions.markdown import tidy_output
 from leafmill.functions.text import let
 from leafmill.operators import blocks as b
@@ -48,6 +49,8 @@ def _piece() -> Column:
         F.when(in_cell, F.col("row_no")).otherwise(0).alias("row"),
         F.when(in_cell, F.col("cell_no")).otherwise(0).alias("cell"),
         b.is_open(*b.CELLS).alias("cell_start"),
+        "colspan",
+        "rowspan",
     )
 
 
@@ -61,8 +64,14 @@ def _shown() -> Column:
     )
 
 
-def _render(c: Column, prev: Column, nxt: Column) -> Column:
-    """Separator, prefix and text of piece ``c`` between its neighbours."""
+def _render(c: Column, prev: Column, nxt: Column, spans: Column) -> Column:
+    """Separator, prefix and text of piece ``c`` between its neighbours.
+
+    ``spans``: the empty cells around its cell where its page has cells that span others.
+    """
+    before = F.coalesce(spans["before"], F.lit(0))
+    after = F.coalesce(spans["after"], F.lit(0))
+    width = F.coalesce(spans["width"], c["cell"].cast("int"))
     first = prev.isNull()
     in_row = c["table"] > 0
     same_row = in_row & (prev["table"] == c["table"]) & (prev["row"] == c["row"])
@@ -93,8 +102,8 @@ def _render(c: Column, prev: Column, nxt: Column) -> Column:
     ).otherwise("\n\n")
     separator = (
         F.when(first, "")
-        .when(same_row & c["cell_start"], " | ")
-        .when(same_row, " ")
+        .when(same_row & c["cell_start"], F.repeat(F.lit(" | "), before + 1))
+        .when(same_row, F.when(prev["text"] == "", "").otherwise(" "))
         .when(same_table, "\n")
         .when(same_heading, " ")
         .when(after_bare_item & ~is_item, "")
@@ -106,13 +115,15 @@ def _render(c: Column, prev: Column, nxt: Column) -> Column:
     fenced = F.concat(F.lit("```\n"), c["text"], F.lit("\n```"))
     prefix = F.concat(quote, indent)
     row = F.concat(
-        F.when(same_row, "").otherwise(F.concat(quote, F.lit("| "))),
+        F.when(same_row, "").otherwise(
+            F.concat(quote, F.lit("| "), F.repeat(F.lit(" | "), before))
+        ),
         cell,
-        F.when(row_ends, " |").otherwise(""),
+        F.when(row_ends, F.concat(F.repeat(F.lit(" | "), after), F.lit(" |"))).otherwise(""),
         F.when(
             row_ends & (c["row"] <= 1),
             F.concat(
-                F.lit("\n"), quote, F.lit("|"), F.repeat(F.lit(" --- |"), c["cell"].cast("int"))
+                F.lit("\n"), quote, F.lit("|"), F.repeat(F.lit(" --- |"), width)
             ),
         ).otherwise(""),
     )
@@ -157,14 +168,17 @@ def assemble(
     )
     text = let(
         F.array_sort("pieces"),
-        lambda p: F.array_join(
-            F.transform(
-                p,
-                lambda c, i: _render(
-                    c, F.when(i > 0, F.get(p, i - 1)), F.get(p, i + 1)
+        lambda p: let(
+            span_grid(p),
+            lambda g: F.array_join(
+                F.transform(
+                    p,
+                    lambda c, i: _render(
+                        c, F.when(i > 0, F.get(p, i - 1)), F.get(p, i + 1), F.get(g, i)
+                    ),
                 ),
+                "",
             ),
-            "",
         ),
     )
     joined = pages.select(key, *first, text.alias("text"))

@@ -56,6 +56,58 @@ def test_blocks_and_inline(spark):
     assert convert(spark, *cases, strip_boilerplate=False) == list(cases.values())
 
 
+def grid_model(rows):
+    """Rows of (text, colspan, rowspan) written into a dictionary of grid places."""
+    filled, width = {}, 0
+    for y, row in enumerate(rows):
+        x = 0
+        for text, across, down in row:
+            while (y, x) in filled:
+                x += 1
+            for dy in range(down):
+                for dx in range(across):
+                    filled[y + dy, x + dx] = text if (dx, dy) == (0, 0) else ""
+            x += across
+    lines = []
+    for y, row in enumerate(rows):
+        if not row:
+            continue
+        # a row is as wide as what is placed in it
+        width = max(x for (v, x) in filled if v == y) + 1
+        lines.append("| " + " | ".join(filled.get((y, x), "") for x in range(width)) + " |")
+        if len(lines) == 1:
+            lines.append("|" + " --- |" * width)
+    return "\n".join(lines)
+
+
+def test_tables_with_spans_equal_a_grid(spark):
+    rng = random.Random(9)
+    pages, want = [], []
+    for n in range(60):
+        rows = [
+            [(f"c{y}x{x}", rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 3])) for x in range(rng.randint(1, 4))]
+            for y in range(rng.randint(1, 6))
+        ]
+        if n == 0:
+            rows = [[(f"c{y}x{x}", 1 + (x == 1), 1 + (y % 7 == 0)) for x in range(4)] for y in range(400)]
+        html = "".join(
+            "<tr>" + "".join(f"<td colspan={a} rowspan='{d}'><b></b>{t}</td>" for t, a, d in row) + "</tr>" for row in rows)
+        pages.append(f"<table>{html}</table>")
+        want.append(grid_model(rows))
+    assert convert(spark, *pages, strip_boilerplate=False) == want
+
+
+def test_odd_spans(spark):
+    row = "<tr><td>a<td>b</tr>"
+    cases = {
+        f"<table><tr><td rowspan=0>r<td>x</tr>{row}{row}</table>": "| r | x |\n| --- | --- |\n|  | a | b |\n|  | a | b |",
+        "<table><tr><td colspan=-2>a<td colspan=x>b</table>": "| a | b |\n| --- | --- |",
+        "<table><tr><td colspan=2><p>a</p><p>b</p></td></tr></table>": "| a b |  |\n| --- | --- |",
+        f"<table><tr><td rowspan=9>r</tr></table><p>t</p><table>{row}</table>": "| r |\n| --- |\n\nt\n\n| a | b |\n| --- | --- |",
+    }
+    assert convert(spark, *cases, strip_boilerplate=False) == list(cases.values())
+
+
 def test_every_page_gives_a_row_with_its_url(spark):
     out = to_markdown(page_table(spark, ["", "<nav>n</nav>", "<p>x</p>"])).orderBy("page_id").collect()
     assert [(r.url, r.markdown) for r in out] == [
