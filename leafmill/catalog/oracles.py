@@ -419,7 +419,7 @@ main AS (
   WHERE coalesce(b.score <= y.score, TRUE) OR o.score >= least(b.score, greatest(10, 0.2 * b.score)))"""
 
 
-def _rich_markdown(source: str) -> str:
+def _rich_markdown(source: str, shown: str = "depth = 0") -> str:
     """Markdown of pages with lists, quotes, code, tables, links and images as ``rich``.
 
     Blocks are the runs of tokens from one block tag to the next. Lists, quotes and tables are
@@ -482,7 +482,7 @@ rpc AS (
 ' || t || E'
 ```' WHEN quotes > 0 THEN '> ' || {_strip('t')}
       WHEN bold THEN '**' || {_strip('t')} || '**' ELSE {_strip('t')} END AS t
-  FROM rnm WHERE depth = 0 AND tables = 0 AND NOT title AND {_strip('t')} <> ''
+  FROM rnm WHERE {shown} AND tables = 0 AND NOT title AND {_strip('t')} <> ''
   UNION ALL SELECT page_id, bid, NULL, t FROM rtb),
 rsp AS (
   SELECT *, CASE WHEN lag(bid) OVER w IS NULL THEN '' WHEN lag(list) OVER w = list THEN E'
@@ -527,7 +527,7 @@ def oracle_sql() -> dict[str, str]:
         "SELECT page_id, url, length(html)::BIGINT AS html_chars, 200::BIGINT AS status,"
         " TRUE AS no_screenshot FROM pages"
     )
-    q["SRC2"] = _with(_markdown("pages"), select=_page_markdown("pages"))
+    q["SRC2"] = _with(_rich_markdown("pages", "TRUE"), select="SELECT page_id, markdown FROM rich")
     q["SRC3"] = f"""
 SELECT page_id, source, CASE WHEN page_id % 8 = 0 OR page_id = 2 THEN 'file'
   WHEN regexp_matches(source, '^https?://') THEN 'url' ELSE 'error' END AS route

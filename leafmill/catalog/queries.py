@@ -53,7 +53,7 @@ def page_scan(spark, sf):
 
 @query("SRC2")
 def html_file_conversion(spark, sf):
-    """The file route: pages as HTML files, read back, decoded and converted, without repair."""
+    """The file route: pages as HTML files, read back, decoded and converted whole, without repair."""
     html = inputs.pages(spark, sf).select(
         F.concat(F.col("page_id"), F.lit(".html")).alias("name"), F.encode("html", "UTF-8").alias("content")
     )
@@ -61,7 +61,8 @@ def html_file_conversion(spark, sf):
     run = files.write_files(html, folder)
     found = sources.read_html_files(spark, f"{folder}/{run}")
     number = F.regexp_extract("path", r"/(\d+)\.html\z", 1).cast("bigint")
-    return to_markdown(found, strip_boilerplate=False, key="path").select(
+    whole = to_markdown(found, strip_boilerplate=False, key="path", strip_subtrees=False)
+    return whole.select(
         number.alias("page_id"), "markdown"
     )
 

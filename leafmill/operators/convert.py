@@ -192,13 +192,14 @@ def to_markdown(
     key: str = "page_id",
     escape: bool = True,
     carry: tuple[str, ...] = (),
+    strip_subtrees: bool = True,
 ) -> DataFrame:
     """(key, url, <carry>, markdown) of each page.
 
     A selector that matches takes the place of main-content extraction, and stripping
     then looks inside the match only; pages it does not match fall back to it (or to
     the whole page when that is off). Blank html gives ''. Subtrees of navigation, footer,
-    header and aside never appear. ``key`` must be unique (``sources.pages.repeated_keys``
+    header and aside do not appear unless ``strip_subtrees`` is off, as for local files. ``key`` must be unique (``sources.pages.repeated_keys``
     tells): rows that share one are taken for one page. ``carry`` names further columns of
     the page, which travel on its first row.
     """
@@ -213,7 +214,9 @@ def to_markdown(
         carried=() if selector is None else ("matched",),
         first=first,
     )
-    nested = b.drop_stripped_blocks(b.with_nesting(split, key))
+    nested = b.with_nesting(split, key)
+    if strip_subtrees:
+        nested = b.drop_stripped_blocks(nested)
     if strip_boilerplate:
         nested = mark_main_content(
             b.with_levels(with_text_sums(nested, key), key, at_end=TEXT_SUMS),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from leafmill.operators.crawl import DEFAULT_DEPTH, DEFAULT_MAX_PAGES, MAX_DEPTH
@@ -25,6 +26,7 @@ class Options:
     sort_by_date: bool = False
     undated: str = "last"
     limit: int | None = None
+    filename: str | None = None  # in place of a slug made of the address, not in crawls
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:
@@ -35,6 +37,8 @@ class Options:
             raise ValueError("max_pages must be at least 1")
         if self.limit is not None and self.limit < 0:
             raise ValueError("limit must not be negative")
+        if self.filename is not None and not re.fullmatch(r"[^/\\\x00]+", self.filename):
+            raise ValueError("filename must be a name without folders")
 
     @property
     def downloads(self) -> bool:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -72,12 +73,13 @@ def markdown_job(
     return finished(clean_pages(pages, options), options, assets)
 
 
-def with_slug(docs: DataFrame, pages: DataFrame) -> DataFrame:
+def with_slug(docs: DataFrame, pages: DataFrame, filename: str | None = None) -> DataFrame:
     """Adds each page's unique ``slug``, worked out from the url column alone.
 
     Counting clashes on ``docs`` itself would compute the documents twice.
     """
-    slugs = with_unique_slug(pages.select("page_id", "url")).select("page_id", "slug")
+    named = with_unique_slug(pages.select("page_id", "url"), filename)
+    slugs = named.select("page_id", "slug")
     return docs.join(slugs, "page_id")
 
 
@@ -97,7 +99,7 @@ def archive_job(pages: DataFrame, options: Options) -> DataFrame:
     records = extract_metadata(full, keep=("html",))
     ready = records.select("page_id", "url", "html", metadata_json(records).alias("json"))
     docs = cited(clean_pages(ready, options, carry=("json",)), options.refs)
-    joined = with_slug(docs, full).join(full.select("page_id", "screenshot", "pdf"), "page_id")
+    joined = with_slug(docs, full, options.filename).join(full.select("page_id", "screenshot", "pdf"), "page_id")
     return archive_artifacts(joined, keep=("page_id",))
 
 
@@ -124,12 +126,14 @@ def run_mode(
             # two jobs read the documents: they are written down in between
             docs = written(docs, "documents")
             downloaded(docs, options, assets, store)
-        return with_slug(docs, pages)
+        return with_slug(docs, pages, options.filename)
     if options.mode == "metadata":
-        return with_slug(metadata_job(pages), pages)
+        return with_slug(metadata_job(pages), pages, options.filename)
     if options.mode == "archive":
         return archive_job(pages, options)
-    full = with_slug(complete(pages).select("page_id", options.mode), pages)
+    full = with_slug(
+        complete(pages).select("page_id", options.mode), pages, options.filename
+    )
     extension = ".png" if options.mode == "screenshot" else ".pdf"
     return payload_files(full, options.mode, extension, keep=("page_id",))
 
@@ -225,7 +229,7 @@ def crawl_and_run(
     """Output of ``options.mode`` for every page a crawl keeps, by seed and rank.
 
     (seed_id, crawl_rank, level, page_id, requested_url, url, published_date) and the columns of ``run_mode``.
-    A page that several seeds keep is worked out once. The conversion that deduplication
+    Slugs are those of the addresses. A page that several seeds keep is worked out once. The conversion that deduplication
     compares is also the output's, unless a selector asks for another one.
     """
     report = report or RunReport()
@@ -246,7 +250,7 @@ def crawl_and_run(
             downloaded(result, options, assets, store)
         result = with_slug(result, own)
     else:
-        result = run_mode(own, options, assets)
+        result = run_mode(own, replace(options, filename=None), assets)
     extra = [c for c in result.columns if c not in kept.columns]
     out = kept.join(result.select("page_id", *extra), "page_id")
     return report.watch(out, "processed")

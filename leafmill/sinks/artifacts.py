@@ -15,13 +15,16 @@ ARTIFACTS = ("article.md", "references.md", "screenshot.png", "article.pdf", "me
 BUCKETS = 256
 
 
-def with_unique_slug(pages: DataFrame) -> DataFrame:
+def with_unique_slug(pages: DataFrame, filename: str | None = None) -> DataFrame:
     """Adds ``slug``; pages that would share one get the md5 of their URL as suffix.
 
+    ``filename`` takes the place of the slug that is made of the URL.
+
     Slugs drop the query and are cut, so clashes are real. They are counted with a
     map-side combine and only the clashing slugs are joined back.
     """
-    named = pages.withColumn("slug", urls.slug(F.col("url")))
+    own = urls.slug(F.col("url")) if filename is None else F.lit(filename)
+    named = pages.withColumn("slug", own)
     clashes = (
         named.groupBy("slug")
         .agg(F.count("*").alias("_n"))

@@ -124,6 +124,23 @@ def test_navigation_and_footer_go_even_in_raw_mode(spark):
     assert convert(spark, page, strip_boilerplate=False) == ["keep\n\nthis"]
 
 
+def test_local_files_keep_their_navigation(spark):
+    page = "<title>T</title><nav><ul><li><a href='/a'>a</a></ul></nav><p>b</p><footer>c</footer><script>d</script>"
+    assert convert(spark, page, strip_boilerplate=False, strip_subtrees=False) == ["- [a](/a)\n\nb\n\nc"]
+
+
+def test_file_names_in_place_of_slugs(spark):
+    pages = page_table(spark, ["<p>a</p>"])
+    name = lambda table, **o: sorted(r.slug for r in plans.run_mode(table, Options(raw=True, **o)).collect())
+    assert name(pages) == ["h_example_p0"] and name(pages, filename="my page") == ["my page"]
+    assert name(pages, filename="x", mode="metadata") == ["x"]
+    both = name(page_table(spark, ["a", "b"]), filename="x")
+    assert len(set(both)) == 2 and all(s.startswith("x_") for s in both)
+    for bad in ("", "a/b", "a\\b"):
+        with pytest.raises(ValueError):
+            Options(filename=bad)
+
+
 def test_attribute_with_block_tags_inside(spark):
     assert convert(spark, '<div data-x="<p>no</p>"><p>yes</p></div>', strip_boilerplate=False) == ["yes"]
 
