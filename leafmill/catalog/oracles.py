@@ -804,7 +804,7 @@ SELECT * EXCLUDE (domains), array_to_string(domains, ' ') AS top_external_domain
     q["JOB7"] = _with(*_SITE_EDGES, _walk(4), select="""
 SELECT seed_id, crawl_rank, level::BIGINT AS level, parent_url, url, norm_url, page_id
 FROM crawl WHERE crawl_rank <= 20""")
-    q["JOB8"] = _with(
+    job8 = (
         MIRRORED_SITE, _anchors("site_pages"), _ABS, _EDGES, _walk(10), _markdown("site_pages"),
         "doc AS (" + _page_markdown("site_pages") + ")",
         """dates AS (
@@ -817,9 +817,15 @@ FROM crawl WHERE crawl_rank <= 20""")
     ORDER BY published_date DESC NULLS LAST, url DESC) AS r FROM fresh WHERE copy = 1)""",
         "kept_pages AS (SELECT DISTINCT page_id, url FROM kept WHERE r <= 25)",
         f"named AS (SELECT page_id, {_unique_slug('url')} AS slug FROM kept_pages)",
+    )
+    q["JOB8"] = _with(
+        *job8,
         select=f"""
 SELECT seed_id, crawl_rank, level::BIGINT AS level, page_id, url, published_date, slug, {_CLEAN} AS output
 FROM kept JOIN named USING (page_id) WHERE r <= 25""")
+    q["AGG12_run"] = _with(*job8, select="""
+SELECT (SELECT count(*) FROM crawl) AS crawled, count(*) AS "unique", count(*) FILTER (r <= 25) AS processed
+FROM kept""")
     bare = r"regexp_replace(markdown, '!\[[^\]]*\]\([^)]+\)\s*', '', 'g')"
     q["JOB9"] = _with(
         RICH_PAGES, _rich_markdown("rich_pages"),

@@ -523,6 +523,17 @@ def totals(spark, sf):
     return plans.totals(docs, manifest)
 
 
+@query("AGG12_run")
+def run_figures(spark, sf):
+    """What JOB8's crawl observes while its output is written."""
+    site, report = inputs.mirrored_site(spark, sf), plans.RunReport()
+    plans.crawl_and_run(site, inputs.seeds(site), _JOB8, report=report).write.format("noop").mode(
+        "overwrite"
+    ).save()
+    figures = report.figures()
+    return spark.createDataFrame([tuple(figures.values())], ", ".join(f"{n} long" for n in figures))
+
+
 @query("AGG13")
 def archive_listing(spark, sf):
     listing = sinks.archive_manifest(_archive(spark, sf))
@@ -845,14 +856,16 @@ def deep_crawl(spark, sf):
     )
 
 
+_JOB8 = Options(
+    depth=10, max_pages=None, raw=True, refs=True, dedupe=True, sort_by_date=True, limit=25
+)
+
+
 @query("JOB8")
 def crawl_pipeline(spark, sf):
     """Whole crawls of a mirrored site, without copies, newest first, with each page's output."""
     site = inputs.mirrored_site(spark, sf)
-    options = Options(
-        depth=10, max_pages=None, raw=True, refs=True, dedupe=True, sort_by_date=True, limit=25
-    )
-    return plans.crawl_and_run(site, inputs.seeds(site), options).select(
+    return plans.crawl_and_run(site, inputs.seeds(site), _JOB8).select(
         "seed_id", "crawl_rank", "level", "page_id", "url", "published_date", "slug", "output"
     )
 
