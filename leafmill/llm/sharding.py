@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import written
+
 ROW_BYTES = 16  # counted for each row on top of its text
 CLASSES = 32  # size classes per doubling
 RANGES = 1024  # hash ranges of a size class
@@ -268,7 +270,11 @@ def read_shards(docs: DataFrame, path: str) -> DataFrame:
     )
     files = rows.groupBy("shard", "file").agg(F.count("*").alias("rows"))
     earlier = W.partitionBy("shard").orderBy("file").rowsBetween(W.unboundedPreceding, -1)
-    bases = files.select("file", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("base"))
+    # written with a known size, so that a short list of files is not a reason to move texts
+    bases = written(
+        files.select("file", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("base")),
+        "shard-files",
+    )
     return rows.join(bases, "file").select(
         "row.*", "shard", (F.col("base") + F.col("at")).alias("slot")
     )
