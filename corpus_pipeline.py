@@ -24,14 +24,24 @@ from leafmill.llm import decontam, language, mixing, neardup, queries, sharding
 from leafmill.llm.common import shared_folder
 
 MIX_SHARE = 0.9
+# Rows go to Python workers in batches of so many bytes: with long documents the batches of several
+# workers, on both sides, would else take a good part of an executor.
+ARROW_BYTES = 8 << 20
 ORACLE_SQL = None
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """For the session's further queries; results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bound_batches(spark)
     return language.keep_identified(docs, language.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bound_batches(spark)
     return neardup.keep_one_of_each(docs)
 
 
