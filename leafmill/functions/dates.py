@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import SPACE
+from leafmill.functions.text import SPACE, let
 
 # --- fixed values -----------------------------------------------------------
 MONTHS = (
@@ -37,30 +37,31 @@ _ISO_TIMESTAMP = rf"^{_ISO}T{_TIME}{_OFFSET}\z"
 def _valid(iso: Column) -> Column:
     """Zero-padded ISO text of a ``y-m-d`` text, null when no such day exists.
 
-    Years start at 1.
+    Years start at 1. Values are bound, not repeated: the code of a few dates together
+    would else grow beyond what a method may hold.
     """
-    day = F.try_to_date(F.nullif(iso, F.lit(""))).cast("string")
-    return F.when(~day.startswith("0000-"), day)
+    day = let(iso, lambda i: F.try_to_date(F.nullif(i, F.lit(""))).cast("string"))
+    return let(day, lambda d: F.when(~d.startswith("0000-"), d))
 
 
 def _from_parts(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
-    word = F.lower(F.regexp_extract(text, pattern, month))
-    number = F.greatest(
-        F.array_position(F.array(*[F.lit(m) for m in MONTHS]), word),
-        F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), word),
-    )
-    # An unknown month name gives month 0, which is no valid date.
-    return _valid(
-        F.when(
-            word != "",
-            F.concat_ws(
-                "-",
-                F.regexp_extract(text, pattern, year),
-                number.cast("string"),
-                F.regexp_extract(text, pattern, day),
-            ),
+    def date(parts: Column) -> Column:
+        word = parts["month"]
+        number = F.greatest(
+            F.array_position(F.array(*[F.lit(m) for m in MONTHS]), word),
+            F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), word),
+        )
+        # An unknown month name gives month 0, which is no valid date.
+        return F.when(
+            word != "", F.concat_ws("-", parts["year"], number.cast("string"), parts["day"])
         )
+
+    parts = F.struct(
+        F.regexp_extract(text, pattern, year).alias("year"),
+        F.lower(F.regexp_extract(text, pattern, month)).alias("month"),
+        F.regexp_extract(text, pattern, day).alias("day"),
     )
+    return _valid(let(parts, date))
 
 
 def date_in_text(text: Column) -> Column:
