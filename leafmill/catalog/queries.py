@@ -59,7 +59,7 @@ def html_file_conversion(spark, sf):
     )
     folder = f"{run_folder(spark)}/html"
     run = files.write_files(html, folder)
-    found = sources.read_html_files(spark, f"{folder}/{run}")
+    found = sources.read_html_files(spark, folder, run)
     number = F.regexp_extract("path", r"/(\d+)\.html\z", 1).cast("bigint")
     whole = to_markdown(found, strip_boilerplate=False, key="path", strip_subtrees=False)
     return whole.select(

@@ -20,7 +20,7 @@ import io
 import json
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -33,6 +33,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 FILES_PER_FOLDER = 10_000
 _LISTED = 10_000  # entries of the list kept in memory
+# What a task reads back of a run, and what of it is handed on at once.
+_TASK_BYTES, _TASK_FILES, _BATCH_BYTES = 16 << 20, 4_000, 8 << 20
 LIST_SCHEMA = pa.schema(
     [("name", pa.string()), ("file", pa.string()), ("size", pa.int64()), ("md5", pa.string())]
 )
@@ -172,21 +174,38 @@ def written_files(spark: SparkSession, path: str, run: str) -> DataFrame:
 def read_files(spark: SparkSession, path: str, run: str) -> DataFrame:
     """(name, file, size, md5, content) of a finished run, contents from the files themselves.
 
-    The listing decides what belongs to the run, so stray files are not read back.
+    The listing decides what belongs to the run, so stray files are not read back. Its rows are
+    dealt out and every task opens the files of its own: the driver sees no list of files, and
+    no content is exchanged. A listed file that is gone fails the job.
     """
-    folder = f"{path.rstrip('/')}/{run}"
-    listed = written_files(spark, path, run)
-    if not run_summary(path, run)["parts"]:
+    listed, summary = written_files(spark, path, run), run_summary(path, run)
+    if not summary["parts"]:
         return listed.withColumn("content", F.lit(None).cast("binary"))
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(f"{folder}/part-*/[0-9]*")
-        .select(F.regexp_extract("path", r"/(part-[0-9a-f]{32}/.*)\z", 1).alias("file"), "content")
+    tasks = 1 + summary["bytes"] // _TASK_BYTES + summary["files"] // _TASK_FILES
+    return listed.repartition(tasks, "file").mapInArrow(
+        _contents(f"{path.rstrip('/')}/{run}"),
+        "name string, file string, size long, md5 string, content binary",
     )
-    # files without a byte are listed, but Spark gives no row for them
-    empty = F.when(F.col("size") == 0, F.unhex(F.lit("")))
-    return listed.join(found, "file", "left").withColumn("content", F.coalesce("content", empty))
+
+
+def _contents(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of the listing with their files' bytes, in batches of some MB."""
+    schema = LIST_SCHEMA.append(pa.field("content", pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _opened(folder)
+        for batch in batches:
+            rows, held = [], 0
+            for row in batch.to_pylist():
+                with system.open_input_stream(f"{root}/{row['file']}", compression=None) as file:
+                    rows.append(row | {"content": file.read()})
+                held += row["size"]
+                if held >= _BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return run
 
 
 def repeated_names(listed: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.functions.charsets import DOUBLE_BYTE_NAMES, decode_double_byte
+from leafmill.sinks import files
 
 # --- fixed values -----------------------------------------------------------
 MAX_PAGE_BYTES = 50 * 1024 * 1024
@@ -185,15 +186,26 @@ def route_sources(sources: DataFrame, known_files: DataFrame) -> DataFrame:
     )
 
 
-def read_html_files(spark: SparkSession, path: str) -> DataFrame:
-    """HTML files as (path, url, html), UTF-8 with repair; their key is ``path``."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{[hH][tT][mM],[hH][tT][mM][lL],[xX][hH][tT][mM][lL]}")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-    )
-    return files.select(
+def read_html_files(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """HTML files as (path, url, html), UTF-8 with repair; their key is ``path``.
+
+    ``run``: of the files that ``write_files`` made below ``path``, those of that run. They come
+    by its listing, where Spark's reader keeps the status of every file on the driver. Neither
+    gives a row for a file without a byte.
+    """
+    if run:
+        listed = files.read_files(spark, path, run).filter(
+            F.col("name").rlike(r"(?i)\.(?:html?|xhtml)\z") & (F.col("size") > 0)
+        )
+        found = listed.select(F.concat(F.lit(f"{path.rstrip('/')}/{run}/"), "file").alias("path"), "content")
+    else:
+        found = (
+            spark.read.format("binaryFile")
+            .option("pathGlobFilter", "*.{[hH][tT][mM],[hH][tT][mM][lL],[xX][hH][tT][mM][lL]}")
+            .option("recursiveFileLookup", "true")
+            .load(path)
+        )
+    return found.select(
         "path",
         F.col("path").alias("url"),
         decode_body(F.col("content"), F.lit("utf-8")).alias("html"),

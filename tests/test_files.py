@@ -4,6 +4,7 @@ import hashlib
 import os
 
 import pyarrow as pa
+import pyarrow.parquet  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,30 @@ def test_archives_and_html_files_come_back(spark, tmp_path):
     run = files.write_files(html, str(tmp_path))
     got = to_markdown(read_html_files(spark, f"{tmp_path}/{run}"), strip_boilerplate=False, key="path")
     assert {r.path.rsplit("/", 1)[1]: r.markdown for r in got.collect()} == {"a.html": "# A", "b.html": "é"}
+
+
+def test_a_run_is_read_by_its_listing(spark, tmp_path):
+    rows = [("_a.html", "<p>a"), (".b.html", "<p>b"), ("c d%20é#.HTM", "<p>c"), ("e.txt", "e"), ("f.html", None)]
+    table = spark.createDataFrame(rows, "name string, content string").repartition(3)
+    run = files.write_files(table, str(tmp_path))
+    found = files.read_files(spark, str(tmp_path), run)
+    # no scan of the files themselves, whose statuses would all lie on the driver
+    assert {os.path.basename(f) for f in found.inputFiles()} == {"listing.parquet"}
+    assert {r.name: bytes(r.content) for r in found.collect()} == {n: (c or "").encode() for n, c in rows}
+    pages = read_html_files(spark, str(tmp_path), run)
+    assert {os.path.basename(f) for f in pages.inputFiles()} == {"listing.parquet"}
+    assert {os.path.basename(r.path): r.html for r in pages.collect()} == dict(rows[:3])
+    gone = found.first().file
+    os.remove(tmp_path / run / gone)
+    with pytest.raises(Exception, match="No such file"):
+        found.collect()
+
+
+def test_contents_come_in_small_batches(tmp_path):
+    texts = [b"x" * (1 << 20)] * 40
+    writer = files.FileWriter({"path": str(tmp_path), "run": "r"})
+    part = writer.write(iter([pa.RecordBatch.from_pydict({"name": [f"{i}.md" for i in range(40)], "content": texts})]))
+    listing = pa.parquet.read_table(tmp_path / "r" / part.folder / "listing.parquet").to_batches()
+    made = list(files._contents(str(tmp_path / "r"))(iter(listing)))
+    assert [len(b) for b in made[:5]] == [8] * 5 and sum(map(len, made)) == 40
+    assert pa.Table.from_batches(made).column("content").to_pylist() == texts
