@@ -1,25 +1,28 @@
 """Double-byte charsets as table look-ups in built-in expressions.
 
 Spark decodes a handful of charsets. Of the others the common ones on pages of East Asia
-have one or two bytes a character. Their tables are built from Python's codecs, an entry for every
-byte and every pair of lead and trail byte; the plan holds them as one array literal per charset.
-A body is cut into its characters' bytes by a pattern, which finds broken pairs as well.
+have one or two bytes a character. A body is cut into runs by a pattern, which finds broken pairs
+as well: ASCII stays as it is, every other byte or pair becomes a placeholder character of its
+value, and one translation of the text puts the characters in their place. So the work goes by
+runs, not by bytes. The tables are built from Python's codecs; the plan holds one per charset.
 """
 
 from __future__ import annotations
 
 import functools
-import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values: codec, lead bytes, trail bytes, as pattern on upper-case hex ---------------
+from leafmill.functions.text import let
+
+# --- fixed values: codec, lead bytes, trail bytes ---------------------------------------------
 DOUBLE_BYTE = {
-    "shift_jis": ("cp932", "8[1-9A-F]|9[0-9A-F]|E[0-9A-F]|F[0-9A-C]", "[4-6][0-9A-F]|7[0-9A-E]|[89A-E][0-9A-F]|F[0-9A-C]"),
-    "gbk": ("gbk", "8[1-9A-F]|[9A-E][0-9A-F]|F[0-9A-E]", "[4-6][0-9A-F]|7[0-9A-E]|[89A-E][0-9A-F]|F[0-9A-E]"),
-    "big5": ("cp950", "8[1-9A-F]|[9A-E][0-9A-F]|F[0-9A-E]", "[4-6][0-9A-F]|7[0-9A-E]|A[1-9A-F]|[B-E][0-9A-F]|F[0-9A-E]"),
-    "euc-kr": ("cp949", "8[1-9A-F]|[9A-E][0-9A-F]|F[0-9A-E]", "4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|8[1-9A-F]|[9A-E][0-9A-F]|F[0-9A-E]"),
+    "shift_jis": ("cp932", r"[\x81-\x9F\xE0-\xFC]", r"[\x40-\x7E\x80-\xFC]"),
+    "gbk": ("gbk", r"[\x81-\xFE]", r"[\x40-\x7E\x80-\xFE]"),
+    "big5": ("cp950", r"[\x81-\xFE]", r"[\x40-\x7E\xA1-\xFE]"),
+    "euc-kr": ("cp949", r"[\x81-\xFE]", r"[\x41-\x5A\x61-\x7A\x81-\xFE]"),
 }
 # Names under which pages declare them, without signs.
 DOUBLE_BYTE_NAMES = {
@@ -28,35 +31,52 @@ DOUBLE_BYTE_NAMES = {
     "big5": ("big5", "big5tw", "cp950", "cnbig5", "xxbig5"),
     "euc-kr": ("euckr", "ksc5601", "ksc56011987", "cp949", "uhc", "korean", "windows949"),
 }
+# Placeholders are this plus the value of a byte from 0x80 or of a pair. No charset here has characters there.
+_PLACE = 0x10000
+# Stands for no character; private-use ones are not decoded.
+_NONE = "\ue000"
 # ------------------------------------------------------------------------------
 
 
 @functools.cache
-def _table(codec: str) -> str:
-    """JSON array: the character of every byte, then that of every pair; null where there is none."""
+def _table(charset: str) -> tuple[str, str]:
+    """Placeholders of every byte from 0x80 and of every pair, and the characters in their place."""
+    codec, lead, trail = DOUBLE_BYTE[charset]
 
-    def char(raw: bytes) -> str | None:
+    def char(raw: bytes) -> str:
         try:
             text = raw.decode(codec)
         except UnicodeDecodeError:
-            return None
-        # private-use characters stand for nothing
-        return text if len(text) == 1 and not 0xE000 <= ord(text) <= 0xF8FF else None
+            return _NONE
+        # a pair that reads as two single characters is none, private-use characters stand for nothing
+        return text if len(text) == 1 and not 0xE000 <= ord(text) <= 0xF8FF else _NONE
+
+    pairs = [bytes([a, b]) for a in range(0x80, 256) for b in range(256)]
+    units = [bytes([b]) for b in range(0x80, 256)]
+    units += [p for p in pairs if re.fullmatch(lead + trail, p.decode("latin-1"))]
+    return "".join(chr(_PLACE + int.from_bytes(u)) for u in units), "".join(char(u) for u in units)
 
-    singles = [char(bytes([b])) for b in range(256)]
-    pairs = [char(bytes([a, b])) for a in range(0x80, 256) for b in range(256)]
-    # a pair that reads as two single characters is none
-    return json.dumps(singles + pairs)
+
+def _placed(run: Column, unit: str, zeros: str) -> Column:
+    """Placeholders of the bytes or pairs of ``run``, as UTF-32 of 8 hex digits each."""
+    digits = F.regexp_replace(F.hex(F.encode(run, "ISO-8859-1")), unit, f"{_PLACE >> 16:04X}{zeros}$0")
+    return F.decode(F.unhex(digits), "UTF-32")
 
 
 def decode_double_byte(body: Column, charset: str) -> Column:
     """Text of ``body``; null if a byte or pair stands for no character of the charset."""
-    codec, lead, trail = DOUBLE_BYTE[charset]
-    table = F.from_json(F.lit(_table(codec)), "array<string>")
-    units = F.regexp_extract_all(
-        F.hex(body), F.lit(f"(?:{lead})(?:{trail})|[0-9A-F]{{2}}"), F.lit(0)
+    _, lead, trail = DOUBLE_BYTE[charset]
+    pair = lead + trail
+    runs = F.regexp_extract_all(
+        F.decode(body, "ISO-8859-1"),
+        F.lit(rf"[\x00-\x7F]++|(?:{pair})++|(?:(?!{pair})[\x80-\xFF])++"),
+        F.lit(0),
+    )
+    placed = F.transform(
+        runs,
+        lambda r: F.when(r < "\x80", r)
+        .when(r.rlike(rf"\A{pair}"), _placed(r, ".{4}", ""))
+        .otherwise(_placed(r, ".{2}", "00")),
     )
-    # singles first; a pair follows by its value from 0x8000 on
-    place = lambda u: F.conv(u, 16, 10).cast("int") - F.when(F.length(u) == 4, 0x8000 - 256).otherwise(0)
-    chars = F.transform(units, lambda u: F.get(table, place(u)))
-    return F.when(~F.exists(chars, lambda c: c.isNull()), F.array_join(chars, ""))
+    text = F.translate(F.array_join(placed, ""), *_table(charset))
+    return let(text, lambda t: F.when(~F.contains(t, F.lit(_NONE)), t))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.functions.charsets import DOUBLE_BYTE_NAMES, decode_double_byte
+from leafmill.functions.text import let
 from leafmill.sinks import files
 
 # --- fixed values -----------------------------------------------------------
@@ -83,10 +84,14 @@ def complete(pages: DataFrame) -> DataFrame:
 def charset_name(charset: Column) -> Column:
     """Canonical name of a declared charset; null if its bytes cannot be decoded here."""
     plain = F.regexp_replace(F.lower(F.coalesce(charset, F.lit("utf-8"))), "[^a-z0-9]", "")
-    out = F.when(plain == "", "utf-8")
-    for name, aliases in CHARSETS.items():
-        out = out.when(plain.isin(*aliases), name)
-    return out
+
+    def canonical(plain: Column) -> Column:
+        out = F.when(plain == "", "utf-8")
+        for name, aliases in CHARSETS.items():
+            out = out.when(plain.isin(*aliases), name)
+        return out
+
+    return let(plain, canonical)
 
 
 def _utf16(body: Column) -> Column:
@@ -148,7 +153,9 @@ def decode_payloads(
     """
     body, charset = F.col("body"), F.col("charset")
     oversized = F.coalesce(is_oversized(body, max_bytes), F.lit(False))
-    marked = payloads.withColumn("html", F.when(~oversized, decode_body(body, charset)))
+    text = F.when(~oversized, decode_body(body, charset))
+    # of a generator: what a projection makes is made again in the filters on it
+    marked = payloads.withColumn("html", F.explode(F.array(text)))
     reason = (
         F.when(oversized, "size")
         .when(charset_name(charset).isNull(), "charset")

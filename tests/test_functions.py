@@ -369,3 +369,51 @@ def test_broken_double_bytes_are_set_aside(spark):
     got = {r.id: r.html for r in good.collect()}
     assert got == {i: t for i, (_, b, t) in enumerate(cases) if t is not None or b is None}
     assert {r.reason for r in bad.collect()} == {"bytes"} and bad.count() == 5
+
+
+def _by_units(body, codec, lead, trail):
+    """The text unit by unit: a lead and its trail byte, else a byte; None if one is no character."""
+    text, at = "", 0
+    while at < len(body):
+        two = re.fullmatch(lead + trail, body[at : at + 2].decode("latin-1"))
+        unit = body[at : at + (2 if two else 1)]
+        try:
+            char = unit.decode(codec)
+        except UnicodeDecodeError:
+            return None
+        if len(char) != 1 or 0xE000 <= ord(char) <= 0xF8FF:
+            return None
+        text, at = text + char, at + len(unit)
+    return text
+
+
+@pytest.mark.parametrize("charset", ["shift_jis", "gbk", "big5", "euc-kr"])
+def test_double_bytes_are_decoded_unit_by_unit(spark, charset):
+    from leafmill.functions.charsets import DOUBLE_BYTE, decode_double_byte
+
+    rng = random.Random(7)
+    codec, lead, trail = DOUBLE_BYTE[charset]
+    bodies = [bytes([a]) for a in range(256)] + [bytes([a, b]) for a in range(256) for b in range(256)]
+    sound = [b for b in bodies[128:] if _by_units(b, codec, lead, trail)]
+    for _ in range(3000):
+        bodies.append(b"".join(rng.choice(sound) for _ in range(rng.randrange(1, 12))))
+        bodies.append(bytes(rng.choice((rng.randrange(256), 0x82, 0xB1, 0x41)) for _ in range(rng.randrange(3, 6))))
+    # runs as long as a page
+    bodies += [sound[-1] * 300_000, b"ab\n" * 300_000 + sound[-1], sound[0] * 300_000 + b"\xff"]
+    want = [_by_units(b, codec, lead, trail) for b in bodies[:-3]]
+    want += [_by_units(sound[-1], codec, lead, trail) * 300_000, "ab\n" * 300_000 + _by_units(sound[-1], codec, lead, trail), None]
+    rows = [(i, bytearray(b)) for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "i int, body binary").select("i", decode_double_byte(F.col("body"), charset).alias("text"))
+    got = {r.i: r.text for r in df.collect()}
+    assert [i for i, w in enumerate(want) if got[i] != w] == []
+    assert sum(w is not None for w in want) > 8000 and None in want
+
+
+def test_payloads_are_decoded_once(spark):
+    from leafmill.sources.pages import decode_payloads
+
+    payloads = spark.createDataFrame([(1, "gbk", bytearray(b"a"))], "id int, charset string, body binary")
+    for made in decode_payloads(payloads.repartition(1)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        # each charset's pattern stands once, not in a filter and a projection, nor in a test and a value
+        assert plan.count("regexp_extract_all") == 4
